@@ -393,7 +393,13 @@ def column_moments(df: DataFrame, columns, keys=()) -> DataFrame:
 def winsorise(df: DataFrame, columns, cap: float = 4.0, keys=(), moments: DataFrame | None = None) -> DataFrame:
     """Clip each column to mean +- cap spreads, by own or by stored moments."""
     moments = moments if moments is not None else column_moments(df, columns, keys)
-    joined = df.join(moments, list(keys)) if keys else df.crossJoin(F.broadcast(moments))
+    if keys:
+        joined = df.join(moments, list(keys))
+    else:
+        # Without keys the moments are a single row by construction.
+        joined = df.withColumn("_one", F.lit(1)).join(
+            F.broadcast(moments.withColumn("_one", F.lit(1))), "_one"
+        )
     clipped = {
         c: F.when(
             F.col(c).isNotNull(),

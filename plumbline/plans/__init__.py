@@ -7,6 +7,7 @@ from plumbline.plans.registry import PLANS, Plan
 
 def catalogue() -> dict[str, Plan]:
     from plumbline.plans import (  # noqa: F401
+        analog_plans,
         feature_plans,
     )
 
