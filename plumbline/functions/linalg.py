@@ -102,3 +102,15 @@ def robust_covariance(x: np.ndarray, min_rows_per_feature: int = 20) -> tuple[np
         if np.all(np.isfinite(cov)):
             return cov, "mcd"
     return ledoit_wolf(x), "ledoit_wolf"
+
+
+def whitening(cov: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Per matrix of a stack: the upper triangle R with RtR the pseudo-inverse,
+    row by row, followed by R q. The distance to q is then the norm of R x - R q."""
+    d = cov.shape[-1]
+    values, vectors = np.linalg.eigh(cov)
+    floor = np.abs(values).max(axis=-1, keepdims=True) * d * np.finfo(float).eps
+    root = np.where(values > floor, 1.0 / np.sqrt(np.where(values > floor, values, 1.0)), 0.0)
+    r = np.linalg.qr(root[..., :, None] * np.swapaxes(vectors, -1, -2), mode="r")
+    rows, cols = np.triu_indices(d)
+    return np.concatenate([r[:, rows, cols], np.einsum("nij,nj->ni", r, q)], axis=1)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.functions.linalg import robust_covariance, shrink
+from plumbline.functions.linalg import robust_covariance, shrink, whitening
 from plumbline.operators.features import DISTANCE_FEATURES
 
 # fixed values
@@ -73,19 +73,21 @@ def prefix_moments(rows: DataFrame, features=DISTANCE_FEATURES, gap: int = SEPAR
         + [f"_t{i}" for i in range(d)]
         + ["_qq"]
     )
-    return df.withColumn("moments", F.array(*[F.col(c) for c in flat])).drop(
-        "_q", *[f"_c{i}" for i in range(d)], *sums
+    return (
+        df.withColumn("moments", F.array(*[F.col(c) for c in flat]))
+        .withColumnRenamed("_n", "n_candidates")
+        .drop("_q", *[f"_c{i}" for i in range(d)], *sums)
     )
 
 
-def precision_udf(d: int, method: str):
-    """Inverse covariance from an array of moments, a batch of queries at a time."""
+def whitening_udf(d: int, method: str):
+    """Whitening of a query from the moments of its candidates, a batch at a time."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def precision(moments: pd.Series) -> pd.Series:
-        m = np.stack([np.asarray(v, dtype=float) for v in moments]) if len(moments) else np.empty((0, 0))
-        if not len(m):
+    def whiten(moments: pd.Series, query: pd.Series) -> pd.Series:
+        if not len(moments):
             return pd.Series([], dtype=object)
+        m = np.stack([np.asarray(v, dtype=float) for v in moments])
         n = m[:, 0]
         s = m[:, 1 : 1 + d]
         p = m[:, 1 + d : 1 + d + d * d].reshape(-1, d, d)
@@ -97,19 +99,18 @@ def precision_udf(d: int, method: str):
             cov = emp * (n / (n - 1))[:, None, None]
         else:
             c = np.sum(mu * mu, axis=1)
-            q = np.trace(p, axis1=1, axis2=2)
             norm4 = (
                 qq
                 + 4 * np.einsum("ni,nij,nj->n", mu, p, mu)
                 + n * c * c
                 - 4 * np.sum(mu * t, axis=1)
-                + 2 * c * q
+                + 2 * c * np.trace(p, axis1=1, axis2=2)
                 - 4 * c * np.sum(mu * s, axis=1)
             )
             cov, _ = shrink(emp, n, norm4)
-        return pd.Series(list(np.linalg.pinv(cov, hermitian=True).reshape(len(m), d * d)))
+        return pd.Series(list(whitening(cov, np.stack([np.asarray(v, dtype=float) for v in query]))))
 
-    return precision
+    return whiten
 
 
 def latest_queries(rows: DataFrame) -> DataFrame:
@@ -128,8 +129,8 @@ def fit_precision(queries: DataFrame, features=DISTANCE_FEATURES, method: str =
     if method not in ("ledoit_wolf", "sample"):
         raise ValueError(f"unknown method {method!r}")
     return (
-        queries.where(F.element_at("moments", 1) > 1)
-        .withColumn("precision", precision_udf(len(features), method)("moments"))
+        queries.where(F.col("n_candidates") > 1)
+        .withColumn("whitening", whitening_udf(len(features), method)("moments", F.array(*features)))
         .withColumn("covariance_method", F.lit(method))
         .drop("moments")
     )
@@ -142,31 +143,34 @@ def fit_robust_precision(rows: DataFrame, features=DISTANCE_FEATURES, gap: int =
     """
     features = list(features)
     d = len(features)
-    schema = "ticker string, precision array<double>, covariance_method string"
+    schema = "ticker string, whitening array<double>, covariance_method string"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_no")
         x = pdf[features].to_numpy()[: max(len(pdf) - 1 - gap, 0)]
         if len(x) < d + 2:
-            return pd.DataFrame(columns=["ticker", "precision", "covariance_method"])
+            return pd.DataFrame(columns=["ticker", "whitening", "covariance_method"])
         cov, method = robust_covariance(x)
-        inv = np.linalg.pinv(cov, hermitian=True).reshape(-1)
+        white = whitening(cov[None], pdf[features].to_numpy()[-1:])[0]
         return pd.DataFrame(
-            {"ticker": [pdf["ticker"].iloc[0]], "precision": [inv], "covariance_method": [method]}
+            {"ticker": [pdf["ticker"].iloc[0]], "whitening": [white], "covariance_method": [method]}
         )
 
     models = rows.select("ticker", "row_no", *features).groupBy("ticker").applyInPandas(solve, schema)
     return latest_queries(rows).join(models, "ticker")
 
 
-def mahalanobis(diffs: list[Column], precision: Column) -> Column:
-    """Distance of a difference vector under a flattened inverse covariance."""
-    d = len(diffs)
-    total = F.lit(0.0)
+def mahalanobis(values: list[Column], white: list[Column]) -> Column:
+    """Distance of a row to a query under the query's unpacked whitening."""
+    d = len(values)
+    total, at = F.lit(0.0), 0
     for i in range(d):
-        row = sum((precision[i * d + j] * diffs[j] for j in range(d)), F.lit(0.0))
-        total = total + diffs[i] * row
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+        projected = -white[d * (d + 1) // 2 + i]
+        for j in range(i, d):
+            projected = projected + white[at] * values[j]
+            at += 1
+        total = total + projected * projected
+    return F.sqrt(total)
 
 
 def find_analogs(
@@ -181,13 +185,14 @@ def find_analogs(
     """
     if gap < MIN_SEPARATION_ROWS:
         raise ValueError(f"gap must be >= {MIN_SEPARATION_ROWS}")
+    n_white = len(features) * (len(features) + 1) // 2 + len(features)
     q = queries.select(
         "ticker",
         F.col("effective_date").alias("as_of"),
         F.col("row_no").alias("q_row"),
         "covariance_method",
-        "precision",
-        F.array(*features).alias("q"),
+        # Scalars, so that the distance is arithmetic on plain doubles.
+        *[F.col("whitening")[i].alias(f"_w{i}") for i in range(n_white)],
         *([F.col("query_state")] if by_state else []),
     )
     history = rows.select("ticker", "effective_date", "row_no", *features, label, *(["state"] if by_state else []))
@@ -210,10 +215,10 @@ def find_analogs(
         pairs = pairs.where(F.col("row_no") < F.col("q_row") - gap).withColumn(
             "analog_set", F.lit("global")
         )
-    diffs = [F.col(f) - F.col("q")[i] for i, f in enumerate(features)]
+    distance = mahalanobis([F.col(f) for f in features], [F.col(f"_w{i}") for i in range(n_white)])
     scored = pairs.select(
         "ticker", "as_of", "analog_set", "effective_date", "covariance_method",
-        F.col(label).alias("fwd"), mahalanobis(diffs, F.col("precision")).alias("distance"),
+        F.col(label).alias("fwd"), distance.alias("distance"),
     )
     nearest = Window.partitionBy("ticker", "as_of", "analog_set").orderBy("distance", "effective_date")
     return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)

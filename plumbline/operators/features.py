@@ -90,15 +90,16 @@ def add_forward_label(df: DataFrame, horizon: int = 10) -> DataFrame:
 
 
 def ewm_mean(
-    df: DataFrame, value: str, out: str, decay, keys=("ticker",), order: str = "effective_date",
+    df: DataFrame, columns: dict[str, str], decay, keys=("ticker",), order: str = "effective_date",
     segment: int | Column = 4096, seed_weight: bool = True,
 ) -> DataFrame:
-    """Recursive exponential mean ``m = decay*m + (1-decay)*x`` as plain windows.
+    """Recursive exponential means ``m = decay*m + (1-decay)*x`` as plain windows.
 
-    The recursion is a weighted prefix sum once each row is scaled by
-    ``decay**-k``. Rows are cut into segments short enough for the scale to stay
-    finite; across a segment border only the value at its end is carried.
-    ``seed_weight`` starts the recursion at the first value instead of at zero.
+    ``columns`` maps each input column to the name of its mean. The recursion is a
+    weighted prefix sum once each row is scaled by ``decay**-k``. Rows are cut into
+    segments short enough for the scale to stay finite; across a segment border
+    only the value at its end is carried. ``seed_weight`` starts the recursion at
+    the first value instead of at zero.
     """
     decay = decay if isinstance(decay, Column) else F.lit(float(decay))
     segment = segment if isinstance(segment, Column) else F.lit(int(segment))
@@ -108,27 +109,29 @@ def ewm_mean(
         "_k", (F.col("_n") - F.col("_seg") * segment).cast("double")
     )
     weight = F.when((F.col("_n") == 0) & F.lit(seed_weight), 1.0).otherwise(1 - decay)
+    # The segment number rises with the order, so this sort also serves ``w``.
     inside = Window.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    local = F.sum(weight * F.col(value) * F.pow(decay, -F.col("_k"))).over(inside) * F.pow(
-        decay, F.col("_k")
-    )
-    df = df.withColumn("_local", local)
-    carry = F.last(F.when(F.col("_k") == segment - 1, F.col("_local")), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, -1)
+    scale = F.pow(decay, F.col("_k"))
+    df = df.withColumns(
+        {f"_local_{v}": F.sum(weight * F.col(v) / scale).over(inside) * scale for v in columns}
     )
-    mean = F.col("_local") + F.pow(decay, F.col("_k") + 1) * F.coalesce(carry, F.lit(0.0))
-    return df.withColumn(out, mean).drop("_seg", "_k", "_local", "_n")
+    last_in_segment = F.col("_k") == segment - 1
+    means = {}
+    for v, out in columns.items():
+        carry = F.last(F.when(last_in_segment, F.col(f"_local_{v}")), ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)
+        )
+        means[out] = F.col(f"_local_{v}") + scale * decay * F.coalesce(carry, F.lit(0.0))
+    return df.withColumns(means).drop("_seg", "_k", "_n", *[f"_local_{v}" for v in columns])
 
 
 def add_wilder_rsi(df: DataFrame, period: int = 14) -> DataFrame:
     w = series()
     change = F.coalesce(F.col("close") - F.lag("close", 1).over(w), F.lit(0.0))
     df = df.withColumns({"_up": F.greatest(change, F.lit(0.0)), "_dn": F.greatest(-change, F.lit(0.0))})
-    decay = 1 - 1 / period
-    df = ewm_mean(df, "_up", "_gain", decay)
-    df = ewm_mean(df, "_dn", "_loss", decay)
+    df = ewm_mean(df, {"_up": "_gain", "_dn": "_loss"}, 1 - 1 / period)
     rs = F.col("_gain") / F.greatest(F.col("_loss"), F.lit(1e-12))
     return df.withColumn(f"rsi_{period}", 100 - 100 / (1 + rs)).drop("_up", "_dn", "_gain", "_loss")
 
@@ -171,10 +174,10 @@ def ewma_normalise(long: DataFrame, clip: float = 4.0) -> DataFrame:
         "_len", F.col("_hl") * 600
     )
     d, seg = F.col("_d"), F.col("_len")
-    df = ewm_mean(df, "feature_value", "ewm_mean", d, keys, segment=seg)
+    df = ewm_mean(df, {"feature_value": "ewm_mean"}, d, keys, segment=seg)
     surprise = F.col("feature_value") - F.lag("ewm_mean", 1).over(w)
     df = df.withColumn("_s2", F.coalesce(d * surprise * surprise, F.lit(0.0)))
-    df = ewm_mean(df, "_s2", "_v", d, keys, segment=seg, seed_weight=False)
+    df = ewm_mean(df, {"_s2": "_v"}, d, keys, segment=seg, seed_weight=False)
     df = df.withColumn("_t", (F.row_number().over(w) - 1).cast("double"))
     tail = F.pow(d, 2 * F.col("_t"))
     sum_w2 = F.pow(1 - d, 2) * (1 - tail) / (1 - d * d) + tail
