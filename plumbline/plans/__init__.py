@@ -9,6 +9,7 @@ def catalogue() -> dict[str, Plan]:
     from plumbline.plans import (  # noqa: F401
         analog_plans,
         feature_plans,
+        validation_plans,
     )
 
     return dict(PLANS)
