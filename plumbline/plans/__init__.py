@@ -9,6 +9,8 @@ def catalogue() -> dict[str, Plan]:
     from plumbline.plans import (  # noqa: F401
         analog_plans,
         feature_plans,
+        governance_plans,
+        store_plans,
         validation_plans,
     )
 
