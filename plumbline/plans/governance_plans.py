@@ -238,9 +238,9 @@ def notes(spark, sf_dir):
 @plan("merged_notes", "ticker:s source:s body:s kind:s n:i", "G4 J11",
       with_parts("notes_feed", """
 , f AS (SELECT * FROM notes_feed WHERE created_at < TIMESTAMP '2024-01-15'), b AS (SELECT * FROM notes_feed WHERE created_at >= TIMESTAMP '2024-01-15')
-SELECT ticker, source, body, kind, 1 AS n FROM (SELECT DISTINCT ticker, source, body, kind FROM b WHERE standing) b
+SELECT ticker, source, body, kind, sum(n) AS n FROM (SELECT ticker, source, body, kind, 1 AS n FROM (SELECT DISTINCT ticker, source, body, kind FROM b WHERE standing) b
 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.source = b.source AND f.body = b.body AND f.ticker IS NOT DISTINCT FROM b.ticker)
-UNION ALL SELECT ticker, source, body, kind, count(*) FROM b WHERE NOT standing GROUP BY 1, 2, 3, 4"""))
+UNION ALL SELECT ticker, source, body, kind, count(*) FROM b WHERE NOT standing GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3, 4"""))
 def _(spark, sf_dir):
     rows = notes(spark, sf_dir)
     feed = rows.where("created_at < TIMESTAMP_NTZ '2024-01-15'").withColumn("body", F.trim("body"))
@@ -315,7 +315,7 @@ def _(spark, sf_dir):
 
 
 # ---- hygiene
-PAIRS = (("ret_21d", "pct_above_ma50"), ("rsi_14", "realized_vol_21d"), ("ret_5d", "ret_63d"))
+PAIRS = (("ret_21d", "realized_vol_21d"), ("rsi_14", "ret_63d"), ("ret_5d", "rsi_14"))
 _CNT = " UNION ALL ".join(f"""
 SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) FILTER (WHERE hi AND hit) AS high_hits, count(*) FILTER (WHERE hi AND NOT hit) AS high_misses,
  count(*) FILTER (WHERE lo AND hit) AS low_hits, count(*) FILTER (WHERE lo AND NOT hit) AS low_misses FROM (
