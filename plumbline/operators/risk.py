@@ -238,7 +238,7 @@ def hidden_concentration(
         return pd.DataFrame(
             {
                 group: [pdf[group].iloc[0]] * len(found), "replicate": [replicate] * len(found),
-                "cluster": [sorted(names[i] for i in c) for c in found],
+                "cluster": pd.Series([sorted(names[i] for i in c) for c in found], dtype=object),
             }
         )
 
