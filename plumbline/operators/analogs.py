@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.linalg import robust_covariance, shrink, whitening
 from plumbline.operators.features import DISTANCE_FEATURES
+from plumbline.session import spread
 
 # fixed values
 NEIGHBOURS = 30
@@ -156,7 +157,8 @@ def fit_robust_precision(rows: DataFrame, features=DISTANCE_FEATURES, gap: int =
             {"ticker": [pdf["ticker"].iloc[0]], "whitening": [white], "covariance_method": [method]}
         )
 
-    models = rows.select("ticker", "row_no", *features).groupBy("ticker").applyInPandas(solve, schema)
+    groups = spread(rows.select("ticker", "row_no", *features), "ticker").groupBy("ticker")
+    models = groups.applyInPandas(solve, schema)
     return latest_queries(rows).join(models, "ticker")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import hmm
+from plumbline.session import spread
 
 # fixed values: states named from risk-off to risk-on
 SPECTRUM = ("Stressed Bear", "Calm Bear", "Neutral / transition", "Volatile Bull", "Calm Bull")
@@ -49,7 +50,7 @@ def fit_models(obs: DataFrame, features, ks=(2, 3, 4), cap: float = 4.0, seed: i
     fan_out = obs.select("series_id", "effective_date", *features).dropna().withColumn(
         "k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))
     )
-    return fan_out.groupBy("series_id", "k").applyInPandas(run, MODEL_SCHEMA)
+    return spread(fan_out, "series_id", "k").groupBy("series_id", "k").applyInPandas(run, MODEL_SCHEMA)
 
 
 def score_ks(obs: DataFrame, features, ks=(2, 3, 4), cap: float = 4.0, seed: int = 42) -> DataFrame:
@@ -80,7 +81,7 @@ def score_ks(obs: DataFrame, features, ks=(2, 3, 4), cap: float = 4.0, seed: int
     fan_out = obs.select("series_id", "effective_date", *features).dropna().withColumn(
         "k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))
     )
-    return fan_out.groupBy("series_id", "k").applyInPandas(run, schema)
+    return spread(fan_out, "series_id", "k").groupBy("series_id", "k").applyInPandas(run, schema)
 
 
 def select_k(scores: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def decode(obs: DataFrame, models: DataFrame, features, cap: float = 4.0) -> Dat
         path = hmm.viterbi(x, _unpack(m, len(features)))
         return pd.DataFrame({"series_id": rows["series_id"], "effective_date": rows["effective_date"], "state": path})
 
-    left = obs.select("series_id", "effective_date", *features).dropna()
+    left = spread(obs.select("series_id", "effective_date", *features).dropna(), "series_id")
     return left.groupBy("series_id").cogroup(models.groupBy("series_id")).applyInPandas(run, schema)
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import spread
+
 # fixed values: the order in which factors are orthogonalised
 FACTOR_ORDER = (
     "market_beta", "rates_sensitivity", "credit_sensitivity", "growth_factor", "value_factor",
@@ -194,7 +196,8 @@ def factor_regressions(
             out.append(_rows(ticker, method, names, beta[1:], nan, None, None, int(recent.sum())))
         return pd.concat([o.astype(object) for o in out])
 
-    return aligned.select("ticker", "effective_date", "asset_ret", *names).groupBy("ticker").applyInPandas(fit, EXPOSURES)
+    rows = spread(aligned.select("ticker", "effective_date", "asset_ret", *names), "ticker")
+    return rows.groupBy("ticker").applyInPandas(fit, EXPOSURES)
 
 
 def residuals(aligned: DataFrame, exposures: DataFrame, names=FACTOR_ORDER, method: str = "ew_ols") -> DataFrame:
@@ -226,7 +229,7 @@ def hidden_concentration(
     every group is a task of its own, drawn from a seed of its own; replicate -1 is the
     data as it is.
     """
-    schema = f"{group} string, replicate int, cluster array<string>"
+    schema = f"{group} string, replicate int, members string"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         replicate = int(pdf["replicate"].iloc[0])
@@ -238,12 +241,15 @@ def hidden_concentration(
         return pd.DataFrame(
             {
                 group: [pdf[group].iloc[0]] * len(found), "replicate": [replicate] * len(found),
-                "cluster": pd.Series([sorted(names[i] for i in c) for c in found], dtype=object),
-            }
+                "members": ["|".join(sorted(names[i] for i in c)) for c in found],
+            },
+            dtype=object,
         )
 
     runs = panel.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(bootstraps - 1))))
-    found = runs.groupBy(group, "replicate").applyInPandas(fit, schema)
+    found = spread(runs, group, "replicate").groupBy(group, "replicate").applyInPandas(fit, schema).select(
+        group, "replicate", F.split("members", r"\|").alias("cluster")
+    )
     base = found.where("replicate = -1").select(group, F.col("cluster").alias("members"))
     union = F.size(F.array_union("members", "cluster"))
     overlap = F.size(F.array_intersect("members", "cluster")) / union

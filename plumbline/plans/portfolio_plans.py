@@ -42,15 +42,20 @@ def _(spark, sf_dir):
     return rk.factor_regressions(aligned(spark, sf_dir))
 
 
-def nation_returns(spark, sf_dir):
-    return ft.add_returns(tb.bars(spark, sf_dir, "nation"), (1,)).select("ticker", "effective_date", F.col("ret_1d").alias("ret")).dropna()
+CHANGES = ["amount", "ret", "trades", "volume"]
 
 
 @plan("hidden_concentration", "group_id:s n_members:i stability:f stable:b message:s", "M19 U4")
 def _(spark, sf_dir):
-    names = [f"NATION_{i}" for i in range(25)]
-    panel = mx.panel(nation_returns(spark, sf_dir), names).withColumn("group_id", F.lit("market"))
-    return rk.hidden_concentration(panel, names)
+    """Per region: its return next to the changes of volume, trade count and amount."""
+    w = ft.series()
+    step = lambda c: F.log(c / F.lag(c, 1).over(w))
+    amount = F.col("volume") * (F.col("high") + F.col("low"))
+    df = tb.bars(spark, sf_dir, "region").select(
+        F.col("ticker").alias("group_id"), "effective_date", step(F.col("close")).alias("ret"), step(F.col("volume")).alias("volume"),
+        step(F.col("n_trades")).alias("trades"), step(amount).alias("amount"))
+    long = df.unpivot(["group_id", "effective_date"], CHANGES, "ticker", "ret").dropna()
+    return rk.hidden_concentration(mx.panel(long, CHANGES, ("group_id", "effective_date")), CHANGES)
 
 
 # ---- covariance of region returns
