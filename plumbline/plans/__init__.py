@@ -10,6 +10,7 @@ def catalogue() -> dict[str, Plan]:
         analog_plans,
         feature_plans,
         governance_plans,
+        job_plans,
         model_plans,
         portfolio_plans,
         risk_plans,
