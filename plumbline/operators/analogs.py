@@ -38,7 +38,7 @@ LITE_MISSING_FEATURES = ("analyst_upgrade_z", "earnings_revision_z")
 def numbered(history: DataFrame, features=DISTANCE_FEATURES, label: str = "ret_fwd_10d") -> DataFrame:
     """Rows with every distance feature, numbered by date within the ticker."""
     w = Window.partitionBy("ticker").orderBy("effective_date")
-    keep = [c for c in ("state",) if c in history.columns]
+    keep = [c for c in ("state", "query_state") if c in history.columns]
     return (
         history.select("ticker", "effective_date", *features, label, *keep)
         .dropna(subset=list(features))
@@ -313,12 +313,13 @@ def vol_shift_probability(returns: Column, annual_vol: Column, horizon: int = 10
     return F.when((annual_vol > 0) & (n > 0), share)
 
 
-def drivers(rows: DataFrame, features=DISTANCE_FEATURES, top: int = 3) -> DataFrame:
-    """The features of the latest row furthest from their own history."""
+def ticker_profile(rows: DataFrame, features=DISTANCE_FEATURES, top: int = 3) -> DataFrame:
+    """Per ticker in one aggregate: row count, last date, last volatility and the
+    features of the last row furthest from their own history."""
     stats = []
     for f in features:
-        stats += [F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}")]
-    stats += [F.max_by(F.struct(*features), "row_no").alias("_last"), F.max("effective_date").alias("as_of")]
+        stats += [F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"), F.max_by(f, "row_no").alias(f"l_{f}")]
+    stats += [F.max("effective_date").alias("as_of"), F.count("*").alias("n_rows")]
     z = rows.groupBy("ticker").agg(*stats)
     items = F.array(
         *[
@@ -326,7 +327,7 @@ def drivers(rows: DataFrame, features=DISTANCE_FEATURES, top: int = 3) -> DataFr
                 F.lit(f).alias("feature"),
                 F.lit(i).alias("position"),
                 (
-                    (F.col(f"_last.{f}") - F.col(f"m_{f}"))
+                    (F.col(f"l_{f}") - F.col(f"m_{f}"))
                     / F.when(F.col(f"s_{f}") > 0, F.col(f"s_{f}")).otherwise(1.0)
                 ).alias("z"),
             )
@@ -335,36 +336,60 @@ def drivers(rows: DataFrame, features=DISTANCE_FEATURES, top: int = 3) -> DataFr
     )
     ordered = F.array_sort(
         F.transform(
-            items, lambda x: F.struct((-F.abs(x["z"])).alias("a"), x["position"].alias("p"), x["feature"].alias("f"), x["z"].alias("z"))
+            items,
+            lambda x: F.struct(
+                (-F.abs(x["z"])).alias("a"), x["position"].alias("p"), x["feature"].alias("f"), x["z"].alias("z")
+            ),
         )
     )
     named = F.transform(
         F.slice(ordered, 1, top),
         lambda x: F.concat(x["f"], F.when(x["z"] >= 0, " ↑").otherwise(" ↓")),
     )
-    return z.select("ticker", "as_of", named.alias("drivers"))
+    return z.select(
+        "ticker", "as_of", "n_rows", F.col("l_realized_vol_21d").alias("current_vol"), named.alias("drivers")
+    )
 
 
-def watchlist(rows: DataFrame, neighbours: DataFrame, min_rows: int = MIN_HISTORY_ROWS) -> DataFrame:
-    """One row per ticker: analog distribution, tier, sizing, drivers, probabilities.
+def drivers(rows: DataFrame, features=DISTANCE_FEATURES, top: int = 3) -> DataFrame:
+    return ticker_profile(rows, features, top).select("ticker", "as_of", "drivers")
 
-    Tickers with too little history keep a row whose status says so.
+
+def assets(rows: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Everything known about each ticker's latest query, one row per ticker.
+
+    Global and within-state sets come side by side from a single pass over the
+    neighbours, and the ticker's own figures from a single pass over its rows.
     """
     summary = summarise(neighbours)
-    main = kelly_ladder(summary.where(F.col("analog_set") == "global"))
-    vol = latest_queries(rows).select(
-        "ticker", "n_rows", F.col("realized_vol_21d").alias("_vol"), F.col("effective_date").alias("_last")
+    own = [c for c in summary.columns if c not in ("ticker", "as_of", "analog_set")]
+    both = summary.groupBy("ticker", "as_of").agg(
+        F.first(F.when(F.col("analog_set") == "global", F.struct(*own)), ignorenulls=True).alias("_g"),
+        F.first(F.when(F.col("analog_set") == "within", F.col("dates")), ignorenulls=True).alias("_w"),
     )
-    has_within = disagreement(summary).select("ticker", "as_of", "overlap_pct", "n_within", "disagreement")
-    out = (
-        vol.join(main.drop("dates"), "ticker", "left")
-        .join(has_within, ["ticker", "as_of"], "left")
-        .join(drivers(rows).drop("as_of"), "ticker", "left")
+    main = both.select("ticker", "_g.*", "_w")
+    overlap = jaccard(F.col("dates"), F.coalesce("_w", F.array().cast("array<date>")))
+    # An empty within-state set overlaps in nothing; without states there is no second set.
+    split = F.lit("state" in rows.columns)
+    with_overlap = kelly_ladder(main).withColumns(
+        {
+            "overlap_pct": F.when(split, overlap),
+            "disagreement": F.when(split, overlap < OVERLAP_FLOOR),
+        }
     )
+    return ticker_profile(rows).join(with_overlap.drop("_w", "dates"), "ticker", "left")
+
+
+def watchlist(rows: DataFrame, neighbours: DataFrame, min_rows: int = MIN_HISTORY_ROWS) -> DataFrame:
+    """One row per ticker: analog distribution, tier, sizing, drivers, probabilities.
+
+    Tickers with too little history keep a row whose status says so.
+    """
+    out = assets(rows, neighbours)
     enough = (F.col("n_rows") >= min_rows) & (F.coalesce(F.col("n_returns"), F.lit(0)) >= MIN_RETURNS)
     return out.select(
         "ticker",
-        F.col("_last").alias("as_of"),
+        "as_of",
         F.when(enough, "ready").otherwise("pending").alias("status"),
         F.when(enough, F.bround("effective_n").cast("int")).alias("n"),
         F.when(enough, F.col("hit_rate")).alias("hit_rate"),
@@ -375,8 +400,8 @@ def watchlist(rows: DataFrame, neighbours: DataFrame, min_rows: int = MIN_HISTOR
             F.when(enough, F.col(c)).alias(c)
             for c in ("kelly_raw", "kelly_std", "kelly_regime", "kelly_displayed")
         ],
-        F.when(enough, vol_shift_probability(F.col("returns"), F.col("_vol"))).alias("p_vol_shift"),
+        F.when(enough, vol_shift_probability(F.col("returns"), F.col("current_vol"))).alias("p_vol_shift"),
         F.when(enough, F.col("covariance_method")).alias("covariance_method"),
         F.when(enough, F.col("overlap_pct")).alias("overlap_pct"),
-        F.when(enough & (F.col("n_within") > 0), F.col("disagreement")).alias("disagreement"),
+        F.when(enough, F.col("disagreement")).alias("disagreement"),
     )

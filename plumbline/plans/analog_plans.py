@@ -10,6 +10,7 @@ from plumbline.operators import regime_labels as rl
 from plumbline.plans.feature_plans import wide
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
+from plumbline.session import materialise
 from plumbline.sources import tables as tb
 
 FEATS = ft.DISTANCE_FEATURES
@@ -109,7 +110,8 @@ FROM near_k k JOIN hist h ON h.ticker = k.ticker AND h.row_no = h.n_rows WHERE f
 
 
 def history(spark, sf_dir):
-    return an.numbered(wide(spark, sf_dir))
+    """The feature rows an analog search reads several times, stored once."""
+    return materialise(an.numbered(wide(spark, sf_dir)), "analog-history")
 
 
 def nearest(spark, sf_dir):
@@ -242,13 +244,15 @@ SELECT ticker, as_of, 'global' AS analog_set, rank, effective_date, distance, fw
 UNION ALL SELECT ticker, as_of, 'within', rank, effective_date, distance, fwd FROM within_k""")
 
 
+def regime_history(spark, sf_dir):
+    rows = rl.attach_states(wide(spark, sf_dir), states(spark, sf_dir))
+    return materialise(an.numbered(rows), "analog-regime-history")
+
+
 def by_state(spark, sf_dir):
-    rows = rl.attach_states(history(spark, sf_dir).drop("row_no", "n_rows"), states(spark, sf_dir))
-    current = rows.select("ticker", "effective_date", "query_state")
-    numbered = an.numbered(rows)
-    queries = an.fit_precision(an.latest_queries(an.prefix_moments(numbered)))
-    queries = queries.join(current, ["ticker", "effective_date"])
-    return numbered, an.find_analogs(numbered, queries, by_state=True)
+    rows = regime_history(spark, sf_dir)
+    queries = an.fit_precision(an.latest_queries(an.prefix_moments(rows)))
+    return rows, an.find_analogs(rows, queries, by_state=True)
 
 
 @plan("analog_sets_by_regime", "ticker:s as_of:d analog_set:s rank:i effective_date:d distance:f fwd:f", "M11 J5",
@@ -276,7 +280,7 @@ FROM e JOIN (SELECT analog_set, quantile_cont(fwd, 0.05) AS p5, quantile_cont(fw
 GROUP BY 1, 2"""))
 def _(spark, sf_dir):
     from plumbline.functions.stats import exact_percentiles
-    rows = by_state(spark, sf_dir)[1].select("analog_set", "fwd").dropna()
+    rows = materialise(by_state(spark, sf_dir)[1].select("analog_set", "fwd").dropna(), "analog-returns")
     edges = rows.groupBy("analog_set").agg(F.min("fwd").alias("lo"), F.max("fwd").alias("hi"))
     marks = exact_percentiles(rows, ["analog_set"], "fwd", {"p5": 0.05, "p25": 0.25, "p50": 0.5})
     spot = F.least(F.floor((F.col("fwd") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 30), F.lit(29)) + 1
@@ -290,8 +294,6 @@ def _(spark, sf_dir):
       "ticker:s as_of:d status:s n:i hit_rate:f conf:s p5:f p50:f p95:f covariance_method:s overlap_pct:f disagreement:b kelly_displayed:f",
       "M8 M12")
 def _(spark, sf_dir):
-    rows = rl.attach_states(history(spark, sf_dir).drop("row_no", "n_rows"), states(spark, sf_dir))
-    current = rows.select("ticker", "effective_date", "query_state")
-    numbered = an.numbered(rows)
-    queries = an.fit_robust_precision(numbered).join(current, ["ticker", "effective_date"])
-    return an.watchlist(numbered, an.find_analogs(numbered, queries, by_state=True))
+    rows = regime_history(spark, sf_dir)
+    queries = an.fit_robust_precision(rows)
+    return an.watchlist(rows, an.find_analogs(rows, queries, by_state=True))

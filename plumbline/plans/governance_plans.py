@@ -176,12 +176,11 @@ SELECT ticker, count(*) FILTER (WHERE z >= 0) AS ups, count(*) FILTER (WHERE z <
 
 
 def decided(spark, sf_dir):
-    rows, neighbours = by_state(spark, sf_dir)
-    summary = an.summarise(neighbours)
-    main = an.kelly_ladder(summary.where("analog_set = 'global'"))
-    split = an.disagreement(summary).select("ticker", "disagreement")
-    assets = main.join(split, "ticker").join(an.drivers(rows).drop("as_of"), "ticker")
-    return gov.cases(assets.withColumn("n", F.bround("effective_n").cast("int")).withColumn("regime", F.lit("Neutral / transition")))
+    assets = an.assets(*by_state(spark, sf_dir)).where("n_returns IS NOT NULL")
+    return gov.cases(
+        assets.withColumns({
+            "n": F.bround("effective_n").cast("int"), "regime": F.lit("Neutral / transition"),
+            "disagreement": F.coalesce("disagreement", F.lit(False))}))
 
 
 @plan("bull_bear_cases", "ticker:s n_bull:i n_bear:i verdict:s", "G7")
