@@ -110,6 +110,8 @@ class BarIngest:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            if batch.isEmpty():
+                return
             good, bad = ql.split_bars(batch)
             self._write(good, "bars", batch_id)
             self._write(bad, "quarantine", batch_id)
@@ -154,8 +156,10 @@ class BarIngest:
         return rows.join(newest, ["ticker", "batch_id"], "left_semi")
 
     def current_status(self) -> DataFrame:
+        """Per ticker: ready once any batch delivered it, error while none has."""
         rows = self.read("audit")
+        order = F.struct(F.col("list_status") == "ready", "batch_id")
         return rows.groupBy("ticker").agg(
-            F.max_by("list_status", "batch_id").alias("list_status"), F.max_by("status", "batch_id").alias("status"),
+            F.max_by("list_status", order).alias("list_status"), F.max_by("status", order).alias("status"),
             F.sum("n_rows").alias("n_rows"), F.sum("n_bad_rows").alias("n_bad_rows"),
         )
