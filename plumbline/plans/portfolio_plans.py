@@ -63,8 +63,12 @@ part("region_panel", "feat_region", f"""
 SELECT effective_date, {', '.join(f"max(ret_1d) FILTER (WHERE ticker = '{r}') AS x{i}" for i, r in enumerate(REGIONS))},
  CASE WHEN {_CRISIS} THEN 'crisis' ELSE 'normal' END AS regime FROM feat_region GROUP BY effective_date""")
 part("complete_panel", "region_panel", f"SELECT * FROM region_panel WHERE {' AND '.join(f'x{i} IS NOT NULL' for i in range(D))}")
-part("regime_cov", "complete_panel", " UNION ALL ".join(
-    f"SELECT regime, {i} AS i, {j} AS j, count(*) AS n, covar_samp(x{i}, x{j}) AS cov FROM complete_panel GROUP BY 1" for i in range(D) for j in range(D)))
+part("regime_cells", "complete_panel", " UNION ALL ".join(
+    f"SELECT regime, {i} AS i, {j} AS j, count(*) AS n, covar_samp(x{i}, x{j}) AS cov FROM complete_panel GROUP BY 1 HAVING count(*) >= 2"
+    for i in range(D) for j in range(D)))
+part("regime_cov", "regime_cells", """
+SELECT *, 'sample' AS method FROM regime_cells UNION ALL SELECT 'crisis', i, j, 0, 2 * cov, 'normal_x2' FROM regime_cells
+WHERE regime = 'normal' AND NOT EXISTS (SELECT 1 FROM regime_cells WHERE regime = 'crisis')""")
 
 
 def region_panel(spark, sf_dir):
@@ -77,7 +81,7 @@ def sample_cells(spark, sf_dir):
 
 
 @plan("two_regime_covariance", "regime:s i:i j:i n:i cov:f method:s", "M23 P10",
-      with_parts("regime_cov", "SELECT *, 'sample' AS method FROM regime_cov"))
+      with_parts("regime_cov", "SELECT * FROM regime_cov"))
 def _(spark, sf_dir):
     return sample_cells(spark, sf_dir)
 

@@ -185,9 +185,10 @@ WINDOW = ("1996-01-01", "2001-12-31")
 , m AS (SELECT DISTINCT d.ticker, l.ticker IS NOT NULL AS found FROM delisted d LEFT JOIN live_universe l USING (ticker)
  WHERE termination_date BETWEEN DATE '1996-01-01' AND DATE '2001-12-31'),
 c AS (SELECT count(*) AS expected_n, count(*) FILTER (WHERE found) AS found_n FROM m)
-SELECT expected_n, found_n, found_n / expected_n AS coverage, found_n / expected_n >= 0.8 AS passed,
- CASE WHEN found_n / expected_n >= 0.8 THEN printf('PASS coverage=%.3f >= floor=0.80', found_n / expected_n)
- ELSE printf('FAIL coverage=%.3f < floor=0.80; missing %d delisted ticker(s)', found_n / expected_n, expected_n - found_n) END AS note FROM c"""))
+SELECT expected_n, found_n, cov AS coverage, cov >= 0.8 AS passed, CASE WHEN expected_n = 0 THEN 'PASS (no delisted tickers in window)'
+ WHEN cov >= 0.8 THEN printf('PASS coverage=%.3f >= floor=0.80', cov)
+ ELSE printf('FAIL coverage=%.3f < floor=0.80; missing %d delisted ticker(s)', cov, expected_n - found_n) END AS note
+FROM (SELECT *, CASE WHEN expected_n = 0 THEN 1 ELSE found_n / expected_n END AS cov FROM c)"""))
 def _(spark, sf_dir):
     return va.survivorship(live_universe(spark, sf_dir), delisted(spark, sf_dir), *WINDOW)
 
