@@ -9,14 +9,15 @@ from pyspark.sql.window import Window
 
 def asof_join(
     left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values, tie: str,
-    bucket_seconds: int = 3600,
+    bucket_seconds: int = 300,
 ) -> DataFrame:
     """Adds to each left row the ``values`` of the last right row at or before it.
 
     Both sides are cut into (key, time bucket) pieces, so a key that holds a third
     of all rows is spread over as many tasks as it has buckets. Into a piece only
     one row is carried: the last right row of any earlier bucket, found among the
-    one-row-per-bucket maxima.
+    one-row-per-bucket maxima. ``bucket_seconds`` bounds the rows of a piece; pick it
+    by the densest key, since buckets themselves are cheap.
     """
     def bucket(c):
         return F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_seconds)

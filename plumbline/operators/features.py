@@ -153,6 +153,16 @@ def to_long(wide: DataFrame, features=OHLCV_FEATURES, keys=("ticker", "effective
     return long.where(F.col("feature_value").isNotNull() & ~F.isnan("feature_value"))
 
 
+def known_features(wide: DataFrame, features=OHLCV_FEATURES, label: str = "ret_fwd_10d", horizon: int = 10) -> DataFrame:
+    """Long rows with the date each value becomes known: its own date, for the label
+    the date of the row ``horizon`` rows later."""
+    closes = F.lead("effective_date", horizon).over(series())
+    keys = ("ticker", "effective_date", "_known")
+    long = to_long(wide.withColumn("_known", closes), features, keys)
+    known = F.when(F.col("feature_name") == label, F.col("_known")).otherwise(F.col("effective_date"))
+    return long.select("ticker", "effective_date", known.alias("knowledge_date"), "feature_name", "feature_value")
+
+
 def to_wide(long: DataFrame, features, keys=("ticker", "effective_date")) -> DataFrame:
     return long.groupBy(*keys).pivot("feature_name", list(features)).agg(F.first("feature_value"))
 

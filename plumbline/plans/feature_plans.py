@@ -102,6 +102,14 @@ def _(spark, sf_dir):
     return long(spark, sf_dir)
 
 
+@plan("features_with_knowledge", "ticker:s effective_date:d knowledge_date:d feature_name:s feature_value:f", "F17 Q4",
+      with_parts("long_supplier", f"""
+SELECT l.ticker, l.effective_date, CASE WHEN feature_name = 'ret_fwd_10d' THEN known ELSE l.effective_date END AS knowledge_date, feature_name, feature_value
+FROM long_supplier l JOIN (SELECT ticker, effective_date, lead(effective_date, 10) OVER ({W}) AS known FROM bars_supplier) k USING (ticker, effective_date)"""))
+def _(spark, sf_dir):
+    return ft.known_features(wide(spark, sf_dir))
+
+
 _HL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in ft.HALF_LIVES.items())
 
 

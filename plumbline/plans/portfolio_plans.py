@@ -113,14 +113,14 @@ SELECT portfolio_id, ticker, spend / sum(spend) OVER (PARTITION BY portfolio_id)
 
 def weights(spark, sf_dir):
     from pyspark.sql.window import Window
-    # Lines collapse to one row per (order, supplier) before the wide join.
-    lines = tb.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+    lines = tb.read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     orders = tb.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    home = tb.sector_map(spark, sf_dir).join(
-        tb.read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("ticker")), "ticker").select("s_suppkey", "etf")
+    home = tb.supplier_regions(spark, sf_dir).select("s_suppkey", "etf")
+    # One exchange on the order serves both the sum per order and the join with orders.
     spend = (
         lines.join(home, F.col("l_suppkey") == F.col("s_suppkey"))
+        .repartition("l_orderkey")
         .groupBy("l_orderkey", "etf").agg(F.sum("cents").alias("cents"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey").alias("portfolio_id"), F.col("etf").alias("ticker"))

@@ -87,16 +87,20 @@ def bars(spark: SparkSession, sf_dir: str, entity: str = "supplier") -> DataFram
     return _roll_up(named, ["ticker", "effective_date"]).select(*columns)
 
 
-def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, etf): each supplier is paired with the region it belongs to."""
+def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, ticker, etf): each supplier with the region it belongs to."""
     return (
         read(spark, sf_dir, "supplier")
         .join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("s_name").alias("ticker"), F.col("r_name").alias("etf"))
+        .select("s_suppkey", F.col("s_name").alias("ticker"), F.col("r_name").alias("etf"))
     )
 
 
+def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_regions(spark, sf_dir).select("ticker", "etf")
+
+
 def _macro_name() -> Column:
     pairs = [F.lit(x) for item in MACRO_SERIES.items() for x in item]
     return F.create_map(*pairs)[F.col("o_orderpriority")]

@@ -126,7 +126,7 @@ class BarIngest:
             latest = history.groupBy("ticker", "effective_date").agg(
                 F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch_id").alias("bar")
             ).select("ticker", "effective_date", "bar.*")
-            self._write(ft.to_long(ft.ohlcv_features(latest)), "features", batch_id)
+            self._write(ft.known_features(ft.ohlcv_features(latest)), "features", batch_id)
         finally:
             batch.unpersist()
 
