@@ -10,6 +10,7 @@ from plumbline.functions.dates import time_bucket
 from plumbline.functions.stats import exact_percentiles, robust_z
 from plumbline.operators.features import amihud, corwin_schultz
 from plumbline.operators.quality import suppression
+from plumbline.session import materialise
 
 # fixed values
 ALERT_Z = 2.5
@@ -30,6 +31,7 @@ MIN_STRESS_DATES = 30
 def robust_stats(rows: DataFrame, keys, value: str = "value") -> DataFrame:
     """Median and median absolute deviation per key, whatever the size of a key."""
     keys = list(keys)
+    rows = materialise(rows.select(*keys, value), "robust-rows")
     centre = exact_percentiles(rows, keys, value, {"median": 0.5})
     gaps = rows.join(centre, keys).withColumn("_gap", F.abs(F.col(value) - F.col("median")))
     mad = exact_percentiles(gaps, keys, "_gap", {"mad": 0.5})

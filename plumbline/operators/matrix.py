@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.linalg import robust_covariance
+from plumbline.session import materialise
 
 MAX_NAMES = 2000
 
@@ -50,10 +51,12 @@ def moment_matrices(rows: DataFrame, d: int, key: str) -> DataFrame:
     partial = rows.select(key, "x").mapInPandas(reduce, schema)
     cells = partial.select(key, F.posexplode("cells").alias("pos", "c"))
     summed = cells.groupBy(key, "pos").agg(*[F.sum(f"c.{f}").alias(f) for f in ("n", "sx", "sxx", "sxy")])
-    return summed.select(
+    matrix = summed.select(
         key, F.floor(F.col("pos") / d).cast("int").alias("i"), (F.col("pos") % d).alias("j"),
         "n", "sx", "sxx", "sxy",
     )
+    # d x d rows per key, stored because every user reads them next to their transpose.
+    return materialise(matrix, "moments")
 
 
 def covariance_cells(moments: DataFrame, key: str) -> DataFrame:

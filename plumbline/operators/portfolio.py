@@ -61,14 +61,14 @@ def two_regime_covariance(panel: DataFrame, d: int, windows=CRISIS_WINDOWS, robu
     Stressed rows give a robust matrix from 5 rows per name on, a sample matrix from
     2 on, and twice the normal matrix below that. Without normal rows there is no result.
     """
-    rows = regime_rows(panel, windows)
+    rows = materialise(regime_rows(panel, windows), "panel")
     sample = sample_covariance(rows, d, "regime").select("regime", "i", "j", "n", "cov").withColumn(
         "method", F.lit("sample")
     )
     normal = sample.where("regime = 'normal'")
     stressed = sample.where("regime = 'crisis'")
     if robust:
-        cells = robust_cells(rows, d, "regime", MIN_ROWS_PER_NAME)
+        cells = materialise(robust_cells(rows, d, "regime", MIN_ROWS_PER_NAME), "robust")
         normal = cells.where("regime = 'normal'")
         enough = cells.where((F.col("regime") == "crisis") & (F.col("n") >= MIN_ROWS_PER_NAME * d))
         stressed = stressed.where(F.col("n") < MIN_ROWS_PER_NAME * d).unionByName(enough)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import exact_percentiles
+from plumbline.session import materialise
 
 # fixed values: the five labels, their order is the state id
 LABELS = ("Calm bull", "Volatile bull", "Range / chop", "Stressed bear", "Volatile bear")
@@ -58,7 +59,8 @@ def conditional_expectancy(df: DataFrame, label: str, value: str, min_rows: int
     A label may hold a third of all rows, so the median is selected by rank
     instead of being gathered in one task.
     """
-    rows = df.where(F.col(label).isNotNull() & F.col(value).isNotNull())
+    rows = df.where(F.col(label).isNotNull() & F.col(value).isNotNull()).select(label, value)
+    rows = materialise(rows, "expectancy")
     stats = rows.groupBy(label).agg(
         F.count("*").alias("n"),
         F.avg(value).alias("mean"),

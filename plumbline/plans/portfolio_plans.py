@@ -12,6 +12,7 @@ from plumbline.plans.feature_plans import W
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
 from plumbline.plans.store_plans import FACTORS, REGIONS, aligned, factors
+from plumbline.session import materialise
 from plumbline.sources import tables as tb
 
 D = len(REGIONS)
@@ -138,7 +139,9 @@ SELECT r.ticker, factor, regr_slope(r.ret_1d, f) AS beta FROM feat_region r JOIN
 def simple_betas(spark, sf_dir):
     from pyspark.sql.window import Window
     w = Window.partitionBy("factor").orderBy("effective_date")
-    long = factors(spark, sf_dir).unpivot(["effective_date"], list(FACTORS), "factor", "f").select(
+    # One row per date; stored, since the unpivot would read its source once per factor.
+    wide = materialise(factors(spark, sf_dir), "factors")
+    long = wide.unpivot(["effective_date"], list(FACTORS), "factor", "f").select(
         F.lead("effective_date", 1).over(w).alias("effective_date"), "factor", "f")
     rets = ft.add_returns(tb.bars(spark, sf_dir, "region"), (1,)).select("ticker", "effective_date", "ret_1d")
     return rets.join(long, "effective_date").groupBy("ticker", "factor").agg(F.regr_slope("ret_1d", "f").alias("beta"))
