@@ -13,7 +13,7 @@ from plumbline.plans.analog_plans import history
 from plumbline.plans.feature_plans import market, wide
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
-from plumbline.plans.validation_plans import WINDOW, cv_rows, delisted, deflated, live_universe
+from plumbline.plans.validation_plans import WINDOW, deflated, delisted, live_universe
 from plumbline.sources import tables as tb
 
 OBS = ("ret_1d", "ret_21d", "realized_vol_21d")

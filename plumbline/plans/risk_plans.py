@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.asof import asof_join
-from plumbline.operators import analogs as an
 from plumbline.operators import execution as ex
 from plumbline.operators import features as ft
 from plumbline.operators import forecast as fc
 from plumbline.operators import friction as fr
 from plumbline.operators import sizing as sz
-from plumbline.plans.analog_plans import by_state, past
-from plumbline.plans.feature_plans import W, long, wide
+from plumbline.plans.analog_plans import past
+from plumbline.plans.feature_plans import W, wide
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
-from plumbline.plans.store_plans import calendar_lines
-from plumbline.sources import landing as ld
 from plumbline.sources import tables as tb
 
 # ---- sizing: uncertainty and overlap vary by ticker so that every branch is met

@@ -8,7 +8,7 @@ from plumbline.functions import dates as dt
 from plumbline.operators import features as ft
 from plumbline.operators import pit
 from plumbline.operators import quality as ql
-from plumbline.plans.feature_plans import W, long, wide
+from plumbline.plans.feature_plans import W, long
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
 from plumbline.plans.validation_plans import delisted, fetch_audit
