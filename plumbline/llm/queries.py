@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing
+import public_tokenizers
+
+from plumbline.llm import mixing, speculative_bpe
 from plumbline.llm.common import table
 
+# The vocabulary file; callers may name another.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary() -> str:
+    return public_tokenizers.path(VOCABULARY)
+
 
 def op1_mix_sources(spark, sf_dir):
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources}
+def op4_speculative_bpe(spark, sf_dir, path=None):
+    return speculative_bpe.token_digests(table(spark, sf_dir, "documents"), path or vocabulary())
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_speculative_bpe": op4_speculative_bpe,
+}
 SQL = {"op1_mix_sources": mixing.mix_sql()}
