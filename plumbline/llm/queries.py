@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import mixing, speculative_bpe
+from plumbline.llm import mixing, piecewise, simhash, speculative_bpe, token_shards, warc
 from plumbline.llm.common import table
 
 # The vocabulary file; callers may name another.
@@ -19,12 +19,35 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_segments(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_speculative_bpe(spark, sf_dir, path=None):
     return speculative_bpe.token_digests(table(spark, sf_dir, "documents"), path or vocabulary())
 
 
+def op5_token_shards(spark, sf_dir, path=None):
+    return token_shards.shard_round_trip(table(spark, sf_dir, "documents"), path or vocabulary())
+
+
+def op8_simhash_near_copies(spark, sf_dir):
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op10_piecewise_hashes(spark, sf_dir):
+    return piecewise.near_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_warc_segments": op3_warc_segments,
     "op4_speculative_bpe": op4_speculative_bpe,
+    "op5_token_shards": op5_token_shards,
+    "op8_simhash_near_copies": op8_simhash_near_copies,
+    "op10_piecewise_hashes": op10_piecewise_hashes,
+}
+SQL = {
+    "op1_mix_sources": mixing.mix_sql(),
+    "op3_warc_segments": warc.round_trip_sql(),
 }
-SQL = {"op1_mix_sources": mixing.mix_sql()}
