@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import mixing, piecewise, simhash, speculative_bpe, token_shards, warc
+from plumbline.llm import byte_cnn, mixing, piecewise, pivot_index, simhash, speculative_bpe, token_shards, warc
 from plumbline.llm.common import table
 
 # The vocabulary file; callers may name another.
@@ -31,6 +31,14 @@ def op5_token_shards(spark, sf_dir, path=None):
     return token_shards.shard_round_trip(table(spark, sf_dir, "documents"), path or vocabulary())
 
 
+def op6_pivot_near_vectors(spark, sf_dir):
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_byte_cnn_language(spark, sf_dir):
+    return byte_cnn.languages_of(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_copies(spark, sf_dir):
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -44,10 +52,13 @@ QUERIES = {
     "op3_warc_segments": op3_warc_segments,
     "op4_speculative_bpe": op4_speculative_bpe,
     "op5_token_shards": op5_token_shards,
+    "op6_pivot_near_vectors": op6_pivot_near_vectors,
+    "op7_byte_cnn_language": op7_byte_cnn_language,
     "op8_simhash_near_copies": op8_simhash_near_copies,
     "op10_piecewise_hashes": op10_piecewise_hashes,
 }
 SQL = {
     "op1_mix_sources": mixing.mix_sql(),
     "op3_warc_segments": warc.round_trip_sql(),
+    "op6_pivot_near_vectors": pivot_index.vectors_sql(),
 }
