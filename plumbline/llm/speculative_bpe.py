@@ -15,8 +15,10 @@ kept; an empty table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,10 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from plumbline.llm.chunks import ChunkEncoder
+from plumbline.llm.chunks import ChunkEncoder, forget
 from plumbline.llm.common import bounded_batches
 
 END = "</w>"
+# Longer words are merged one by one.
+LONG_WORD = 64
+# Words remembered per worker, beside the chunks.
+REMEMBERED_WORDS = 200_000
 
 def word_pattern(splitter) -> regex.Pattern:
     """Contractions, runs of letters, single digits, runs of other marks.
@@ -91,6 +97,7 @@ class SpeculativeBpe:
         library = Tokenizer.from_file(path)
         self.normalise = library.normalizer.normalize_str
         self.word = word_pattern(library.pre_tokenizer)
+        self.known: dict[str, bytes] = {}
         self.checked = {"words": 0, "merged exactly": 0}
 
     def propose(self, word: str) -> list[int]:
@@ -128,23 +135,72 @@ class SpeculativeBpe:
             rows, a, b, limit = rows[~done], a[~done], b[~done], limit[~done]
         return ok
 
-    def merge_exactly(self, word: str) -> list[int]:
-        tokens = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + END]]
-        while len(tokens) > 1:
-            made = [self.merged.get(a * self.size + b, self.size) for a, b in zip(tokens, tokens[1:])]
-            first = min(made)
-            if first == self.size:
+    def merge_exactly(self, words: list[str]) -> list[list[int]]:
+        """Merging by rank, the leftmost first: many words of similar length at a time, long ones one by one."""
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        short = [k for k in order if len(words[k]) <= LONG_WORD]
+        for lo in range(0, len(short), 4096):
+            some = short[lo : lo + 4096]
+            for k, tokens in zip(some, self._merge_table([self.letters(words[k]) for k in some]), strict=True):
+                out[k] = tokens
+        for k in order[len(short) :]:
+            out[k] = self._merge_long(self.letters(words[k]))
+        return out
+
+    def letters(self, word: str) -> list[int]:
+        return [*map(self.ids.__getitem__, word[:-1]), self.ids[word[-1] + END]]
+
+    def _merge_table(self, words: list[list[int]]) -> Iterator[list[int]]:
+        n, width = len(words), max(map(len, words)) + 2
+        none = self.size + 1
+        tokens = np.full((n, width), -1, dtype=np.int64)
+        for row, word in enumerate(words):
+            tokens[row, : len(word)] = word
+        made = np.where(tokens[:, 1:] >= 0, self._merge_of(tokens[:, :-1], tokens[:, 1:]), none)
+        columns, live, done = np.arange(width - 1), np.arange(n), np.zeros_like(tokens)
+        while live.size:
+            row, at = np.arange(live.size), made.argmin(axis=1)
+            first = made[row, at]
+            ended = first >= self.size
+            if ended.any():
+                done[live[ended]] = tokens[ended]
+                live, tokens, made, at, first = live[~ended], tokens[~ended], made[~ended], at[~ended], first[~ended]
+                row = np.arange(live.size)
+            if not live.size:
                 break
-            out, k = [], 0
-            while k < len(tokens):
-                if k < len(made) and made[k] == first:
-                    out.append(first)
-                    k += 2
-                else:
-                    out.append(tokens[k])
-                    k += 1
-            tokens = out
-        return tokens
+            tokens[row, at] = first
+            moved = np.minimum(columns + (columns > at[:, None]), width - 1)
+            tokens[:, :-1] = np.take_along_axis(tokens, moved, axis=1)
+            tokens[:, -1] = -1
+            made = np.take_along_axis(made, np.minimum(columns + (columns >= at[:, None]), width - 2), axis=1)
+            made[:, -1] = none
+            for seam in (at - 1, at):
+                inside = seam >= 0
+                a, b = tokens[row[inside], seam[inside]], tokens[row[inside], seam[inside] + 1]
+                made[row[inside], seam[inside]] = np.where(b >= 0, self._merge_of(a, b), none)
+        return ([t for t in r if t >= 0] for r in done.tolist())
+
+    def _merge_long(self, tokens: list[int]) -> list[int]:
+        """The same with a heap, for a word of any length."""
+        n, none = len(tokens), self.size
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(m, k) for k in range(n - 1) if (m := self.merged.get(tokens[k] * self.size + tokens[k + 1], none)) < none]
+        heapq.heapify(heap)
+        while heap:
+            m, k = heapq.heappop(heap)
+            right = after[k]
+            if tokens[k] < 0 or right >= n or self.merged.get(tokens[k] * self.size + tokens[right]) != m:
+                continue  # one of the two has been merged since
+            tokens[k], tokens[right], after[k] = m, -1, after[right]
+            if after[k] < n:
+                before[after[k]] = k
+            for a in (before[k], k):
+                if a >= 0 and after[a] < n:
+                    made = self.merged.get(tokens[a] * self.size + tokens[after[a]], none)
+                    if made < none:
+                        heapq.heappush(heap, (made, a))
+        return [t for t in tokens if t >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Tokens of distinct words in byte characters."""
@@ -153,8 +209,8 @@ class SpeculativeBpe:
         owner = np.repeat(np.arange(len(words)), [len(p) for p in proposed])
         seam = np.flatnonzero(owner[1:] == owner[:-1])
         failing = np.unique(owner[seam[~self.compatible(flat[seam], flat[seam + 1])]])
-        for k in failing:
-            proposed[k] = self.merge_exactly(words[k])
+        for k, tokens in zip(failing, self.merge_exactly([words[k] for k in failing])):
+            proposed[k] = tokens
         self.checked["words"] += len(words)
         self.checked["merged exactly"] += len(failing)
         return proposed
@@ -166,14 +222,18 @@ class SpeculativeBpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                for word in self.word.findall(part.lower() if part.isascii() else self.normalise(part)):
-                    out.append("".join(map(self.characters.__getitem__, word.encode())))
+                lowered = part.lower() if part.isascii() else self.normalise(part)
+                for word in [lowered] if lowered.isascii() and lowered.isalpha() else self.word.findall(lowered):
+                    plain = word.isascii() and word.isprintable()
+                    out.append(word if plain else "".join(map(self.characters.__getitem__, word.encode())))
         return out
 
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         pieces = [self.pieces(c.decode()) for c in chunks]
-        words = list({p for ps in pieces for p in ps if isinstance(p, str)})
-        known = {w: np.array(t, dtype="<u4").tobytes() for w, t in zip(words, self.encode_words(words), strict=True)}
+        known = self.known
+        forget(known, REMEMBERED_WORDS)
+        words = list({p for ps in pieces for p in ps if isinstance(p, str) and p not in known})
+        known.update((w, np.array(t, dtype="<u4").tobytes()) for w, t in zip(words, self.encode_words(words), strict=True))
         return [
             b"".join(known[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in ps) for ps in pieces
         ]
