@@ -9,23 +9,35 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-# Chunks remembered per Python worker, about 200 bytes each. The memory starts
-# anew when it is full; results do not depend on it.
-REMEMBERED = 400_000
+import numpy as np
+
+# Chunks remembered per Python worker, about 200 bytes each. Results do not depend on it.
+REMEMBERED = 600_000
+
+
+def forget(known: dict, most: int) -> None:
+    """Make room in a memory of more than ``most``: short keys come back more often than long ones."""
+    if len(known) > most:
+        middle = np.median(np.fromiter(map(len, known), dtype=np.int64, count=len(known)))
+        for key in [k for k in known if len(k) >= middle]:
+            del known[key]
 
 
 class ChunkEncoder:
-    """``encode(chunks) -> list of little-endian unsigned 32-bit ids as bytes`` behind a memory."""
+    """``encode(chunks) -> ids as bytes`` behind a memory, with ASCII texts in lower case.
+
+    ``special`` is how all special tokens begin: texts with it keep their case.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], remembered: int = REMEMBERED):
-        self._encode, self._remembered, self._known = encode, remembered, {}
+    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], special: bytes = b"<|", remembered: int = REMEMBERED):
+        self._encode, self._special, self._remembered, self._known = encode, special, remembered, {}
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        split = [(t or b"").split() for t in texts]
+        special = self._special
+        split = [(t.lower() if t.isascii() and special not in t else t).split() for t in (t or b"" for t in texts)]
         known = self._known
-        if len(known) > self._remembered:
-            known.clear()
+        forget(known, self._remembered)
         new = list({c for chunks in split for c in chunks if c not in known})
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]

@@ -132,7 +132,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) ->
 
 
 def training_order(planned: DataFrame, schedules=SCHEDULES) -> DataFrame:
-    """One row per reading of a document, sorted by the training time at which it happens.
+    """One row per reading of a document with the training time at which it happens, to sort by.
 
     Adds repeat (0, 1, ..), words (those read in this pass) and position (0..1).
     """
@@ -143,7 +143,7 @@ def training_order(planned: DataFrame, schedules=SCHEDULES) -> DataFrame:
     rows = rows.withColumn("words", F.when(F.col("repeat") < F.col("passes"), F.col("size")).otherwise(F.col("cut")))
     middle = F.col("repeat") * F.col("source_size") + F.col("before") + F.col("words") / 2
     rows = rows.withColumn("_y", middle / F.col("due"))
-    return rows.withColumn("position", F.expr(position_sql("_y", "kind", schedules))).drop("_y").orderBy("position", "doc_id")
+    return rows.withColumn("position", F.expr(position_sql("_y", "kind", schedules))).drop("_y")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -160,6 +160,22 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_p
     ).orderBy("position", "doc_id")
 
 
+def mixed_readings(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_passes: int = MAX_PASSES) -> DataFrame:
+    """Rows of ``docs``, one per reading, in training order.
+
+    Rows of one doc_id are told apart by a number given in order of source and size.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("source", "_size"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    rows = docs.withColumn("_key", key).withColumn("_size", size).withColumn("_row", number)
+    planned = plan_mix(docs, weights, max_passes).withColumnRenamed("size", "_size").withColumn("_key", key)
+    planned = planned.withColumn("_row", number).withColumnRenamed("_size", "size")
+    order = training_order(planned, schedules).select("_key", "_row", F.col("position").alias("_position"))
+    taken = rows.join(order, ["_key", "_row"])
+    return taken.orderBy("_position", "_key", "_row").select(*docs.columns)
+
+
 def mix_sql() -> str:
     """DuckDB SQL for op1."""
     weight = "CASE (rank - 1) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END"

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import byte_cnn, mixing, piecewise, pivot_index, simhash, speculative_bpe, token_shards, warc
+from plumbline.llm import (
+    byte_cnn,
+    cotraining,
+    html_crf,
+    mixing,
+    piecewise,
+    pivot_index,
+    simhash,
+    speculative_bpe,
+    token_shards,
+    warc,
+)
 from plumbline.llm.common import table
 
 # The vocabulary file; callers may name another.
@@ -19,6 +30,10 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_cotrained_quality(spark, sf_dir):
+    return cotraining.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc_segments(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -43,18 +58,24 @@ def op8_simhash_near_copies(spark, sf_dir):
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_html_main_text(spark, sf_dir):
+    return html_crf.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_piecewise_hashes(spark, sf_dir):
     return piecewise.near_edits(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_cotrained_quality": op2_cotrained_quality,
     "op3_warc_segments": op3_warc_segments,
     "op4_speculative_bpe": op4_speculative_bpe,
     "op5_token_shards": op5_token_shards,
     "op6_pivot_near_vectors": op6_pivot_near_vectors,
     "op7_byte_cnn_language": op7_byte_cnn_language,
     "op8_simhash_near_copies": op8_simhash_near_copies,
+    "op9_html_main_text": op9_html_main_text,
     "op10_piecewise_hashes": op10_piecewise_hashes,
 }
 SQL = {

@@ -35,47 +35,101 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm.chunks import ChunkEncoder
+from plumbline.llm.chunks import ChunkEncoder, forget
 from plumbline.llm.common import bounded_batches
 from plumbline.session import materialise, shared_dir
 
 SHARD_BYTES = 16 << 20
 HEADER = struct.Struct("<qBQQ")
+# Runs of letters and of marks that a worker remembers.
+REMEMBERED_WORDS = 250_000
+# ASCII marks that may follow a word; none of them can join it to what comes after.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---- encoding texts ---------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str) -> ChunkEncoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core
-    tokenizer = Tokenizer.from_file(path)
+def id_type(vocabulary: int) -> np.dtype:
+    """Ids are kept in two bytes where the vocabulary allows it."""
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
+class LibraryEncoder:
+    """Ids of chunks from the tokenizers library, many chunks in one call.
+
+    A chunk of letters with marks behind them has the tokens of the letters, then
+    those of the marks, so only the letters are asked for once more; tokens that end
+    a word tell where each chunk of letters ends. For all others token offsets do.
+    """
 
-    def encode(chunks: list[bytes]):
-        """The library encodes many chunks as one text; token offsets say which chunk a token is from."""
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.kind = id_type(size)
+        self.ends_word = np.array([self.tokenizer.id_to_token(k).endswith("</w>") for k in range(size)])
+        self.known: dict[str, bytes] = {}
+
+    def by_offsets(self, chunks: list[str]):
         for lo in range(0, len(chunks), 500):
-            part = [c.decode() for c in chunks[lo : lo + 500]]
-            found = tokenizer.encode("\n".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(p) + 1 for p in part])
+            part = chunks[lo : lo + 500]
+            found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
             starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found.ids))
-            cuts = np.searchsorted(starts, ends)
-            ids = np.array(found.ids, dtype="<u4")
-            yield from (ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts))
+            yield from self._cut(found.ids, np.searchsorted(starts, np.cumsum([len(p) + 1 for p in part])))
+
+    def by_word_ends(self, words: list[str]):
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
+            ids = self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            yield from self._cut(ids, cuts) if len(cuts) == len(part) else self.by_offsets(part)
+
+    def _cut(self, ids: list[int], cuts: np.ndarray):
+        raw, width = np.array(ids, dtype=self.kind).tobytes(), self.kind.itemsize
+        at = (cuts * width).tolist()
+        return (raw[a:b] for a, b in zip([0, *at[:-1]], at))
+
+    def __call__(self, chunks: list[bytes]) -> list[bytes]:
+        known = self.known
+        forget(known, REMEMBERED_WORDS)
+        split, words, others = [], set(), set()
+        for c in chunks:
+            text = c.decode()
+            letters = text.rstrip(MARKS)
+            marks, word = text[len(letters) :], letters.lower()
+            if len(word) == len(letters) and word.isalpha() and "Σ" not in letters:
+                words.add(word)
+                others.add(marks)
+                split.append((word, marks))
+            else:
+                others.add(text)
+                split.append((text, ""))
+        words = [w for w in words if w not in known]
+        known.update(zip(words, self.by_word_ends(words), strict=True))
+        others = [w for w in others if w and w not in known]
+        known.update(zip(others, self.by_offsets(others), strict=True))
+        known[""] = b""
+        return [known[a] + known[b] for a, b in split]
+
 
-    return ChunkEncoder(encode)
+@lru_cache(maxsize=4)
+def _encoder(path: str) -> tuple[ChunkEncoder, np.dtype]:
+    library = LibraryEncoder(path)
+    return ChunkEncoder(library), library.kind
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit, the end id last)."""
+    """doc_id, n_tokens and ids (little endian, the end id last)."""
     bounded_batches(docs.sparkSession)
-    end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder = _encoder(path)
+        encoder, kind = _encoder(path)
+        end = end_id.to_bytes(kind.itemsize, "little")
         for batch in batches:
             ids = [e + end for e in encoder(batch.column("text").cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                [batch.column("doc_id"), pa.array([len(i) // kind.itemsize for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "n_tokens", "ids"],
             )
 
@@ -85,14 +139,14 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 # ---- ranks ------------------------------------------------------------------------------------
 
 
-def ranks_by_frequency(tokens: DataFrame) -> DataFrame:
+def ranks_by_frequency(tokens: DataFrame, kind: np.dtype) -> DataFrame:
     """id, rank: one row per id in use, the most frequent first. Every task adds up its own counts."""
 
     def count(batches):
         totals = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                seen = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"))
+                seen = np.bincount(np.frombuffer(ids.as_buffer(), dtype=kind))
                 if len(seen) > len(totals):
                     totals = np.concatenate([totals, np.zeros(len(seen) - len(totals), dtype=np.int64)])
                 totals[: len(seen)] += seen
@@ -156,17 +210,18 @@ def records_of(shard):
 
 def write_shards(docs: DataFrame, path: str, end_id: int, out: str) -> None:
     """Write ``out``/shards (files part-* in ascending doc_id order) and ``out``/ranks."""
+    kind = id_type(Tokenizer.from_file(path).get_vocab_size())
     tokens = materialise(encoded(docs, path, end_id), "token-ids")
-    ranks_by_frequency(tokens).coalesce(1).write.parquet(f"{out}/ranks")
+    ranks_by_frequency(tokens, kind).coalesce(1).write.parquet(f"{out}/ranks")
     rank_of = _lookup(tokens.sparkSession, out, "id", "rank")
     words = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(1, -(-2 * words // SHARD_BYTES))
+    parts = max(1, -(-2 * words // SHARD_BYTES))  # a token takes one to two bytes
 
     def run(batches):
         for batch in batches:
             records = []
             for doc_id, ids in zip(batch.column("doc_id"), batch.column("ids")):
-                records.append(as_record(doc_id.as_py(), rank_of[np.frombuffer(ids.as_buffer(), dtype="<u4")]))
+                records.append(as_record(doc_id.as_py(), rank_of[np.frombuffer(ids.as_buffer(), dtype=kind)]))
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
 
     records = (
