@@ -21,6 +21,7 @@ gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -76,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     """64 bits in ``parts`` groups of nearly equal width, each grown by the bit most correlated with it."""
-    bits = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
+    bits = np.unpackbits(np.ascontiguousarray(sample).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
     spread = bits.std(axis=0)
     centred = (bits - bits.mean(axis=0)) / np.where(spread > 0, spread, 1)
     tie = np.abs(centred.T @ centred) / max(1, len(bits))
@@ -135,6 +136,10 @@ def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
+def _cell(part: int, key):
+    return F.struct(F.lit(part).alias("part"), key.alias("key"))
+
+
 def filed(distinct: DataFrame, index: list[tuple[list[int], int]]) -> DataFrame:
     """One row per fingerprint, partition and probe: part, key, bits.
 
@@ -149,7 +154,7 @@ def filed(distinct: DataFrame, index: list[tuple[list[int], int]]) -> DataFrame:
             flips = [F.lit(_signed(1 << b)) for b in group]
             probes = [F.when(F.col("bits").bitwiseAND(f) == 0, key.bitwiseOR(f)) for f in flips]
             keys = F.array_compact(F.array(key, *probes))
-        cells.append(F.transform(keys, lambda k, p=part: F.struct(F.lit(p).alias("part"), k.alias("key"))))
+        cells.append(F.transform(keys, partial(_cell, part)))
     return distinct.select("bits", F.explode(F.flatten(F.array(*cells))).alias("c")).select("bits", "c.part", "c.key")
 
 
