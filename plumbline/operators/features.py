@@ -84,7 +84,11 @@ def add_ma_flag(df: DataFrame, rows: int = 50) -> DataFrame:
     return df.withColumn(f"pct_above_ma{rows}", flag)
 
 
-def add_forward_label(df: DataFrame, horizon: int = 10) -> DataFrame:
+# rows that a forward label looks ahead
+FORWARD_ROWS = 10
+
+
+def add_forward_label(df: DataFrame, horizon: int = FORWARD_ROWS) -> DataFrame:
     fwd = F.lead("close", horizon).over(series()) / F.col("close") - 1
     return df.withColumn(f"ret_fwd_{horizon}d", fwd)
 
@@ -153,7 +157,7 @@ def to_long(wide: DataFrame, features=OHLCV_FEATURES, keys=("ticker", "effective
     return long.where(F.col("feature_value").isNotNull() & ~F.isnan("feature_value"))
 
 
-def known_features(wide: DataFrame, features=OHLCV_FEATURES, label: str = "ret_fwd_10d", horizon: int = 10) -> DataFrame:
+def known_features(wide: DataFrame, features=OHLCV_FEATURES, label: str = "ret_fwd_10d", horizon: int = FORWARD_ROWS) -> DataFrame:
     """Long rows with the date each value becomes known: its own date, for the label
     the date of the row ``horizon`` rows later."""
     closes = F.lead("effective_date", horizon).over(series())

@@ -51,11 +51,20 @@ def _(spark, sf_dir):
 @plan("bar_ingest_stream", "ticker:s feature_name:s n:i total:f", "ST2",
       with_parts("long_region", "SELECT ticker, feature_name, count(*) AS n, sum(feature_value) AS total FROM long_region GROUP BY 1, 2"))
 def _(spark, sf_dir):
-    landing, root = scratch(spark, "landing"), scratch(spark, "ingest")
-    columns = ["ticker", "effective_date", "open", "high", "low", "close", "volume"]
-    tb.bars(spark, sf_dir, "region").select(*columns).write.parquet(landing)
+    """Three deliveries: all but one name, with wrong closes; the name left out and the
+    corrections, both older than what was delivered; and rows that were there before."""
+    landing, root, checkpoint = scratch(spark, "landing"), scratch(spark, "ingest"), scratch(spark, "checkpoint")
+    bars = tb.bars(spark, sf_dir, "region").select("ticker", "effective_date", "open", "high", "low", "close", "volume")
+    late, wrong = F.col("ticker") == "EUROPE", F.dayofmonth("effective_date") == 15
+    deliveries = (
+        bars.where(~late).withColumn("close", F.when(wrong, F.col("low")).otherwise(F.col("close"))),
+        bars.where(late | wrong),
+        bars.where(F.dayofmonth("effective_date") == 20),
+    )
     ingest = jobs.BarIngest(spark, root)
-    ingest.start(landing, scratch(spark, "checkpoint")).awaitTermination()
+    for rows in deliveries:
+        rows.write.mode("append").parquet(landing)
+        ingest.start(landing, checkpoint).awaitTermination()
     return ingest.current_features().groupBy("ticker", "feature_name").agg(
         F.count("*").alias("n"), F.sum("feature_value").alias("total"))
 

@@ -89,10 +89,17 @@ def start_alerts(quotes: DataFrame, baseline: DataFrame, out: str, checkpoint: s
 class BarIngest:
     """Landing-folder ingest: bars in, features, audit and list status out.
 
+    Every delivered bar is kept under its batch and a hash bucket of its ticker; of
+    several bars of one (ticker, day) the one delivered last counts, however old the
+    day is. A batch reads the buckets of its tickers only and writes features from
+    the first day that its bars can change on.
+
     Every output row carries its batch id, and a batch writes each of its folders
     with overwrite, so a batch run again after a failure replaces itself.
     """
 
+    BUCKETS = 64
+
     def __init__(self, spark: SparkSession, root: str, watchlist: DataFrame | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
@@ -102,7 +109,10 @@ class BarIngest:
         return f"{self.root}/{table}"
 
     def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path(table)}/batch_id={batch_id}")
+        bucket = F.pmod(F.xxhash64("ticker"), F.lit(self.BUCKETS)).cast("int")
+        df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.path(table)}/batch_id={batch_id}"
+        )
 
     def read(self, table: str, columns=None) -> DataFrame | None:
         return st.load_snapshot(self.spark, self.path(table))
@@ -114,19 +124,25 @@ class BarIngest:
                 return
             good, bad = ql.split_bars(batch)
             self._write(good, "bars", batch_id)
-            self._write(bad, "quarantine", batch_id)
-            touched = batch.select("ticker").distinct()
-            asked = touched if self.watchlist is None else self.watchlist.select("ticker").union(touched)
+            self._write(bad.drop("landed", "file"), "quarantine", batch_id)
+            touched = good.groupBy("ticker").agg(F.min("effective_date").alias("_from"))
+            asked = batch.select("ticker") if self.watchlist is None else self.watchlist.select("ticker").union(batch.select("ticker"))
             audit = ql.fetch_audit(asked, batch, self._day(batch)).withColumn(
                 "list_status", F.when(F.col("status") == "MISSING", "error").otherwise("ready")
             )
             self._write(audit, "audit", batch_id)
-            # Features need each touched ticker's whole history, newest batch winning per date.
-            history = self.read("bars").join(touched, "ticker", "left_semi")
-            latest = history.groupBy("ticker", "effective_date").agg(
-                F.max_by(F.struct("open", "high", "low", "close", "volume"), "batch_id").alias("bar")
-            ).select("ticker", "effective_date", "bar.*")
-            self._write(ft.known_features(ft.ohlcv_features(latest)), "features", batch_id)
+            history = self.current_bars(touched)
+            if history is None:
+                return
+            features = ft.known_features(ft.ohlcv_features(history))
+            # A label looks ahead, so the rows before the first new day may change as well.
+            place = ft.series()
+            day = history.join(touched, "ticker").withColumn("_ahead", F.lead("effective_date", ft.FORWARD_ROWS).over(place))
+            first = day.where(F.coalesce(F.col("_ahead") >= F.col("_from"), F.lit(True))).groupBy("ticker").agg(
+                F.min("effective_date").alias("_first")
+            )
+            changed = features.join(first, "ticker").where(F.col("effective_date") >= F.col("_first")).drop("_first")
+            self._write(changed, "features", batch_id)
         finally:
             batch.unpersist()
 
@@ -134,13 +150,25 @@ class BarIngest:
     def _day(batch: DataFrame):
         return batch.agg(F.max("effective_date")).first()[0]
 
+    def current_bars(self, tickers: DataFrame | None = None) -> DataFrame | None:
+        """The bar delivered last of each (ticker, day), of all tickers or of those given."""
+        rows = self.read("bars")
+        if rows is None:
+            return None
+        if tickers is not None:
+            bucket = F.pmod(F.xxhash64("ticker"), F.lit(self.BUCKETS)).cast("int")
+            wanted = [r[0] for r in tickers.select(bucket.alias("b")).distinct().collect()]  # at most BUCKETS numbers
+            rows = rows.where(F.col("bucket").isin(wanted)).join(tickers.select("ticker"), "ticker", "left_semi")
+        delivered = F.struct("batch_id", "landed", "file")
+        return rows.groupBy("ticker", "effective_date").agg(
+            F.max_by(F.struct("open", "high", "low", "close", "volume"), delivered).alias("bar")
+        ).select("ticker", "effective_date", "bar.*")
+
     def start(self, landing: str, checkpoint: str, **trigger):
         bars = (
             self.spark.readStream.schema(BARS).parquet(landing)
-            .withColumn("event_time", F.col("effective_date").cast("timestamp"))
-            .withWatermark("event_time", "30 days")
-            .dropDuplicatesWithinWatermark(["ticker", "effective_date"])
-            .drop("event_time")
+            .withColumn("landed", F.col("_metadata.file_modification_time"))
+            .withColumn("file", F.col("_metadata.file_name"))
         )
         return (
             bars.writeStream.foreachBatch(self.process)
@@ -150,16 +178,19 @@ class BarIngest:
         )
 
     def current_features(self) -> DataFrame:
-        """Latest batch per ticker."""
+        """Features of each (ticker, day) from the batch that wrote that day last."""
         rows = self.read("features")
-        newest = rows.groupBy("ticker").agg(F.max("batch_id").alias("batch_id"))
-        return rows.join(newest, ["ticker", "batch_id"], "left_semi")
+        newest = rows.groupBy("ticker", "effective_date").agg(F.max("batch_id").alias("batch_id"))
+        return rows.join(newest, ["ticker", "effective_date", "batch_id"], "left_semi").drop("bucket")
 
     def current_status(self) -> DataFrame:
-        """Per ticker: ready once any batch delivered it, error while none has."""
+        """Per ticker: ready once any batch delivered it, error while none has; n_rows counts its days."""
         rows = self.read("audit")
         order = F.struct(F.col("list_status") == "ready", "batch_id")
-        return rows.groupBy("ticker").agg(
+        status = rows.groupBy("ticker").agg(
             F.max_by("list_status", order).alias("list_status"), F.max_by("status", order).alias("status"),
-            F.sum("n_rows").alias("n_rows"), F.sum("n_bad_rows").alias("n_bad_rows"),
+            F.sum("n_bad_rows").alias("n_bad_rows"),
         )
+        bars = self.read("bars")
+        days = bars.groupBy("ticker").agg(F.countDistinct("effective_date").alias("n_rows"))
+        return status.join(days, "ticker", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))

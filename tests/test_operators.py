@@ -308,6 +308,24 @@ def test_bar_ingest_is_idempotent_and_flags_missing(spark, ohlcv, tmp_path):
     from plumbline.operators import features as ft
     want = ft.to_long(ft.ohlcv_features(ohlcv)).count()
     assert ingest.current_features().count() == want
-    batch = ingest.read("bars").where("batch_id = 0").drop("batch_id")
+    batch = ingest.read("bars").where("batch_id = 0").drop("batch_id", "bucket")
     ingest.process(batch, 0)
-    assert ingest.read("bars").count() == 200
+    assert ingest.current_bars().count() == 200
+
+
+def test_bar_ingest_takes_old_history_and_corrections(spark, ohlcv, tmp_path):
+    from plumbline.operators import features as ft
+
+    landing = str(tmp_path / "landing")
+    ingest = jobs.BarIngest(spark, str(tmp_path / "root"))
+    wrong = F.when(F.col("effective_date") == "2024-05-15", F.col("low")).otherwise(F.col("close"))
+    first = ohlcv.where("ticker = 'AAA'").withColumn("close", wrong)
+    for part in (first, ohlcv.where("ticker = 'BBB' OR effective_date = '2024-05-15'"), ohlcv.where("effective_date > '2024-06-01'")):
+        part.coalesce(1).write.mode("append").parquet(landing)
+        ingest.start(landing, str(tmp_path / "cp")).awaitTermination()
+    keys = ["ticker", "effective_date", "feature_name"]
+    want = {tuple(r[k] for k in keys): r.feature_value for r in ft.to_long(ft.ohlcv_features(ohlcv)).collect()}
+    got = {tuple(r[k] for k in keys): r.feature_value for r in ingest.current_features().collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # The last batch wrote only days that its bars, or labels looking ahead to them, can change.
+    assert ingest.read("features").where("batch_id = 2").agg(F.min("effective_date")).first()[0] > dt.date(2024, 5, 15)
