@@ -11,6 +11,10 @@ IMPACT = 0.1
 FRICTION = 0.4
 
 
+# fixed value: bars that a sliced order may use
+SLICES = 20
+
+
 def fill_costs(orders: DataFrame, impact: float = IMPACT, friction: float = FRICTION) -> DataFrame:
     """Cost of each order given bid, ask, order_size, adv, vol_z, spread_z on its row.
 
@@ -61,7 +65,7 @@ def with_proxy(orders: DataFrame, proxy: DataFrame) -> DataFrame:
     return orders.drop("spread_z", "vol_z").join(p, "ticker", "left")
 
 
-def sliced_costs(orders: DataFrame, bars: DataFrame, horizon: int = 20) -> DataFrame:
+def sliced_costs(orders: DataFrame, bars: DataFrame, horizon: int = SLICES) -> DataFrame:
     """Average cost of an order cut into equal slices over its first bars.
 
     ``bars`` carry order_id, bar_no, bid, ask and volume; the volume of all bars of

@@ -74,7 +74,7 @@ SELECT ticker, effective_date, {', '.join(FEATS)}, ret_fwd_10d, row_number() OVE
  count(*) OVER (PARTITION BY ticker) AS n_rows FROM feat_supplier WHERE {NOT_NULL}""")
 search_parts("near", "SELECT * FROM hist WHERE row_no = n_rows")
 search_parts("past", """SELECT * FROM hist WHERE n_rows - row_no > 10 AND n_rows - row_no <= 10 + 126
- AND (n_rows - row_no - 11) % 21 = 0""")
+ AND (n_rows - row_no - 11) % 5 = 0""")
 
 
 def summary_part(tag: str) -> None:
@@ -122,7 +122,7 @@ def nearest(spark, sf_dir):
 
 def past(spark, sf_dir):
     rows = history(spark, sf_dir)
-    queries = an.fit_precision(an.sampled_queries(an.prefix_moments(rows), trailing=126, every=21))
+    queries = an.fit_precision(an.sampled_queries(an.prefix_moments(rows), trailing=126, every=5))
     return rows, an.find_analogs(rows, queries)
 
 

@@ -128,7 +128,7 @@ def _(spark, sf_dir):
 
 @plan("backfill_dates", "ticker:s as_of:d", "K5", with_parts("past_q", "SELECT ticker, effective_date AS as_of FROM past_q"))
 def _(spark, sf_dir):
-    return an.sampled_queries(history(spark, sf_dir), 126, 21).withColumnRenamed("effective_date", "as_of")
+    return an.sampled_queries(history(spark, sf_dir), 126, 5).withColumnRenamed("effective_date", "as_of")
 
 
 @plan("resolved_predictions", "prediction_id:s ticker:s knowledge_date:d resolved:b realized_ret:f benchmark_ret:f alpha:f", "J6",

@@ -110,7 +110,7 @@ def _(spark, sf_dir):
     latest = rows.where("row_no = n_rows").withColumnRenamed("effective_date", "as_of").withColumn(
         "vintage", at.background_vintage(F.col("as_of")))
     by_date = rows.groupBy("effective_date").agg(*[F.avg(f).alias(f) for f in feats])
-    explained = at.explain(model, latest, at.background(by_date, latest, feats, 21), feats)
+    explained = at.explain(model, latest, at.background(by_date, latest, feats), feats)
     return at.top_contributions(explained, feats).withColumn("top_features", F.concat_ws(",", "top_features"))
 
 

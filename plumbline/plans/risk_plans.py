@@ -190,18 +190,18 @@ def _(spark, sf_dir):
 @plan("sliced_costs", "order_id:i avg_fill_price:f avg_slippage_bps:f n_slices_actual:i n_slices_requested:i", "M35",
       with_parts("parents", """
 , b AS (SELECT l_orderkey AS order_id, l_extendedprice / l_quantity * (1 - l_tax / 10) AS bid, l_extendedprice / l_quantity * (1 + l_tax / 10) AS ask,
-  greatest(sum(l_quantity) OVER (PARTITION BY l_orderkey), 1) AS adv_, least(count(*) OVER (PARTITION BY l_orderkey), 3) AS n_slices,
+  greatest(sum(l_quantity) OVER (PARTITION BY l_orderkey), 1) AS adv_, least(count(*) OVER (PARTITION BY l_orderkey), {h}) AS n_slices,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem),
-s AS (SELECT p.order_id, direction, vol_z, spread_z, bid, ask, adv_ AS adv, order_size / n_slices AS order_size FROM b JOIN parents p USING (order_id) WHERE r <= 3),
+s AS (SELECT p.order_id, direction, vol_z, spread_z, bid, ask, adv_ AS adv, order_size / n_slices AS order_size FROM b JOIN parents p USING (order_id) WHERE r <= {h}),
 f AS (%s)
-SELECT order_id, avg(fill_price) AS avg_fill_price, avg(slippage_bps) AS avg_slippage_bps, count(*) AS n_slices_actual, 3 AS n_slices_requested FROM f GROUP BY 1""" % _FILL.format(source="s")))
+SELECT order_id, avg(fill_price) AS avg_fill_price, avg(slippage_bps) AS avg_slippage_bps, count(*) AS n_slices_actual, {h} AS n_slices_requested FROM f GROUP BY 1""".replace("{h}", str(ex.SLICES)) % _FILL.format(source="s")))
 def _(spark, sf_dir):
     price = F.col("l_extendedprice") / F.col("l_quantity")
     bars = tb.read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("bar_no"),
         (price * (1 - F.col("l_tax") / 10)).alias("bid"), (price * (1 + F.col("l_tax") / 10)).alias("ask"), F.col("l_quantity").alias("volume"))
     orders = parents(spark, sf_dir).select("order_id", "direction", "order_size", "vol_z", "spread_z")
-    return ex.sliced_costs(orders, bars, 3)
+    return ex.sliced_costs(orders, bars)
 
 
 # ---- forecast

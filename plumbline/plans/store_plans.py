@@ -195,7 +195,7 @@ def calendar_lines(spark, sf_dir):
     k = F.col("o_orderkey")
     name = F.when(k % 9 == 0, "fomc_day").when(k % 9 == 1, "cpi_day").when(k % 9 == 2, "quarter_end").otherwise("party")
     day = F.when(k % 200 == 0, F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return tb.read(spark, sf_dir, "orders").where((k % 20 < 1) & (k % 9 < 4)).select(
+    return tb.read(spark, sf_dir, "orders").select(
         F.to_json(F.create_map(day, F.array(name, F.lit("nfp_day")))).alias("value"))
 
 
@@ -203,7 +203,7 @@ def calendar_lines(spark, sf_dir):
       """
 SELECT CAST(o_orderdate AS DATE) AS event_date, e.event, e.position FROM orders,
  LATERAL (SELECT unnest([{'event': CASE CAST(o_orderkey % 9 AS INTEGER) WHEN 0 THEN 'fomc_day' WHEN 1 THEN 'cpi_day' WHEN 2 THEN 'quarter_end' ELSE 'party' END, 'position': 0}, {'event': 'nfp_day', 'position': 1}]) AS e) t
-WHERE o_orderkey % 20 < 1 AND o_orderkey % 9 < 4 AND o_orderkey % 200 <> 0 AND e.event <> 'party'""")
+WHERE o_orderkey % 200 <> 0 AND e.event <> 'party'""")
 def _(spark, sf_dir):
     return ld.parse_calendar(calendar_lines(spark, sf_dir))
 
@@ -211,8 +211,8 @@ def _(spark, sf_dir):
 @plan("calendar_suppression", "ticker:s effective_date:d suppressed:b reason:s", "P7",
       with_parts("bars_region", """
 , c AS (SELECT CAST(o_orderdate AS DATE) AS d, CASE CAST(o_orderkey % 9 AS INTEGER) WHEN 0 THEN 'FOMC day' WHEN 1 THEN 'CPI release' WHEN 2 THEN 'Quarter-end' ELSE 'NFP release' END AS r,
-  CASE WHEN o_orderkey % 9 = 3 THEN 100000 ELSE 0 END + CASE CAST(o_orderkey % 9 AS INTEGER) WHEN 1 THEN 1 WHEN 0 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS p
-  FROM orders WHERE o_orderkey % 20 < 1 AND o_orderkey % 9 < 4 AND o_orderkey % 200 <> 0),
+  CASE WHEN o_orderkey % 9 >= 3 THEN 100000 ELSE 0 END + CASE CAST(o_orderkey % 9 AS INTEGER) WHEN 1 THEN 1 WHEN 0 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS p
+  FROM orders WHERE o_orderkey % 200 <> 0),
 f AS (SELECT d, arg_min(r, p) AS r FROM c GROUP BY 1)
 SELECT ticker, effective_date, r IS NOT NULL AS suppressed, r || ' — friction alerts suppressed' AS reason FROM bars_region LEFT JOIN f ON d = effective_date"""))
 def _(spark, sf_dir):
@@ -303,9 +303,9 @@ def _(spark, sf_dir):
 
 @plan("candles_from_archive", "ticker:s effective_date:d open:f8 close:f8 volume:f", "S13",
       with_parts("bars_supplier", """
-SELECT * FROM bars_supplier QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY effective_date DESC) <= 200 AND count(*) OVER (PARTITION BY ticker) >= 60"""))
+SELECT * FROM bars_supplier QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY effective_date DESC) <= 504 AND count(*) OVER (PARTITION BY ticker) >= 60"""))
 def _(spark, sf_dir):
-    return st.features_to_bars(st.bars_to_features(tb.bars(spark, sf_dir)), 200)
+    return st.features_to_bars(st.bars_to_features(tb.bars(spark, sf_dir)))
 
 
 @plan("live_edge", "ticker:s effective_date:d close:f8 live_edge:b", "S14",
@@ -363,20 +363,26 @@ def _(spark, sf_dir):
 
 
 # ---- quality
-part("dirty", "bars_supplier", """
-SELECT ticker, effective_date, open, CASE WHEN day(effective_date) = 3 THEN low - 1 ELSE high END AS high, low, close, volume FROM bars_supplier WHERE CAST(right(ticker, 3) AS INTEGER) % 7 <> 0""")
+part("dirty_all", "bars_supplier", """
+SELECT ticker, effective_date, open, CASE WHEN day(effective_date) = 3 THEN low - 1 ELSE high END AS high, low, close, volume FROM bars_supplier""")
+# The audit is asked for names that the response does not have.
+part("dirty", "dirty_all", "SELECT * FROM dirty_all WHERE CAST(right(ticker, 3) AS INTEGER) % 7 <> 0")
 _BAD = "(high < low OR close > high OR close < low)"
 
 
-def dirty(spark, sf_dir):
-    return tb.bars(spark, sf_dir).where(F.substring("ticker", -3, 3).cast("int") % 7 != 0).withColumn(
+def dirty_all(spark, sf_dir):
+    return tb.bars(spark, sf_dir).withColumn(
         "high", F.when(F.dayofmonth("effective_date") == 3, F.col("low") - 1).otherwise(F.col("high")))
 
 
+def dirty(spark, sf_dir):
+    return dirty_all(spark, sf_dir).where(F.substring("ticker", -3, 3).cast("int") % 7 != 0)
+
+
 @plan("bar_sanity", "ticker:s n_good:i n_bad:i", "P1",
-      with_parts("dirty", f"SELECT ticker, count(*) FILTER (WHERE NOT {_BAD}) AS n_good, count(*) FILTER (WHERE {_BAD}) AS n_bad FROM dirty GROUP BY 1"))
+      with_parts("dirty_all", f"SELECT ticker, count(*) FILTER (WHERE NOT {_BAD}) AS n_good, count(*) FILTER (WHERE {_BAD}) AS n_bad FROM dirty_all GROUP BY 1"))
 def _(spark, sf_dir):
-    good, bad = ql.split_bars(dirty(spark, sf_dir))
+    good, bad = ql.split_bars(dirty_all(spark, sf_dir))
     return good.withColumn("g", F.lit(1)).unionByName(bad.withColumn("g", F.lit(0))).groupBy("ticker").agg(
         F.count_if(F.col("g") == 1).alias("n_good"), F.count_if(F.col("g") == 0).alias("n_bad"))
 
