@@ -12,68 +12,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.session import materialise
+
 EULER_MASCHERONI = 0.5772156649015329
 
 
-def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int = 4096,
-) -> DataFrame:
-    """Exact, linearly interpolated percentiles of groups of any size.
+# Distinct values that one task may sort.
+SORTED = 65_536
+BUCKETS = 4096
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], most: int = SORTED) -> DataFrame:
+    """Exact, linearly interpolated percentiles of groups of any size; a null key is a key.
 
-    ``percentile`` keeps a group's distinct values in one buffer. Here equal
-    values are first counted with map-side combine, then counts per equal-width
-    bucket locate the buckets that hold the wanted ranks, and only the values of
-    those buckets are ranked. No task ever sees a whole group.
+    ``percentile`` keeps a group's distinct values in one buffer. Here equal values
+    are counted with map-side combine and stored, and each wanted rank has an
+    interval that holds it. Intervals of more than ``most`` distinct values are cut
+    into equal widths between their own smallest and largest value, again and again,
+    so outliers and heaps of values cost rounds, not a large sort.
     """
+    by = list(keys) or ["_all"]
     counts = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        (df if keys else df.withColumn("_all", F.lit(0)))
+        .where(F.col(value).isNotNull() & ~F.isnan(value))
+        .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))
     )
-    span = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n")
-    )
-    placed = _null_safe_join(counts, span, keys).withColumn(
-        "_b",
-        F.when(
-            F.col("_hi") > F.col("_lo"),
-            F.least(
-                F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-                F.lit(buckets - 1),
-            ),
-        ).otherwise(F.lit(0)),
-    )
-    by_bucket = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
-    # At most `buckets` rows per key reach this window.
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = by_bucket.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
-    targets = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
-            for name, p in probs.items()
-            for side in (0, 1)
-        ]
-    )
+    counts = materialise(counts, "value-counts")
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
+        for name, p in probs.items() for side in (0, 1)
+    ]))
     pos = F.col("t.p") * (F.col("_n") - 1)
-    rank = F.when(F.col("t.side") == 0, F.floor(pos)).otherwise(F.ceil(pos))
-    wanted = (
-        by_bucket.withColumn("t", F.explode(targets))
-        .withColumn("_rank", rank)
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_bc")))
-        .select(
-            *keys, "_b", "_before", "_rank", F.col("t.name").alias("_name"),
-            F.col("t.side").alias("_side"), (pos - F.floor(pos)).alias("_frac"),
-        )
+    spans = counts.groupBy(*by).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"), F.count("*").alias("_d")
+    )
+    state = materialise(
+        spans.withColumn("t", wanted).select(
+            *by, F.col("t.name").alias("_name"), F.col("t.side").alias("_side"), (pos - F.floor(pos)).alias("_frac"),
+            F.when(F.col("t.side") == 0, F.floor(pos)).otherwise(F.ceil(pos)).alias("_rank"),
+            "_lo", "_hi", F.lit(0).cast("long").alias("_before"), "_d",
+        ),
+        "ranks",
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    touched = wanted.select(*keys, "_b", "_before").distinct()
-    ranked = _null_safe_join(placed.select(*keys, "_b", "_v", "_c"), touched, [*keys, "_b"])
-    ranked = ranked.withColumn(
-        "_upto",
-        F.col("_before") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-    ).withColumn("_from", F.col("_upto") - F.col("_c"))
-    hits = _null_safe_join(ranked.drop("_before"), wanted.drop("_before"), [*keys, "_b"]).where(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto"))
+    while True:
+        large = state.where(F.col("_d") > most)
+        if large.isEmpty():
+            break
+        state = materialise(state.where(F.col("_d") <= most).unionByName(_narrowed(counts, large, by)), "ranks")
+    cells = state.select(*by, "_lo", "_hi", "_before").distinct()
+    inside = Window.partitionBy(*by, "_lo", "_hi").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _values_in(counts, cells, by).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    hits = null_safe_join(state.drop("_before"), ranked.drop("_before"), [*by, "_lo", "_hi"]).where(
+        (F.col("_rank") >= F.col("_upto") - F.col("_c")) & (F.col("_rank") < F.col("_upto"))
     )
     out = []
     for name in probs:
@@ -82,13 +73,40 @@ def exact_percentiles(
         high = F.max(F.when(mine & (F.col("_side") == 1), F.col("_v")))
         frac = F.max(F.when(mine, F.col("_frac")))
         out.append((low + (high - low) * frac).alias(name))
-    return hits.groupBy(*keys).agg(*out)
+    return hits.groupBy(*by).agg(*out).drop("_all")
+
 
+def _values_in(counts: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """Values inside the intervals of their group; intervals of a group do not overlap."""
+    return null_safe_join(counts, cells, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    if not keys:
-        return left.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    return left.join(right, keys)
+
+def _narrowed(counts: DataFrame, large: DataFrame, by: list[str]) -> DataFrame:
+    """Each wanted rank with the bucket of its interval that holds it."""
+    cells = large.select(*by, "_lo", "_hi", "_before").distinct()
+    # Halves, as the difference of two doubles may be too large for one.
+    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+    cut = _values_in(counts, cells, by).groupBy(*by, "_lo", "_hi", "_before", bucket.alias("_b")).agg(
+        F.sum("_c").alias("_n"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"), F.count("*").alias("_bd")
+    )
+    # At most BUCKETS rows per interval reach this window.
+    w = Window.partitionBy(*by, "_lo", "_hi").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_before")
+    found = null_safe_join(large.drop("_before", "_d"), cut, [*by, "_lo", "_hi"]).where(
+        (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n"))
+    )
+    return found.select(
+        *by, "_name", "_side", "_frac", "_rank", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
+        F.col("_start").alias("_before"), F.col("_bd").alias("_d"),
+    )
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, nulls being equal; the keys of ``left`` remain."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def robust_z(value: Column, median: Column, mad: Column) -> Column:
@@ -131,20 +149,55 @@ def normal_cdf_udf():
     return normal_cdf
 
 
+_TERMS = 4096
+
+
 def _fisher(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided exact test of a 2x2 table from log factorials."""
+    """Two-sided exact test of a 2x2 table.
+
+    Probabilities fall from the mode on both sides. Each tail of tables no likelier
+    than the one seen is summed outward from its likeliest table by ratios of
+    neighbours, a block at a time, until terms no longer count.
+    """
     r1, r2, c1 = a + b, c + d, a + c
     n = r1 + r2
     lo, hi = max(0, c1 - r2), min(r1, c1)
-    x = np.arange(lo, hi + 1)
-    lg = np.vectorize(math.lgamma)
-    logp = (
-        lg(r1 + 1.0) - lg(x + 1.0) - lg(r1 - x + 1.0)
-        + lg(r2 + 1.0) - lg(c1 - x + 1.0) - lg(r2 - c1 + x + 1.0)
-        - (math.lgamma(n + 1) - math.lgamma(c1 + 1) - math.lgamma(n - c1 + 1))
-    )
-    seen = logp[a - lo]
-    return float(min(1.0, np.exp(logp[logp <= seen + 1e-7]).sum()))
+
+    def log_p(x: int) -> float:
+        lg = math.lgamma
+        return (
+            lg(r1 + 1) - lg(x + 1) - lg(r1 - x + 1) + lg(r2 + 1) - lg(c1 - x + 1) - lg(r2 - c1 + x + 1)
+            - lg(n + 1) + lg(c1 + 1) + lg(n - c1 + 1)
+        )
+
+    def tail(x: int, step: int) -> float:
+        total, at = 0.0, log_p(x)
+        while lo <= x <= hi:
+            xs = x + step * np.arange(min(_TERMS, (hi - x if step > 0 else x - lo) + 1), dtype=float)
+            if step > 0:
+                ratio = (r1 - xs) * (c1 - xs) / ((xs + 1) * (r2 - c1 + xs + 1))
+            else:
+                ratio = xs * (r2 - c1 + xs) / ((r1 - xs + 1) * (c1 - xs + 1))
+            with np.errstate(divide="ignore"):
+                logs = at + np.concatenate([[0.0], np.cumsum(np.log(ratio))])
+            terms = np.exp(logs[:-1])
+            total += float(terms.sum())
+            if terms[-1] <= total * 1e-18:
+                break
+            x, at = x + step * len(xs), logs[-1]
+        return total
+
+    mode = min(hi, max(lo, (r1 + 1) * (c1 + 1) // (n + 2)))
+    seen = log_p(a) + 1e-7
+    if log_p(mode) <= seen:
+        return 1.0
+    away = 1 if a > mode else -1
+    # The first table on the other side that is no likelier, by halving: beyond the mode probabilities only fall.
+    near, far = mode, (lo if away > 0 else hi) - away
+    while abs(far - near) > 1:
+        middle = (near + far) // 2
+        near, far = (near, middle) if log_p(middle) <= seen else (middle, far)
+    return min(1.0, tail(a, away) + (tail(far, -away) if lo <= far <= hi else 0.0))
 
 
 def fisher_udf():

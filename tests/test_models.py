@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -112,7 +113,7 @@ def test_exact_percentiles_match_numpy(spark):
     hot = np.concatenate([rng.standard_t(2, 5000), np.full(3000, 1.5)])
     rows = [("hot", float(v)) for v in hot] + [("one", 2.0)] + [("pair", 1.0), ("pair", 4.0)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.97}, buckets=64).collect()}
+    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.97}, most=64).collect()}
     assert np.allclose([got["hot"].a, got["hot"].b, got["hot"].c], np.percentile(hot, [5, 50, 97]))
     assert got["one"].a == got["one"].c == 2.0 and np.isclose(got["pair"].b, 2.5)
 
@@ -120,6 +121,37 @@ def test_exact_percentiles_match_numpy(spark):
 def test_fisher_by_enumeration():
     assert np.isclose(_fisher(8, 2, 1, 5), 0.03496503496503495)
     assert np.isclose(_fisher(3, 3, 3, 3), 1.0)
+    rng = np.random.default_rng(5)
+    for a, b, c, d in rng.integers(0, 60, (200, 4)).tolist():
+        lo, hi = max(0, a + c - c - d), min(a + b, a + c)
+        p = [math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in range(lo, hi + 1)]
+        want = sum(q for q in p if q <= p[a - lo] * (1 + 1e-7)) / sum(p)
+        assert np.isclose(_fisher(a, b, c, d), want, rtol=1e-9, atol=1e-300), (a, b, c, d)
+    assert 0 < _fisher(500_100_000, 499_900_000, 499_900_000, 500_100_000) < 1e-10
+    assert np.isclose(_fisher(10**9, 10**9, 10**9, 10**9), 1.0)
+
+
+def test_percentiles_of_heaps_outliers_and_null_keys(spark):
+    from plumbline.functions import stats
+
+    rng = np.random.default_rng(8)
+    heavy = np.concatenate([rng.uniform(0, 1, 3000), [1e300, -1e300], np.exp(rng.normal(0, 40, 500)), np.zeros(700), 1e-9 * rng.uniform(0, 1, 900)])
+    rows = [("a", float(v)) for v in heavy] + [(None, float(v)) for v in range(11)] + [("b", None), ("b", float("nan")), ("b", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    seen = []
+    kept = stats._values_in
+    stats._values_in = lambda counts, cells, by: seen.append(cells) or kept(counts, cells, by)
+    try:
+        got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.9}, most=32).collect()}
+    finally:
+        stats._values_in = kept
+    for name, q in (("a", 1), ("b", 50), ("c", 90)):
+        assert np.isclose(got["a"][name], np.percentile(heavy, q), rtol=1e-12)
+        assert np.isclose(got[None][name], np.percentile(range(11), q)) and got["b"][name] == 2.0
+    # What is sorted in the end holds few distinct values.
+    values = kept(df.groupBy("k", F.col("v").alias("_v")).agg(F.count("*").alias("_c")), seen[-1], ["k"])
+    assert values.groupBy("k", "_lo", "_hi").count().agg(F.max("count")).first()[0] <= 32
+    assert exact_percentiles(df, [], "v", {"m": 0.5}).first()[0] == pytest.approx(np.nanmedian([r[1] for r in rows if r[1] is not None]))
 
 
 def test_orthogonal_factors_are_uncorrelated(spark, factor_data):

@@ -147,7 +147,7 @@ def test_by_correction_matches_the_definition(spark):
     rng = np.random.default_rng(3)
     p = np.sort(np.concatenate([rng.uniform(0, 1e-4, 6), rng.uniform(0, 1, 14)]))
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)] + [(99, None)], "i int, p_value double")
-    got = {r.i: r.p_value_corrected for r in hy.fdr_correct(df, buckets=8).collect()}
+    got = {r.i: r.p_value_corrected for r in hy.fdr_correct(df).collect()}
     m, c = len(p), sum(1 / i for i in range(1, len(p) + 1))
     q = np.minimum.accumulate((p * m * c / np.arange(1, m + 1))[::-1])[::-1].clip(max=1)
     assert got.pop(99) is None
@@ -155,6 +155,23 @@ def test_by_correction_matches_the_definition(spark):
     assert all(np.isclose(got[i], q[i]) for i in got)
 
 
+def test_by_correction_of_heaped_p_values_and_null_families(spark):
+    rng = np.random.default_rng(9)
+    p = np.concatenate([10.0 ** -rng.uniform(3, 300, 3000), [0.0, 0.0, 1.0], 0.01 + 1e-12 * rng.uniform(0, 1, 2000), rng.uniform(0, 1, 1000)])
+    rows = [("x", float(v)) for v in p] + [(None, 0.001), (None, 0.9)]
+    df = spark.createDataFrame(rows, "family string, p_value double")
+    got = [(r.family, r.p_value, r.p_value_corrected) for r in hy.fdr_correct(df, ["family"]).collect()]
+    order = np.sort(p)
+    m, c = len(p), sum(1 / i for i in range(1, len(p) + 1))
+    q = np.minimum.accumulate((order * m * c / np.arange(1, m + 1))[::-1])[::-1].clip(max=1)
+    mine = sorted(g[1:] for g in got if g[0] == "x")
+    assert np.allclose(mine, [(a, b) for a, b in zip(order, q) if b <= 0.05], rtol=1e-9)
+    assert [g for g in got if g[0] is None] == [(None, 0.001, pytest.approx(0.003))]
+    pieces = df.where("family = 'x'").select("p_value").distinct().withColumn(
+        "b", hy._piece(F.col("p_value"), F.array(*[F.lit(float(x)) for x in np.quantile(np.unique(p), np.arange(1, 256) / 256)])))
+    assert pieces.groupBy("b").count().agg(F.max("count")).first()[0] < 60
+
+
 def test_contradiction_found_and_small_cells_skipped(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=800)
