@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,18 +83,48 @@ def as_of_lookup(requests: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def as_of_lookup_capped(requests: DataFrame, features: DataFrame) -> DataFrame:
-    """As above with ``effective_cap`` bounding the effective date of the answer."""
-    keys = ["ticker", "feature_name", "as_of", "effective_cap"]
+    """As above with ``effective_cap`` bounding the effective date of the answer.
+
+    Facts and distinct requests of a key meet once. In order of knowledge date, a
+    request wants the last fact before its own place that is effective by its cap;
+    it is found by halving over least effective dates of stretches of 1, 2, 4, ...
+    facts, so a request costs a logarithm of its key's facts. A key holds a bounded
+    number of days.
+    """
+    by, keys = ["ticker", "feature_name"], ["ticker", "feature_name", "as_of", "effective_cap"]
     asked = requests.select(*keys).distinct()
-    joined = asked.join(features, ["ticker", "feature_name"]).where(
-        (F.col("knowledge_date") < F.col("as_of")) & (F.col("effective_date") <= F.col("effective_cap"))
-    )
-    found = joined.groupBy(*keys).agg(
-        F.max_by("feature_value", F.struct("knowledge_date", "effective_date")).alias("feature_value")
-    )
+    facts = features.select(*by, "knowledge_date", "effective_date", "feature_value")
+    out = "ticker string, feature_name string, as_of date, effective_cap date, feature_value double"
+    found = asked.groupBy(*by).cogroup(facts.groupBy(*by)).applyInPandas(_last_before_within, out)
     return requests.join(found, keys, "left")
 
 
+def _last_before_within(asked: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+    def days(column):
+        return pd.to_datetime(column).to_numpy().astype("datetime64[D]")
+
+    asked = asked[asked["as_of"].notna() & asked["effective_cap"].notna()]
+    facts = facts[facts["knowledge_date"].notna() & facts["effective_date"].notna()]
+    known, effective = days(facts["knowledge_date"]), days(facts["effective_date"])
+    order = np.lexsort((effective, known))
+    known, effective, value = known[order], effective[order], facts["feature_value"].to_numpy()[order]
+    cap = days(asked["effective_cap"])
+    end = np.searchsorted(known, days(asked["as_of"]))  # facts known before
+    least = [effective]  # least[k][i]: over the 2^k facts from i on
+    while len(least[-1]) > 1 << (len(least) - 1):
+        half = 1 << (len(least) - 1)
+        least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+    # Step back over stretches in which every fact is effective too late.
+    for k in range(len(least) - 1, -1, -1):
+        start = end - (1 << k)
+        inside = start >= 0
+        late = np.zeros(len(end), dtype=bool)
+        late[inside] = least[k][start[inside]] > cap[inside]
+        end = np.where(late, start, end)
+    hit = end > 0
+    return asked[hit].assign(feature_value=value[end[hit] - 1])
+
+
 def feature_history(features: DataFrame, names, start, end, as_of) -> DataFrame:
     """Wide history safe at ``as_of``: each feature stops at its own lag's cutoff.
 

@@ -200,15 +200,24 @@ def correlation_edges(panel: DataFrame, names: list[str], threshold: float = CLU
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def held_edges(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """Edges between names that are both held: a name not held links nothing."""
+    held = weights.select("ticker").distinct()
+    return edges.join(held.select(F.col("ticker").alias("a")), "a", "left_semi").join(
+        held.select(F.col("ticker").alias("b")), "b", "left_semi"
+    )
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) by spreading the smallest label along symmetric edges.
 
     Each round also jumps to the label of the label, so the rounds needed grow with
-    the logarithm of the longest path. Rounds are written to the shared folder.
+    the logarithm of the longest path; they end when no label moves. Rounds are
+    written to the shared folder.
     """
     edges = materialise(edges.select("a", "b").distinct(), "edges")
     labels = materialise(edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = (
             edges.join(labels, edges.b == labels.node)
             .groupBy("a").agg(F.min("component").alias("_near"))
@@ -224,7 +233,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = moved.select("node", "component")
         if moved.where(F.col("_old") != F.col("component")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def clusters(components: DataFrame, weights: DataFrame, min_size: int = 2) -> DataFrame:

@@ -222,5 +222,22 @@ SELECT component, count(*) AS n_members, count(*) * 0.05 AS combined_weight, str
 def _(spark, sf_dir):
     panel = series_panel(spark, sf_dir)
     held = spark.createDataFrame([(n, 0.05) for n in SERIES], "ticker string, weight double")
-    found = pf.clusters(pf.connected_components(pf.correlation_edges(panel, SERIES)), held)
+    edges = pf.held_edges(pf.correlation_edges(panel, SERIES), held)
+    found = pf.clusters(pf.connected_components(edges), held)
     return found.withColumn("members", F.concat_ws(",", "members"))
+
+
+HELD = [n for k, n in enumerate(SERIES) if k % 4 != 1]
+
+
+@plan("correlation_clusters_held", "component:s n_members:i combined_weight:f members:s", "M26",
+      with_parts("corr_edges", f"""
+, h AS (SELECT * FROM corr_edges WHERE a IN ({', '.join(f"'{n}'" for n in HELD)}) AND b IN ({', '.join(f"'{n}'" for n in HELD)})),
+reach AS (SELECT a AS root, a AS node FROM h UNION SELECT r.root, e.b FROM reach r JOIN h e ON e.a = r.node),
+c AS (SELECT node, min(root) AS component FROM reach GROUP BY 1)
+SELECT component, count(*) AS n_members, count(*) * 0.05 AS combined_weight, string_agg(node, ',' ORDER BY node) AS members FROM c GROUP BY 1""", recursive=True))
+def _(spark, sf_dir):
+    """One name in four is not held: two held names joined only through another stay apart."""
+    held = spark.createDataFrame([(n, 0.05) for n in HELD], "ticker string, weight double")
+    edges = pf.held_edges(pf.correlation_edges(series_panel(spark, sf_dir), SERIES), held)
+    return pf.clusters(pf.connected_components(edges), held).withColumn("members", F.concat_ws(",", "members"))

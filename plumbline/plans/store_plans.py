@@ -266,23 +266,46 @@ def _(spark, sf_dir):
     return papers.withColumn("has_title", F.length("title").between(1, ld.TITLE_CHARS) & (F.length("summary") <= ld.SUMMARY_CHARS))
 
 
+@plan("paper_refresh", "entry_id:s topic:s title:s fetched_at:s", "S15 S9", """
+SELECT 'urn:' || doc_id AS entry_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS topic,
+ CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS title, CASE WHEN doc_id % 3 = 0 THEN '2024-02-01' ELSE '2024-01-01' END AS fetched_at
+FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
+def _(spark, sf_dir):
+    """A cache of every second entry meets a batch of every third: known ones take topic and time only."""
+    rows = tb.read(spark, sf_dir, "documents")
+    entry = F.concat(F.lit("urn:"), F.col("doc_id").cast("string")).alias("entry_id")
+
+    def feed(every, topic, title, day):
+        return rows.where(F.col("doc_id") % every == 0).select(
+            entry, topic.alias("topic"), F.lit(title).alias("title"), F.lit(day).alias("fetched_at"))
+
+    cache, batch = feed(2, F.col("lang"), "first", "2024-01-01"), feed(3, F.lit("new"), "second", "2024-02-01")
+    return ld.refresh_papers(cache, batch)
+
+
 # ---- store
 @plan("feature_store_write", "source:s feature_name:s feature_version:s n:i n_verified:i", "S8 S10",
-      with_parts("long_region", "SELECT 'bars' AS source, feature_name, 'v2' AS feature_version, count(*) AS n, count(*) AS n_verified FROM long_region GROUP BY 2"))
+      with_parts("long_region", "SELECT 'bars' AS source, feature_name, 'v2' AS feature_version, count(*) AS n, count(*) AS n_verified FROM long_region WHERE feature_name LIKE 'ret%' GROUP BY 2"))
 def _(spark, sf_dir):
     path = scratch(spark, "features")
     batch = long(spark, sf_dir, "region").withColumn("knowledge_date", F.col("effective_date"))
     st.write_features(batch, path, "bars", "v1")
-    st.replace_source(batch, path, "bars", "v2")
+    # The reload brings fewer features; none of the others may be left.
+    st.replace_source(batch.where("feature_name LIKE 'ret%'"), path, "bars", "v2")
     return st.read_features(spark, path, source="bars").groupBy("source", "feature_name", "feature_version").agg(
         F.count("*").alias("n"), F.count_if("pit_verified").alias("n_verified"))
 
 
-@plan("ticker_source_replaced", "ticker:s n:i", "S10",
-      with_parts("long_region", "SELECT ticker, count(*) AS n FROM long_region WHERE ticker <> 'ASIA' GROUP BY 1"))
+@plan("ticker_source_replaced", "ticker:s feature_version:s n:i", "S10",
+      with_parts("long_region", """
+SELECT ticker, CASE WHEN ticker = 'ASIA' THEN 'v2' ELSE 'v1' END AS feature_version, count(*) AS n FROM long_region
+WHERE ticker <> 'ASIA' OR feature_name = 'rsi_14' GROUP BY 1, 2"""))
 def _(spark, sf_dir):
-    rows = long(spark, sf_dir, "region").withColumn("source", F.lit("bars"))
-    return st.without_ticker_source(rows, rows.where("ticker = 'ASIA'")).groupBy("ticker").agg(F.count("*").alias("n"))
+    path = scratch(spark, "features")
+    batch = long(spark, sf_dir, "region").withColumn("knowledge_date", F.col("effective_date"))
+    st.write_features(batch, path, "bars", "v1")
+    st.replace_ticker_source(batch.where("ticker = 'ASIA' AND feature_name = 'rsi_14'"), path, "bars", "v2")
+    return st.read_features(spark, path, source="bars").groupBy("ticker", "feature_version").agg(F.count("*").alias("n"))
 
 
 @plan("snapshot_round_trip", "ticker:s effective_date:d close:f8", "S11", with_parts("bars_region", "SELECT * FROM bars_region"))

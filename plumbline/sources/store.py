@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.session import materialise
 from plumbline.schemas import (
     FEATURE_BATCH,
     FEATURES_PIT,
@@ -37,13 +38,14 @@ def write_features(batch: DataFrame, path: str, source: str, version: str = "v1"
     """Append (or replace) a batch; returns the rows written, counted on the way."""
     seen = Observation("features")
     stamped = stamp_features(batch, source, version).observe(seen, F.count(F.lit(1)).alias("n"))
-    # One shuffle on the partition columns and the ticker keeps files few and sorted.
+    # A source is the unit of reload. Inside it rows are sorted, so that a read of some
+    # features or tickers skips row groups.
     (
         stamped.repartition("feature_name", "ticker")
         .sortWithinPartitions("feature_name", "ticker", "effective_date")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source", "feature_name")
+        .partitionBy("source")
         .parquet(path)
     )
     return seen.get["n"]
@@ -59,10 +61,23 @@ def read_features(spark: SparkSession, path: str, names=None, source: str | None
 
 
 def replace_source(batch: DataFrame, path: str, source: str, version: str = "v1") -> int:
-    """Idempotent reload of a source: its partitions are overwritten, others stay."""
+    """Idempotent reload of a source: all it held before goes, other sources stay."""
     return write_features(batch, path, source, version, mode="overwrite")
 
 
+def replace_ticker_source(batch: DataFrame, path: str, source: str, version: str = "v1") -> int:
+    """Reload of a source for the tickers of ``batch`` only; returns the rows the source then holds."""
+    spark = batch.sparkSession
+    stored = read_features(spark, path, source=source)
+    kept = stored.join(batch.select("ticker").distinct(), "ticker", "left_anti")
+    # Stored first: the partition is overwritten while it is read otherwise.
+    both = materialise(kept.unionByName(stamp_features(batch, source, version)), "reload")
+    both.repartition("feature_name", "ticker").sortWithinPartitions("feature_name", "ticker", "effective_date").write.mode(
+        "overwrite"
+    ).option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    return both.count()
+
+
 def without_ticker_source(stored: DataFrame, replaced: DataFrame) -> DataFrame:
     """Stored rows minus those of the (ticker, source) pairs being replaced."""
     return stored.join(replaced.select("ticker", "source").distinct(), ["ticker", "source"], "left_anti")
