@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from plumbline.llm.chunks import ChunkEncoder, forget
+from plumbline.llm.chunks import TOKEN_BATCH_BYTES, ChunkEncoder, forget
 from plumbline.llm.common import bounded_batches
 
 END = "</w>"
@@ -228,8 +228,8 @@ class SpeculativeBpe:
                     out.append(word if plain else "".join(map(self.characters.__getitem__, word.encode())))
         return out
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        pieces = [self.pieces(c.decode()) for c in chunks]
+    def encode_chunks(self, chunks: pa.Array) -> list[bytes]:
+        pieces = list(map(self.pieces, chunks.to_pylist()))
         known = self.known
         forget(known, REMEMBERED_WORDS)
         words = list({p for ps in pieces for p in ps if isinstance(p, str) and p not in known})
@@ -251,18 +251,17 @@ def _worker(path: str) -> tuple[SpeculativeBpe, ChunkEncoder]:
 def encode_column(batches, path: str, emit):
     bpe, encoder = _worker(path)
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        yield emit(bpe, batch, encoder(texts))
+        yield emit(bpe, batch, encoder.each(batch.column("text")))
 
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of its text."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TOKEN_BATCH_BYTES)
 
     def run(batches):
         def emit(bpe, batch, encoded):
-            ids = [np.frombuffer(e, dtype="<u4").astype(np.int32) for e in encoded]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = pa.array([e.astype(np.int32) for e in encoded], pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
         return encode_column(batches, path, emit)
 
@@ -284,15 +283,15 @@ def decoded_text(tokens: DataFrame, path: str) -> DataFrame:
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """op4: encode every text, decode the ids, and digest both, in one pass over the texts."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TOKEN_BATCH_BYTES)
 
     def run(batches):
         def emit(bpe, batch, encoded):
             counts, of_ids, of_text = [], [], []
-            for e in encoded:
-                counts.append(len(e) // 4)
-                of_ids.append(hashlib.sha256(e).hexdigest())
-                of_text.append(hashlib.sha256(bpe.decode(np.frombuffer(e, dtype="<u4").tolist()).encode()).hexdigest())
+            for ids in encoded:
+                counts.append(len(ids))
+                of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                of_text.append(hashlib.sha256(bpe.decode(ids.tolist()).encode()).hexdigest())
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -31,20 +31,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm.chunks import ChunkEncoder, forget
+from plumbline.llm.chunks import TOKEN_BATCH_BYTES, ChunkEncoder
 from plumbline.llm.common import bounded_batches
 from plumbline.session import materialise, shared_dir
 
 SHARD_BYTES = 16 << 20
 HEADER = struct.Struct("<qBQQ")
-# Runs of letters and of marks that a worker remembers.
-REMEMBERED_WORDS = 250_000
-# ASCII marks that may follow a word; none of them can join it to what comes after.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---- encoding texts ---------------------------------------------------------------------------
@@ -58,9 +55,8 @@ def id_type(vocabulary: int) -> np.dtype:
 class LibraryEncoder:
     """Ids of chunks from the tokenizers library, many chunks in one call.
 
-    A chunk of letters with marks behind them has the tokens of the letters, then
-    those of the marks, so only the letters are asked for once more; tokens that end
-    a word tell where each chunk of letters ends. For all others token offsets do.
+    Tokens that end a word tell where each chunk of letters alone ends; for all
+    others token offsets do.
     """
 
     def __init__(self, path: str):
@@ -69,7 +65,6 @@ class LibraryEncoder:
         size = self.tokenizer.get_vocab_size()
         self.kind = id_type(size)
         self.ends_word = np.array([self.tokenizer.id_to_token(k).endswith("</w>") for k in range(size)])
-        self.known: dict[str, bytes] = {}
 
     def by_offsets(self, chunks: list[str]):
         for lo in range(0, len(chunks), 500):
@@ -90,46 +85,31 @@ class LibraryEncoder:
         at = (cuts * width).tolist()
         return (raw[a:b] for a, b in zip([0, *at[:-1]], at))
 
-    def __call__(self, chunks: list[bytes]) -> list[bytes]:
-        known = self.known
-        forget(known, REMEMBERED_WORDS)
-        split, words, others = [], set(), set()
-        for c in chunks:
-            text = c.decode()
-            letters = text.rstrip(MARKS)
-            marks, word = text[len(letters) :], letters.lower()
-            if len(word) == len(letters) and word.isalpha() and "Σ" not in letters:
-                words.add(word)
-                others.add(marks)
-                split.append((word, marks))
-            else:
-                others.add(text)
-                split.append((text, ""))
-        words = [w for w in words if w not in known]
-        known.update(zip(words, self.by_word_ends(words), strict=True))
-        others = [w for w in others if w and w not in known]
-        known.update(zip(others, self.by_offsets(others), strict=True))
-        known[""] = b""
-        return [known[a] + known[b] for a, b in split]
+    def __call__(self, chunks: pa.Array) -> list[bytes]:
+        word = pc.utf8_is_alpha(chunks).to_numpy(zero_copy_only=False)
+        out = np.empty(len(chunks), dtype=object)
+        for rows, how in ((np.flatnonzero(word), self.by_word_ends), (np.flatnonzero(~word), self.by_offsets)):
+            out[rows] = list(how(chunks.take(pa.array(rows)).to_pylist()))
+        return out.tolist()
 
 
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> tuple[ChunkEncoder, np.dtype]:
     library = LibraryEncoder(path)
-    return ChunkEncoder(library), library.kind
+    return ChunkEncoder(library, library.kind), library.kind
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens and ids (little endian, the end id last)."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TOKEN_BATCH_BYTES)
 
     def run(batches):
         encoder, kind = _encoder(path)
-        end = end_id.to_bytes(kind.itemsize, "little")
+        end = np.array([end_id], dtype=kind)
         for batch in batches:
-            ids = [e + end for e in encoder(batch.column("text").cast(pa.binary()).to_pylist())]
+            ids = [np.concatenate([e, end]) for e in encoder.each(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(i) // kind.itemsize for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                [batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
                 ["doc_id", "n_tokens", "ids"],
             )
 
