@@ -10,7 +10,7 @@ from plumbline.operators import features as ft
 from plumbline.operators import governance as gov
 from plumbline.operators import hygiene as hy
 from plumbline.operators import pit
-from plumbline.plans.analog_plans import by_state, history, nearest, past
+from plumbline.plans.analog_plans import by_state, history, nearest, past, states
 from plumbline.plans.feature_plans import wide
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
@@ -158,13 +158,15 @@ def _(spark, sf_dir):
 
 
 # ---- decisions and their change log
-part("verdicts", "regime_kelly both_sets drive2", """
-SELECT *, CASE WHEN net >= 2 THEN 'lean long' WHEN net <= -2 THEN 'lean short' ELSE 'neutral' END AS verdict,
+part("verdicts", "regime_kelly both_sets drive2 market_state", """
+SELECT *, CASE WHEN n_bull - n_bear >= 2 THEN 'lean long' WHEN n_bull - n_bear <= -2 THEN 'lean short' ELSE 'neutral' END AS verdict,
  printf('%.2f', round_even(kelly_displayed / 0.05, 0) * 0.05) AS sizing_band FROM (
- SELECT k.*, d.dis AS disagreement, ups - downs + CASE WHEN hit_rate > 0.5 THEN 1 ELSE -1 END
-  + CASE WHEN p50 > 0 AND p95 > abs(p5) THEN 1 WHEN abs(p5) > p95 THEN -1 ELSE 0 END - CASE WHEN dis THEN 1 ELSE 0 END
-  - CASE WHEN round_even(effective_n, 0) < 15 THEN 1 ELSE 0 END + CASE WHEN kelly_displayed > 0 THEN 1 ELSE 0 END AS net
+ SELECT k.*, d.dis AS disagreement,
+  ups + CAST(hit_rate > 0.5 AS INT) + CAST(p50 > 0 AND p95 > abs(p5) AS INT) + CAST(regime LIKE '%Bull%' AS INT) + CAST(kelly_displayed > 0 AS INT) AS n_bull,
+  downs + CAST(hit_rate <= 0.5 AS INT) + CAST(NOT (p50 > 0 AND p95 > abs(p5)) AND abs(p5) > p95 AS INT)
+  + CAST(regime LIKE '%Bear%' AND regime NOT LIKE '%Bull%' AS INT) + CAST(dis AS INT) + CAST(round_even(effective_n, 0) < 15 AS INT) AS n_bear
  FROM regime_kelly k JOIN drive2 USING (ticker)
+ JOIN market_state ms ON ms.effective_date = k.as_of
  JOIN (SELECT ticker, sum(g * w) / count(*) < 0.5 AS dis FROM (SELECT ticker, effective_date, max(CASE WHEN analog_set = 'global' THEN 1 ELSE 0 END) AS g,
    max(CASE WHEN analog_set = 'within' THEN 1 ELSE 0 END) AS w FROM both_sets GROUP BY 1, 2) GROUP BY 1) d USING (ticker))""")
 _FZ = " UNION ALL ".join(
@@ -177,13 +179,14 @@ SELECT ticker, count(*) FILTER (WHERE z >= 0) AS ups, count(*) FILTER (WHERE z <
 
 def decided(spark, sf_dir):
     assets = an.assets(*by_state(spark, sf_dir)).where("n_returns IS NOT NULL")
+    regimes = states(spark, sf_dir).select(F.col("effective_date").alias("as_of"), "regime")
     return gov.cases(
-        assets.withColumns({
-            "n": F.bround("effective_n").cast("int"), "regime": F.lit("Neutral / transition"),
+        assets.join(regimes, "as_of").withColumns({
+            "n": F.bround("effective_n").cast("int"),
             "disagreement": F.coalesce("disagreement", F.lit(False))}))
 
 
-@plan("bull_bear_cases", "ticker:s n_bull:i n_bear:i verdict:s", "G7")
+@plan("bull_bear_cases", "ticker:s n_bull:i n_bear:i verdict:s", "G7", with_parts("verdicts", "SELECT ticker, n_bull, n_bear, verdict FROM verdicts"))
 def _(spark, sf_dir):
     return decided(spark, sf_dir).withColumn("n_bull", F.size("bull")).withColumn("n_bear", F.size("bear"))
 

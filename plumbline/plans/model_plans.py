@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import attribution as at
+from plumbline.operators import calibration as cal
 from plumbline.operators import features as ft
 from plumbline.operators import regime as rg
 from plumbline.operators import regime_labels as rl
@@ -13,7 +14,9 @@ from plumbline.plans.analog_plans import history
 from plumbline.plans.feature_plans import market, wide
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
+from plumbline.plans.store_plans import scratch
 from plumbline.plans.validation_plans import WINDOW, deflated, delisted, live_universe
+from plumbline.sources import store as st
 from plumbline.sources import tables as tb
 
 OBS = ("ret_1d", "ret_21d", "realized_vol_21d")
@@ -116,9 +119,15 @@ def _(spark, sf_dir):
 
 @plan("isotonic_calibration", "n:i ece:f n_bins:i", "M14 A11")
 def _(spark, sf_dir):
+    """Trained on the first half of the days, calibrated on the next quarter, scored on the last."""
     rows = classifier_rows(spark, sf_dir)
-    model = at.train_classifier(rows, ft.DISTANCE_FEATURES)
-    return at.calibrate(at.probability(model, rows).select("ticker", "effective_date", "p", "y"))[2]
+    ends = rows.agg(F.percentile_approx(F.unix_date("effective_date"), [0.5, 0.75]).alias("e")).first()["e"]
+    day = F.unix_date("effective_date")
+    model = at.train_classifier(rows.where(day <= ends[0]), ft.DISTANCE_FEATURES)
+    later = at.probability(model, rows.where(day > ends[0])).select("ticker", "effective_date", "p", "y")
+    fitted = at.calibrate(later.where(day <= ends[1]))[0]
+    scored = fitted.transform(later.where(day > ends[1]))
+    return cal.binned_calibration_error(scored, "calibrated", "y")
 
 
 # ---- whole runs
@@ -126,18 +135,24 @@ PREDICTIVE = {"layer1": "low_volatility", "layer2": "train_drift"}
 DIAGNOSTIC = ("layer3", "layer4", "layer5", "layer6", "layer7", "layer8_journal", "layer9_calibration", "layer10_sizing")
 
 
-@plan("validation_run", "layer_name:s as_of:d walk_forward_sharpe:f cpcv_p30_sharpe:f deflated_sharpe:f survivorship_audit:s survivorship_coverage:f status:s production_ready:b rationale:s", "V8 Q16")
+@plan("validation_run", "layer_name:s as_of:d walk_forward_sharpe:f cpcv_p30_sharpe:f cv_method:s n_trials:i deflated_sharpe:f survivorship_audit:s survivorship_coverage:f status:s production_ready:b rationale:s", "V8 Q16 V5")
 def _(spark, sf_dir):
     rows = va.numbered(market(spark, sf_dir).withColumn("series_id", F.lit("market")), ("ret_1d", "ret_21d", "realized_vol_21d"))
-    wf = va.walk_forward(rows).withColumnRenamed("mean_sharpe", "sharpe")
+    # Every run is logged before it is computed; the Sharpe is deflated by the length of the log.
+    log = scratch(spark, "executions")
+    runs = [(layer, how, signal) for layer, signal in PREDICTIVE.items() for how in ("walk_forward", "cpcv")]
+    trials = st.log_executions(spark.createDataFrame(runs, "layer_name string, function_name string, hyperparameters string"), log)
+    wf = va.walk_forward(rows).select("series_id", "signal", F.col("mean_sharpe").alias("sharpe"))
+    combined = va.cpcv(rows).select("series_id", "signal", "p30", "cv_method")
     moments = va.pnl_moments(va.signal_pnl(va.whole_sample(rows)))
-    graded = va.deflated_sharpe(wf.join(moments, ["series_id", "signal"]), len(PREDICTIVE))
+    graded = va.deflated_sharpe(wf.join(combined, ["series_id", "signal"]).join(moments, ["series_id", "signal"]), trials)
     names = F.create_map(*[F.lit(x) for layer, s in PREDICTIVE.items() for x in (s, layer)])
     predictive = graded.select(
         names[F.col("signal")].alias("layer_name"), F.col("sharpe").alias("walk_forward_sharpe"),
-        F.col("p30").alias("cpcv_p30_sharpe"), "deflated_sharpe").where("layer_name IS NOT NULL")
+        F.col("p30").alias("cpcv_p30_sharpe"), "deflated_sharpe", "cv_method", "n_trials").where("layer_name IS NOT NULL")
     base = [("layer0", 1.0, 0.0, 1.0)] + [(n, 0.01, 0.01, 0.0) for n in DIAGNOSTIC]
-    others = spark.createDataFrame(base, "layer_name string, walk_forward_sharpe double, cpcv_p30_sharpe double, deflated_sharpe double")
+    others = spark.createDataFrame(base, "layer_name string, walk_forward_sharpe double, cpcv_p30_sharpe double, deflated_sharpe double").withColumns(
+        {"cv_method": F.lit(None).cast("string"), "n_trials": F.lit(None).cast("int")})
     audit = va.survivorship(live_universe(spark, sf_dir), delisted(spark, sf_dir), *WINDOW, floor=0.95)
     as_of = rows.groupBy().agg(F.max("effective_date").alias("as_of"))
     reports = (

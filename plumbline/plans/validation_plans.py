@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions.stats import expected_max_normal
 from plumbline.operators import validation as va
@@ -25,12 +26,18 @@ SELECT * FROM (SELECT r.*, i AS path_id, CASE WHEN idx < i * (n // 4) THEN 'trai
   WHEN idx >= i * (n // 4) + 504 AND idx < i * (n // 4) + 504 + n // 4 THEN 'test' END AS role
  FROM cv_rows r, range(1, 4) AS t(i) WHERE i * (n // 4) + 504 + n // 4 <= n) WHERE role IS NOT NULL""")
 _PAIRS = ", ".join(f"({k + 1}, {a}, {b})" for k, (a, b) in enumerate(combinations(range(6), 2)))
-part("cp_paths", "cv_rows", f"""
+
+
+def cp_sql(rows: str, embargo: int) -> str:
+    return f"""
 SELECT * FROM (SELECT r.*, path_id,
  CASE WHEN (idx >= a * s AND idx < ea) OR (idx >= b * s AND idx < eb) THEN 'test'
-  WHEN NOT ((idx >= a * s - 60 AND idx < ea + 60) OR (idx >= b * s - 60 AND idx < eb + 60)) THEN 'train' END AS role
+  WHEN NOT ((idx >= a * s - {embargo} AND idx < ea + {embargo}) OR (idx >= b * s - {embargo} AND idx < eb + {embargo})) THEN 'train' END AS role
  FROM (SELECT *, n // 6 AS s, CASE WHEN a = 5 THEN n ELSE (a + 1) * (n // 6) END AS ea, CASE WHEN b = 5 THEN n ELSE (b + 1) * (n // 6) END AS eb
-  FROM cv_rows, (VALUES {_PAIRS}) AS p(path_id, a, b)) r) WHERE role IS NOT NULL""")
+  FROM {rows}, (VALUES {_PAIRS}) AS p(path_id, a, b)) r) WHERE role IS NOT NULL"""
+
+
+part("cp_paths", "cv_rows", cp_sql("cv_rows", 60))
 part("all_paths", "cv_rows", """
 SELECT *, 0 AS path_id, 'train' AS role FROM cv_rows WHERE idx < n // 2 UNION ALL SELECT *, 0, 'test' FROM cv_rows""")
 
@@ -54,7 +61,13 @@ SELECT series_id, signal, path_id, count(*) AS n_test, any_value(n_train) AS n_t
  CASE WHEN count(*) >= 2 AND stddev_samp(pnl) > 0 THEN avg(pnl) / stddev_samp(pnl) * sqrt(252.0) ELSE 0 END AS sharpe FROM {tag}_pnl GROUP BY 1, 2, 3""")
 
 
-for _t in ("wf", "cp", "all"):
+# All regions' rows in one long series: enough rows for the fixed embargo.
+part("chained", "cv_rows", """
+SELECT 'chained' AS series_id, effective_date, ret_1d, ret_21d, realized_vol_21d,
+ row_number() OVER (ORDER BY series_id, idx) - 1 AS idx, count(*) OVER () AS n FROM cv_rows""")
+part("cq_paths", "chained", cp_sql("chained", 504))
+
+for _t in ("wf", "cp", "cq", "all"):
     pnl_parts(_t)
 _SIG = ", ".join(f"('{s}')" for s in SIGNALS)
 part("wf_summary", "wf_sharpe cv_rows", f"""
@@ -129,10 +142,22 @@ def _(spark, sf_dir):
     return va.path_sharpes(pnl, min_train=va.MIN_TRAIN_ROWS, min_test=va.MIN_TEST_ROWS)
 
 
+def chained_rows(spark, sf_dir):
+    rows = cv_rows(spark, sf_dir)
+    one = Window.partitionBy().orderBy("series_id", "idx")  # one row per region and day
+    return rows.select(
+        F.lit("chained").alias("series_id"), *[c for c in rows.columns if c not in ("series_id", "idx", "n")],
+        (F.row_number().over(one) - 1).alias("idx"), F.count("*").over(Window.partitionBy()).alias("n"))
+
+
 @plan("cpcv_with_fallback", "series_id:s signal:s n_rows:i n_paths:i p30:f p50:f status:s cv_method:s", "V2",
-      with_parts("wf_summary", "SELECT *, 'walk_forward_fallback' AS cv_method FROM wf_summary"))
+      with_parts("wf_summary cq_sharpe chained", f"""
+SELECT series_id, signal, n_rows, n_paths, p30, p50, status, 'walk_forward_fallback' AS cv_method FROM wf_summary UNION ALL
+SELECT 'chained', signal, (SELECT count(*) FROM chained), count(sharpe), quantile_cont(sharpe, 0.3), quantile_cont(sharpe, 0.5), 'OK', 'cpcv'
+FROM (VALUES {_SIG}) AS s(signal) LEFT JOIN (SELECT * FROM cq_sharpe WHERE n_train >= 30 AND n_test >= 5) USING (signal) GROUP BY signal"""))
 def _(spark, sf_dir):
-    return va.cpcv(cv_rows(spark, sf_dir))
+    """Regions are too short for the embargo and fall back; the chained series is not."""
+    return va.cpcv(cv_rows(spark, sf_dir).unionByName(chained_rows(spark, sf_dir)))
 
 
 @plan("pnl_moments", "series_id:s signal:s n_obs:i skew:f kurt:f", "A4", with_parts("moments", "SELECT * FROM moments"))
