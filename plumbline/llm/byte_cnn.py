@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import bounded_batches
+from plumbline.session import materialise
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -187,12 +188,16 @@ def learned_windows(docs: DataFrame, bound: int = LEARNED_TEXTS) -> tuple[np.nda
     spark = docs.sparkSession
     bounded_batches(spark)
     labelled = docs.select("doc_id", "text", "lang").filter(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("langs", F.count(F.lit(1)).over(Window.partitionBy()))
     rate = F.lit(float(bound)) / F.col("langs") / F.col("n")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.join(counts, "lang").filter(place < rate).select("doc_id", "text", "lang")
+    # Which documents: decided without texts, at most about ``bound`` ids, so the texts are not shuffled.
+    picked = materialise(labelled.select("doc_id", "lang").join(counts, "lang").filter(place < rate).select("doc_id").distinct(), "learned")
+    if picked.count() > 4 * bound:
+        raise ValueError("the sample is larger than its bound")
+    sample = labelled.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang")
 
     def cut(batches):
         for batch in batches:
@@ -209,7 +214,10 @@ def learned_windows(docs: DataFrame, bound: int = LEARNED_TEXTS) -> tuple[np.nda
                 [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.string()))], ["doc_id", "window", "lang"]
             )
 
-    rows = sorted(map(tuple, sample.mapInArrow(cut, "doc_id long, window binary, lang string").collect()))
+    found = sample.mapInArrow(cut, "doc_id long, window binary, lang string")
+    # Repeated documents cannot make the sample larger either.
+    found = found.orderBy(F.xxhash64("doc_id", "window", "lang"), "doc_id").limit(2 * bound * WINDOWS_PER_TEXT)
+    rows = sorted(map(tuple, found.collect()))
     x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
     return x, [r[2] for r in rows]
 

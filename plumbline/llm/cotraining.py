@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     found = some.select("doc_id", "_label", *_read(some)).mapInArrow(
         run, "doc_id long, label double, text array<double>, metadata array<double>"
-    ).toArrow()
+    ).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * (labelled + pool)).toArrow()  # however often a document is repeated
     if not found.num_rows:
         return Quality(None, None, None)
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
