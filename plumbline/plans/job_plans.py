@@ -14,6 +14,7 @@ from plumbline.plans.risk_plans import stress_rows
 from plumbline.plans.sqlparts import part, with_parts
 from plumbline.plans.store_plans import health, scratch
 from plumbline.plans.validation_plans import reports
+from plumbline.session import materialise
 from plumbline.sources import tables as tb
 from plumbline.streaming import jobs
 
@@ -30,22 +31,29 @@ _Z = ", ".join(
     f"max(CASE WHEN measure = '{m}' THEN CASE WHEN mad > 0 THEN 0.6745 * (w.{m} - median) / mad ELSE 0 END END) AS {m}_z" for m in fr.MEASURES)
 
 
-@plan("friction_alert_stream", "ticker:s window_start:s bucket:s n_quotes:i status:s spread_bps_z:f9 volume_z:f9 realized_vol_z:f9 alert:b", "ST1",
+@plan("friction_alert_stream", "ticker:s window_start:s bucket:s n_quotes:i status:s reason:s spread_bps_z:f9 volume_z:f9 realized_vol_z:f9 alert:b", "ST1 P7",
       with_parts("window_base", f"""
-, w AS (SELECT *, {_B} AS bucket FROM quote_windows WHERE live AND ws + INTERVAL 15 MINUTES <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM quotes)),
+, w AS (SELECT *, {_B} AS bucket FROM quote_windows WHERE live),
 z AS (SELECT w.ticker, ws, any_value(w.bucket) AS bucket, any_value(n_quotes) AS n_quotes, max(n) AS n, {_Z} FROM w LEFT JOIN window_base b ON b.ticker = w.ticker AND b.bucket = w.bucket GROUP BY 1, 2)
-SELECT ticker, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, bucket, n_quotes, CASE WHEN coalesce(n, 0) >= 10 THEN 'OK' ELSE 'INSUFFICIENT_DATA' END AS status, spread_bps_z, volume_z, realized_vol_z,
- coalesce(n, 0) >= 10 AND greatest(abs(spread_bps_z), abs(volume_z), abs(realized_vol_z)) >= 2.5 AS alert FROM z"""))
+SELECT ticker, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, bucket, n_quotes,
+ CASE WHEN day(ws) % 5 = 2 THEN 'SUPPRESSED' WHEN coalesce(n, 0) >= 10 THEN 'OK' ELSE 'INSUFFICIENT_DATA' END AS status,
+ CASE WHEN day(ws) % 5 = 2 THEN 'CPI release — friction alerts suppressed' END AS reason, spread_bps_z, volume_z, realized_vol_z,
+ day(ws) % 5 <> 2 AND coalesce(n, 0) >= 10 AND greatest(abs(spread_bps_z), abs(volume_z), abs(realized_vol_z)) >= 2.5 AS alert FROM z"""))
 def _(spark, sf_dir):
+    """The stream, and the windows still open where its input ends."""
     quotes = tb.quotes(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    calendar = quotes.select(F.to_date("ts").alias("event_date")).distinct().where(F.dayofmonth("event_date") % 5 == 2).select(
+        "event_date", F.lit("cpi_day").alias("event"), F.lit(0).alias("position"))
     history = quotes.where("ts < TIMESTAMP '2024-01-20'")
     landing, base, out = scratch(spark, "quotes"), scratch(spark, "baseline"), scratch(spark, "alerts")
     quotes.where("ts >= TIMESTAMP '2024-01-20'").write.parquet(landing)
     jobs.window_baseline(history).write.parquet(base)
     stream = spark.readStream.schema(quotes.schema).parquet(landing)
-    query = jobs.start_alerts(stream, spark.read.parquet(base), out, scratch(spark, "checkpoint"))
-    query.awaitTermination()
-    return spark.read.parquet(out).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    baseline = spark.read.parquet(base)
+    days = materialise(calendar, "calendar")
+    jobs.start_alerts(stream, baseline, out, scratch(spark, "checkpoint"), days).awaitTermination()
+    rest = jobs.open_windows(spark.read.parquet(landing), baseline, days)
+    return spark.read.parquet(out).unionByName(rest).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @plan("bar_ingest_stream", "ticker:s feature_name:s n:i total:f", "ST2",

@@ -51,15 +51,13 @@ def window_baseline(history: DataFrame, window: str = WINDOW) -> DataFrame:
     return baseline_wide(robust_stats(_long(rows, ["ticker", "bucket"]), ["ticker", "bucket", "measure"]))
 
 
-def friction_alerts(quotes: DataFrame, baseline: DataFrame, window: str = WINDOW, watermark: str = WATERMARK) -> DataFrame:
-    """Scored windows of a quote stream.
-
-    State is one row per open (ticker, window); windows close and leave the state
-    once the watermark passes, rows later than that are dropped and show up in the
-    query's progress. The baseline is a static side, re-read at every micro-batch.
-    """
-    rows = windowed_quotes(quotes.withWatermark("ts", watermark), window)
-    df = rows.join(baseline, ["ticker", "bucket"], "left")
+def scored_windows(rows: DataFrame, baseline: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+    """Windows with the z-scores of their measures; no alert on a day that the calendar holds back."""
+    df = rows.join(baseline, ["ticker", "bucket"], "left").withColumn("_day", F.to_date("window_start"))
+    if calendar is None:
+        df = df.withColumns({"reason": F.lit(None).cast("string"), "suppressed": F.lit(False)})
+    else:
+        df = ql.suppression(df, calendar, "_day")
     enough = F.coalesce(F.col("n_baseline"), F.lit(0)) >= MIN_BASELINE
     for m in MEASURES:
         z = robust_z(F.col(m), F.col(f"median_{m}"), F.col(f"mad_{m}"))
@@ -67,16 +65,29 @@ def friction_alerts(quotes: DataFrame, baseline: DataFrame, window: str = WINDOW
     biggest = F.greatest(*[F.abs(f"{m}_z") for m in MEASURES])
     return df.select(
         "ticker", "window_start", "window_end", "bucket", "n_quotes",
-        F.when(enough, "OK").otherwise("INSUFFICIENT_DATA").alias("status"),
+        F.when(F.col("suppressed"), "SUPPRESSED").when(enough, "OK").otherwise("INSUFFICIENT_DATA").alias("status"), "reason",
         *[f"{m}_z" for m in MEASURES], biggest.alias("max_abs_z"),
-        F.coalesce(biggest >= ALERT_Z, F.lit(False)).alias("alert"),
+        (F.coalesce(biggest >= ALERT_Z, F.lit(False)) & ~F.col("suppressed")).alias("alert"),
     )
 
 
-def start_alerts(quotes: DataFrame, baseline: DataFrame, out: str, checkpoint: str, **trigger):
+def friction_alerts(
+    quotes: DataFrame, baseline: DataFrame, calendar: DataFrame | None = None, window: str = WINDOW, watermark: str = WATERMARK,
+) -> DataFrame:
+    """Scored windows of a quote stream.
+
+    State is one row per open (ticker, window); windows close and leave the state
+    once the watermark passes, rows later than that are dropped and show up in the
+    query's progress (``late_rows``). Baseline and calendar are static sides, re-read
+    at every micro-batch.
+    """
+    return scored_windows(windowed_quotes(quotes.withWatermark("ts", watermark), window), baseline, calendar)
+
+
+def start_alerts(quotes: DataFrame, baseline: DataFrame, out: str, checkpoint: str, calendar: DataFrame | None = None, **trigger):
     """Append the scored windows to a parquet folder."""
     return (
-        friction_alerts(quotes, baseline)
+        friction_alerts(quotes, baseline, calendar)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", out)
@@ -86,6 +97,27 @@ def start_alerts(quotes: DataFrame, baseline: DataFrame, out: str, checkpoint: s
     )
 
 
+def late_rows(query) -> int:
+    """Rows that a finished or running query dropped as too late."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def open_windows(
+    quotes: DataFrame, baseline: DataFrame, calendar: DataFrame | None = None, window: str = WINDOW, watermark: str = WATERMARK,
+) -> DataFrame:
+    """Scores of the windows that a stream over all of ``quotes`` has not closed, to be added when its input has ended.
+
+    Only rows as new as an open window are aggregated.
+    """
+    newest = F.expr(f"max(ts) - INTERVAL {watermark}")
+    mark = quotes.agg(newest).first()[0]
+    if mark is None:
+        return scored_windows(windowed_quotes(quotes, window), baseline, calendar)
+    recent = quotes.where(F.col("ts") >= F.lit(mark) - F.expr(f"INTERVAL {window}"))
+    rows = windowed_quotes(recent, window).where(F.col("window_end") > F.lit(mark))
+    return scored_windows(rows, baseline, calendar)
+
+
 class BarIngest:
     """Landing-folder ingest: bars in, features, audit and list status out.
 
