@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.linalg import robust_covariance
 from plumbline.session import materialise
@@ -27,11 +28,18 @@ def panel(long: DataFrame, names: list[str], keys=("effective_date",), name: str
     return lookup.select(*keys, F.array(*[F.col("_m")[n].cast("double") for n in names]).alias("x"))
 
 
+# Rows of the matrix that travel and are added up together.
+BLOCK = 64
+
+
 def moment_matrices(rows: DataFrame, d: int, key: str) -> DataFrame:
-    """(key, i, j, n, sx, sy, sxx, syy, sxy) over the rows where both i and j are present."""
-    schema = (
-        f"{key} string, cells array<struct<n:double,sx:double,sxx:double,sxy:double>>"
-    )
+    """(key, i, j, n, sx, sxx, sxy) over the rows where both i and j are present.
+
+    Every task adds its rows up to one matrix per key and sends it as blocks of
+    ``BLOCK`` of its rows; blocks of one place are added one after the other. Only
+    the result is spread out to d x d rows per key.
+    """
+    schema = f"{key} string, block int, sums binary"
 
     def reduce(batches):
         totals: dict[str, np.ndarray] = {}
@@ -43,19 +51,35 @@ def moment_matrices(rows: DataFrame, d: int, key: str) -> DataFrame:
                 stack = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
                 totals[k] = totals.get(k, 0) + stack
         for k, s in totals.items():
-            cells = [
-                {"n": a, "sx": b, "sxx": c, "sxy": e} for a, b, c, e in s.reshape(4, -1).T
-            ]
-            yield pd.DataFrame({key: [k], "cells": [cells]})
+            for block, lo in enumerate(range(0, d, BLOCK)):
+                yield pd.DataFrame({key: [k], "block": [block], "sums": [np.ascontiguousarray(s[:, lo : lo + BLOCK]).tobytes()]})
+
+    def add(batches):
+        place, total = None, None
+        for pdf in batches:
+            for k, block, sums in zip(pdf[key], pdf["block"], pdf["sums"]):
+                if (k, block) != place:
+                    if place is not None:
+                        yield cells(place, total)
+                    place, total = (k, block), 0
+                total = total + np.frombuffer(sums)
+        if place is not None:
+            yield cells(place, total)
+
+    def cells(place, total):
+        k, block = place
+        n, sx, sxx, sxy = total.reshape(4, -1, d)
+        i, j = np.indices(n.shape)
+        return pd.DataFrame({
+            key: k, "i": (i + block * BLOCK).ravel(), "j": j.ravel(),
+            "n": n.ravel(), "sx": sx.ravel(), "sxx": sxx.ravel(), "sxy": sxy.ravel(),
+        })
 
     partial = rows.select(key, "x").mapInPandas(reduce, schema)
-    cells = partial.select(key, F.posexplode("cells").alias("pos", "c"))
-    summed = cells.groupBy(key, "pos").agg(*[F.sum(f"c.{f}").alias(f) for f in ("n", "sx", "sxx", "sxy")])
-    matrix = summed.select(
-        key, F.floor(F.col("pos") / d).cast("int").alias("i"), (F.col("pos") % d).alias("j"),
-        "n", "sx", "sxx", "sxy",
+    matrix = partial.repartition(key, "block").sortWithinPartitions(key, "block").mapInPandas(
+        add, f"{key} string, i int, j int, n double, sx double, sxx double, sxy double"
     )
-    # d x d rows per key, stored because every user reads them next to their transpose.
+    # Stored because every user reads them next to their transpose.
     return materialise(matrix, "moments")
 
 
@@ -107,13 +131,30 @@ def robust_cells(rows: DataFrame, d: int, key: str, min_rows_per_name: int = 5)
     return complete(rows).select(key, "x").groupBy(key).applyInPandas(solve, schema)
 
 
-def quadratic_form(weights, cov, d: int):
-    """w' C w for an array of weights and a flattened matrix column."""
-    row = lambda i: F.aggregate(
-        F.sequence(F.lit(0), F.lit(d - 1)), F.lit(0.0), lambda s, j: s + cov[i * d + j] * weights[j]
-    )
-    total = F.aggregate(
-        F.sequence(F.lit(0), F.lit(d - 1)), F.lit(0.0), lambda s, i: s + weights[i] * row(i)
-    )
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+def dense(cells: DataFrame, d: int) -> np.ndarray:
+    """(i, j, cov) rows of one matrix on the driver: d x d numbers of a universe of at most MAX_NAMES."""
+    if d > MAX_NAMES:
+        raise ValueError(f"a universe of {d} names exceeds {MAX_NAMES}")
+    rows = cells.select("i", "j", F.col("cov").cast("double").alias("cov")).toArrow()
+    out = np.full((d, d), np.nan)
+    out[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["cov"].to_numpy()
+    return out
+
 
+def portfolio_vols(df: DataFrame, columns: dict[str, str], cov: np.ndarray) -> DataFrame:
+    """Adds sqrt(w' C w) for each array column of weights; the matrix reaches each task once, batches are one product."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(out, T.DoubleType()) for out in columns.values()]])
+    names = [f.name for f in schema]
+
+    def run(batches):
+        for pdf in batches:
+            for w, out in columns.items():
+                held = pdf[w].notna().to_numpy()
+                vol = np.full(len(pdf), np.nan)
+                if held.any():
+                    x = np.stack(pdf[w][held].to_numpy()).astype(float)
+                    vol[held] = np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", x, cov, x, optimize=True), 0.0))
+                pdf[out] = pd.Series(vol, index=pdf.index).astype(object).where(held, None)
+            yield pdf[names]
+
+    return df.mapInPandas(run, schema)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.matrix import (
     covariance_cells,
+    dense,
     moment_matrices,
-    quadratic_form,
+    portfolio_vols,
     robust_cells,
     sample_covariance,
 )
@@ -80,12 +81,6 @@ def two_regime_covariance(panel: DataFrame, d: int, windows=CRISIS_WINDOWS, robu
     return normal.unionByName(stressed).unionByName(fallback.select(*normal.columns))
 
 
-def flat_matrix(cells: DataFrame) -> DataFrame:
-    """(regime, cov): cells as one row-major array per regime."""
-    packed = F.array_sort(F.collect_list(F.struct("i", "j", "cov")))
-    return cells.groupBy("regime").agg(F.transform(packed, lambda c: c["cov"]).alias("cov"))
-
-
 def weight_vectors(weights: DataFrame, names: list[str], key: str = "portfolio_id") -> DataFrame:
     """(key, w): weights in universe order, zero where a name is not held."""
     held = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("ticker", "weight"))).alias("_m"))
@@ -109,18 +104,17 @@ def stress_test(
 ) -> DataFrame:
     """Factor impact and stressed volatility of every portfolio under every scenario."""
     spark = weights.sparkSession
-    scenarios = F.broadcast(scenario_table(spark))
+    scenarios = scenario_table(spark)
     exposed = portfolio_betas(weights, betas, key).join(scenarios, "factor")
     if factor_vols is not None:
-        exposed = exposed.join(F.broadcast(factor_vols.select("factor", "vol")), "factor", "left")
+        exposed = exposed.join(factor_vols.select("factor", "vol"), "factor", "left")
     else:
         exposed = exposed.withColumn("vol", F.lit(None).cast("double"))
     impact = exposed.groupBy(key, "scenario").agg(
         F.sum(F.col("beta") * F.col("shock") * F.coalesce("vol", F.lit(DEFAULT_FACTOR_VOL))).alias("factor_impact")
     )
-    matrix = flat_matrix(cells).where("regime = 'crisis'").select("cov")
-    vols = weight_vectors(weights, names, key).join(F.broadcast(matrix), F.lit(True))
-    vols = vols.select(key, quadratic_form(F.col("w"), F.col("cov"), len(names)).alias("stressed_vol"))
+    matrix = dense(cells.where("regime = 'crisis'"), len(names))
+    vols = portfolio_vols(weight_vectors(weights, names, key), {"w": "stressed_vol"}, matrix).select(key, "stressed_vol")
     every = F.array(*[F.lit(s) for s in SCENARIOS])
     return (
         vols.withColumn("scenario", F.explode(every))
@@ -145,12 +139,10 @@ def position_impact(
     """
     d = len(names)
     universe = F.array(*[F.lit(n) for n in names])
-    matrix = flat_matrix(cells).where("regime = 'normal'").select("cov")
     zero = F.array(*[F.lit(0.0)] * d)
     df = (
         candidates.join(weight_vectors(weights, names, key), key, "left")
         .withColumn("w", F.coalesce("w", zero))
-        .join(F.broadcast(matrix), F.lit(True))
         .withColumn("_at", F.array_position(universe, F.col("ticker")) - 1)
     )
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
@@ -165,11 +157,12 @@ def position_impact(
     )
     known = F.col("_at") >= 0
     df = df.withColumn("_after", F.when(known, after))
-    before_vol = F.when(empty, 0.0).otherwise(quadratic_form(F.col("w"), F.col("cov"), d))
+    df = portfolio_vols(df, {"w": "_vol_before", "_after": "_vol_after"}, dense(cells.where("regime = 'normal'"), d))
+    before_vol = F.when(empty, 0.0).otherwise(F.col("_vol_before"))
     out = df.select(
         key, "ticker", "target_weight",
         F.when(known, before_vol).otherwise(0.0).alias("vol_before"),
-        F.when(known, quadratic_form(F.col("_after"), F.col("cov"), d)).otherwise(0.0).alias("vol_after"),
+        F.when(known, F.col("_vol_after")).otherwise(0.0).alias("vol_after"),
         F.when(known, effective_n(F.col("w"))).otherwise(0.0).alias("eff_n_before"),
         F.when(known, effective_n(F.col("_after"))).otherwise(0.0).alias("eff_n_after"),
         F.when(~known, F.concat("ticker", F.lit(" not in universe"))).alias("error"),
