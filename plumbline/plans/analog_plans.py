@@ -17,15 +17,15 @@ FEATS = ft.DISTANCE_FEATURES
 D = len(FEATS)
 
 
-def sweep_parts(prefix: str, source: str, keys: str) -> str:
-    """Parts that turn a{i}_{j} columns of ``source`` into those of the inverse."""
+def sweep_parts(prefix: str, source: str, keys: str, d: int = D) -> str:
+    """Parts that turn a{i}_{j} columns of ``source`` into those of the negative inverse."""
     previous = source
-    for k in range(D):
+    for k in range(d):
         cells = []
         def a(i, j):
             return f"a{min(i, j)}_{max(i, j)}"
-        for i in range(D):
-            for j in range(i, D):
+        for i in range(d):
+            for j in range(i, d):
                 if i == k and j == k:
                     cells.append(f"-1 / {a(k, k)} AS {a(k, k)}")
                 elif i == k or j == k:

@@ -8,6 +8,7 @@ from plumbline.operators import features as ft
 from plumbline.operators import matrix as mx
 from plumbline.operators import portfolio as pf
 from plumbline.operators import risk as rk
+from plumbline.plans.analog_plans import sweep_parts
 from plumbline.plans.feature_plans import W
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
@@ -43,6 +44,57 @@ def _(spark, sf_dir):
     return rk.factor_regressions(aligned(spark, sf_dir))
 
 
+# ---- the linear ones by normal equations of centred sums
+_K = len(FACTORS)
+_CELLS = [(i, j) for i in range(_K) for j in range(i, _K)]
+
+
+def _a(i: int, j: int) -> str:
+    return f"a{min(i, j)}_{max(i, j)}"
+
+
+part("reg_rows", "aligned", f"""
+SELECT ticker, asset_ret AS y, {', '.join(f'{f} AS x{i}' for i, f in enumerate(FACTORS))}, count(*) OVER (PARTITION BY ticker) AS n,
+ pow(CAST({rk.DECAY_SHORT} AS DOUBLE), count(*) OVER (PARTITION BY ticker) - row_number() OVER (PARTITION BY ticker ORDER BY effective_date)) AS w FROM aligned""")
+part("ols_mean", "reg_rows", f"""
+SELECT ticker, any_value(n) AS n, sum(w * y) / sum(w) AS my, {', '.join(f'sum(w * x{i}) / sum(w) AS m{i}' for i in range(_K))} FROM reg_rows GROUP BY 1 HAVING any_value(n) >= {rk.MIN_OBS}""")
+part("ridge_mean", "reg_rows", f"""
+SELECT ticker, any_value(n) AS n, avg(y) AS my, {', '.join(f'avg(x{i}) AS m{i}, CASE WHEN stddev_samp(x{i}) > 0 THEN stddev_samp(x{i}) ELSE 1 END AS s{i}' for i in range(_K))} FROM reg_rows GROUP BY 1 HAVING any_value(n) >= {rk.MIN_OBS}""")
+_SOLVED = {}
+for _m, _z, _w, _ridge in (("ols", "(x{0} - m{0})", "w", 0), ("ridge", "((x{0} - m{0}) / s{0})", "1", 1)):
+    _sums = ", ".join(
+        f"sum({_w} * {_z.format(i)} * {_z.format(j)})" + (f" + {_ridge}" if i == j and _ridge else "") + f" AS a{i}_{j}" for i, j in _CELLS)
+    part(f"{_m}_sums", f"reg_rows {_m}_mean", f"""
+SELECT ticker, any_value(r.n) AS n, sum({_w} * pow(y - my, 2)) AS yy, var_samp(y) AS vy, {', '.join(f'sum({_w} * {_z.format(i)} * (y - my)) AS c{i}' for i in range(_K))}, {_sums}
+FROM reg_rows r JOIN {_m}_mean USING (ticker) GROUP BY 1""")
+    _inv = sweep_parts(f"{_m}_inv", f"{_m}_sums", "ticker", _K)
+    _beta = ", ".join("-(" + " + ".join(f"v.{_a(i, j)} * c{j}" for j in range(_K)) + f") AS b{i}" for i in range(_K))
+    part(f"{_m}_beta", f"{_m}_sums {_inv}", f"""
+SELECT ticker, n, yy, vy, {', '.join(f'c{i}' for i in range(_K))}, {', '.join(f'-v.a{i}_{i} AS v{i}' for i in range(_K))}, {_beta} FROM {_m}_sums s JOIN {_inv} v USING (ticker)""")
+part("ols_resid", "reg_rows ols_beta", f"SELECT ticker, var_samp(y - ({' + '.join(f'x{i} * b{i}' for i in range(_K))})) AS vr FROM reg_rows JOIN ols_beta USING (ticker) GROUP BY 1")
+_EXPLAINED = " + ".join(f"b{i} * c{i}" for i in range(_K))
+_SHRUNK = " + ".join(f"b{i} * b{i}" for i in range(_K))
+
+
+def _ols_row(i: int) -> str:
+    t = f"b{i} / sqrt(v{i} * (yy - ({_EXPLAINED})) / (n - {_K + 1}))"
+    return (f"SELECT ticker, 'ew_ols' AS method, '{FACTORS[i]}' AS factor, b{i} AS beta, {t} AS t_stat, abs({t}) >= {rk.SIGNIFICANT_T} AS significant, "
+            f"({_EXPLAINED}) / yy AS r_squared, CASE WHEN vy > 0 THEN vr / vy ELSE 1 END AS idiosyncratic_pct, n AS n_obs, 'OK' AS status FROM ols_beta JOIN ols_resid USING (ticker)")
+
+
+def _ridge_row(i: int) -> str:
+    share = f"(yy - ({_EXPLAINED}) - ({_SHRUNK})) / yy"
+    return (f"SELECT ticker, 'ridge', '{FACTORS[i]}', b{i} / s{i}, NULL, false, 1 - {share}, {share}, ridge_beta.n, 'OK' FROM ridge_beta JOIN ridge_mean USING (ticker)")
+
+
+@plan("factor_regressions_linear", "ticker:s method:s factor:s beta:f4 t_stat:f4 significant:b r_squared:f idiosyncratic_pct:f n_obs:i status:s", "M16 M17",
+      with_parts("ols_resid ridge_beta reg_rows", " UNION ALL ".join(
+          [_ols_row(i) for i in range(_K)] + [_ridge_row(i) for i in range(_K)] + [
+              f"SELECT DISTINCT ticker, m.m, CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), false, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), n, 'INSUFFICIENT_DATA' FROM reg_rows, (VALUES ('ew_ols'), ('ridge')) AS m(m) WHERE n < {rk.MIN_OBS}"])))
+def _(spark, sf_dir):
+    return rk.factor_regressions(aligned(spark, sf_dir), methods=("ew_ols", "ridge"))
+
+
 CHANGES = ["amount", "ret", "trades", "volume"]
 
 
