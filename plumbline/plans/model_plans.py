@@ -16,6 +16,7 @@ from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
 from plumbline.plans.store_plans import scratch
 from plumbline.plans.validation_plans import WINDOW, deflated, delisted, live_universe
+from plumbline.session import materialise
 from plumbline.sources import store as st
 from plumbline.sources import tables as tb
 
@@ -36,22 +37,90 @@ def _(spark, sf_dir):
     return rg.select_k(rg.score_ks(observations(spark, sf_dir), OBS))
 
 
-@plan("regime_current_state", "series_id:s as_of:d dominant_state:i state_uncertainty:f transition_signal:b", "M3")
-def _(spark, sf_dir):
+def selected_models(spark, sf_dir):
+    """Each series under the number of states that scored best out of sample."""
     obs = observations(spark, sf_dir)
-    return rg.current_state(obs, rg.fit_models(obs, OBS, (3,)), OBS)
+    models = materialise(rg.fit_models(obs, OBS), "regime-models")
+    return obs, materialise(rg.chosen_models(models, rg.select_k(rg.score_ks(obs, OBS))), "regime-chosen")
 
 
-@plan("regime_path", "series_id:s state:i n:i", "M4")
+@plan("regime_current_state", "series_id:s as_of:d dominant_state:i state_uncertainty:f transition_signal:b", "M3 M2")
 def _(spark, sf_dir):
+    obs, models = selected_models(spark, sf_dir)
+    return rg.current_state(obs, models, OBS)
+
+
+@plan("regime_path", "series_id:s state:i n:i", "M4 M2")
+def _(spark, sf_dir):
+    obs, models = selected_models(spark, sf_dir)
+    return rg.decode(obs, models, OBS).groupBy("series_id", "state").agg(F.count("*").alias("n"))
+
+
+# ---- a stored model of two states, so that SQL can follow its decoding
+STORED = {
+    "start": (0.6, 0.4), "trans": ((0.95, 0.05), (0.1, 0.9)),
+    "means": ((2.0, 2.0, 25.0), (10.0, 10.0, 32.0)), "variances": ((100.0, 100.0, 16.0), (900.0, 900.0, 36.0)),
+    "mu": (4.4, 4.4, 28.5), "sd": (30.0, 27.0, 6.0),
+}
+_CLIPPED = [f"greatest({m - 4 * s}, least({m + 4 * s}, {f}))" for f, m, s in zip(OBS, STORED["mu"], STORED["sd"])]
+
+
+def _density(state: int) -> str:
+    """Log density without the constant that all states share."""
+    terms = (f"pow({x} - {m}, 2) / {v} + ln({v})" for x, m, v in zip(_CLIPPED, STORED["means"][state], STORED["variances"][state]))
+    return f"-0.5 * ({' + '.join(terms)})"
+
+
+def _ln(a: int, b: int) -> str:
+    return f"ln({STORED['trans'][a][b]})"
+
+
+part("decoding_rows", "feat_region", f"""
+SELECT ticker AS series_id, effective_date, row_number() OVER (PARTITION BY ticker ORDER BY effective_date) AS rn, count(*) OVER (PARTITION BY ticker) AS n,
+ CAST({_density(0)} AS DOUBLE) AS l0, CAST({_density(1)} AS DOUBLE) AS l1 FROM feat_region WHERE {' AND '.join(f + ' IS NOT NULL' for f in OBS)}""")
+_T = STORED["trans"]
+part("ahead", "decoding_rows", f"""
+SELECT series_id, effective_date, rn, n, ln({STORED['start'][0]}) + l0 AS b0, ln({STORED['start'][1]}) + l1 AS b1, 0 AS from0, 0 AS from1,
+ CAST(1 / (1 + {STORED['start'][1]} / {STORED['start'][0]} * exp(l1 - l0)) AS DOUBLE) AS f0 FROM decoding_rows WHERE rn = 1
+UNION ALL /*r*/
+SELECT r.series_id, r.effective_date, r.rn, r.n, greatest(b0 + {_ln(0, 0)}, b1 + {_ln(1, 0)}) + l0, greatest(b0 + {_ln(0, 1)}, b1 + {_ln(1, 1)}) + l1,
+ CASE WHEN b0 + {_ln(0, 0)} >= b1 + {_ln(1, 0)} THEN 0 ELSE 1 END, CASE WHEN b0 + {_ln(0, 1)} >= b1 + {_ln(1, 1)} THEN 0 ELSE 1 END,
+ 1 / (1 + (f0 * {_T[0][1]} + (1 - f0) * {_T[1][1]}) / (f0 * {_T[0][0]} + (1 - f0) * {_T[1][0]}) * exp(l1 - l0))
+FROM ahead a JOIN decoding_rows r ON r.series_id = a.series_id AND r.rn = a.rn + 1""")
+
+
+def stored_model(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return rg.decode(obs, rg.fit_models(obs, OBS, (3,)), OBS).groupBy("series_id", "state").agg(F.count("*").alias("n"))
+    covs = [[float(v) if i == j else 0.0 for i in range(3) for j, v in enumerate(row)] for row in STORED["variances"]]
+    flat = lambda rows: [float(x) for r in rows for x in r]
+    row = (2, 0, 0.0, 0, list(STORED["start"]), flat(STORED["trans"]), flat(STORED["means"]), flat(covs), list(STORED["mu"]), list(STORED["sd"]))
+    fields = ", ".join(f.strip() for f in rg.MODEL_SCHEMA.split(",") if "series_id" not in f)
+    model = spark.createDataFrame([row], fields)
+    named = obs.select("series_id").distinct().withColumn("_one", F.lit(1)).join(model.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return obs, materialise(named, "stored-model")
+
+
+@plan("stored_model_path", "series_id:s effective_date:d state:i", "M4",
+      with_parts("ahead", """
+, back AS (SELECT series_id, effective_date, rn, CASE WHEN b0 >= b1 THEN 0 ELSE 1 END AS state, from0, from1 FROM ahead WHERE rn = n
+UNION ALL SELECT a.series_id, a.effective_date, a.rn, CASE WHEN b.state = 0 THEN b.from0 ELSE b.from1 END, a.from0, a.from1
+FROM back b JOIN ahead a ON a.series_id = b.series_id AND a.rn = b.rn - 1)
+SELECT series_id, effective_date, state FROM back""", recursive=True))
+def _(spark, sf_dir):
+    return rg.decode(*stored_model(spark, sf_dir), OBS)
+
+
+@plan("stored_model_state", "series_id:s as_of:d dominant_state:i state_uncertainty:f", "M3",
+      with_parts("ahead", """
+SELECT series_id, effective_date AS as_of, CASE WHEN f0 >= 0.5 THEN 0 ELSE 1 END AS dominant_state, 1 - greatest(f0, 1 - f0) AS state_uncertainty
+FROM ahead WHERE rn = n""", recursive=True))
+def _(spark, sf_dir):
+    return rg.current_state(*stored_model(spark, sf_dir), OBS)
 
 
 @plan("market_state_report", "series_id:s dominant:s current:s uncertainty:s transition:s validated:b disclosure:s", "M6 K6")
 def _(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    models = rg.fit_models(obs, OBS, (3,))
+    obs, models = selected_models(spark, sf_dir)
     return rg.market_state_report(rg.decode(obs, models, OBS), rg.label_states(rg.state_means(models, OBS)))
 
 
