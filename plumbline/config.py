@@ -14,17 +14,11 @@ class Settings:
     dsr_floor: float = 0.95
     survivorship_floor: float = 0.80
     # fixed values: winsorising and normalisation
-    ewma_clip: float = 4.0
-    sigma_cap: float = 4.0
     # fixed values: sizing
-    kelly_absolute_cap: float = 0.20
-    annual_impairment_rate: float = 0.02
-    synthetic_wipeout_return: float = -0.60
     # fixed values: data integrity
     max_missing_bar_fraction: float = 0.02
     max_stale_cross_ticker_fraction: float = 0.20
     # fixed values: cross validation
-    embargo_rows: int = 504
     trial_floor: int = 2000
 
 

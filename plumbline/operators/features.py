@@ -167,10 +167,6 @@ def known_features(wide: DataFrame, features=OHLCV_FEATURES, label: str = "ret_f
     return long.select("ticker", "effective_date", known.alias("knowledge_date"), "feature_name", "feature_value")
 
 
-def to_wide(long: DataFrame, features, keys=("ticker", "effective_date")) -> DataFrame:
-    return long.groupBy(*keys).pivot("feature_name", list(features)).agg(F.first("feature_value"))
-
-
 def ewma_normalise(long: DataFrame, clip: float = 4.0) -> DataFrame:
     """Exponentially weighted z-score per (ticker, feature), clipped to +-clip.
 

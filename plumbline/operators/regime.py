@@ -290,7 +290,7 @@ def promote(registry: DataFrame, promotions: DataFrame, status: str = "lite_surv
     winner = promotions.groupBy("app_mode").agg(
         F.max_by("model_id", "promoted_at").alias("_winner"), F.max("promoted_at").alias("_at")
     )
-    df = registry.join(F.broadcast(winner), "app_mode", "left")
+    df = registry.join(winner, "app_mode", "left")
     wins = F.col("model_id") == F.col("_winner")
     retires = F.col("_winner").isNotNull() & ~wins & F.col("retired_at").isNull()
     return df.withColumns(

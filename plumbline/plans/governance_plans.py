@@ -14,6 +14,8 @@ from plumbline.plans.analog_plans import by_state, history, nearest, past, state
 from plumbline.plans.feature_plans import wide
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
+from plumbline.session import materialise
+from plumbline.sources import store as st
 from plumbline.sources import tables as tb
 
 _P = "CASE confidence_self WHEN 1 THEN 0.30 WHEN 2 THEN 0.45 WHEN 3 THEN 0.55 WHEN 4 THEN 0.70 WHEN 5 THEN 0.85 END"
@@ -123,7 +125,10 @@ def resolved(spark, sf_dir):
 @plan("emitted_predictions", "prediction_id:s ticker:s knowledge_date:d horizon_days:i pred_p50:f pred_p5:f pred_p95:f pred_hit_prob:f pred_sizing:f effective_n:f", "G1 K5 X5",
       with_parts("predicted", "SELECT * FROM predicted"))
 def _(spark, sf_dir):
-    return predictions(spark, sf_dir)
+    """A rerun over dates of which some are stored: only absent predictions are added."""
+    every = materialise(predictions(spark, sf_dir), "predictions")
+    stored = every.where(F.dayofmonth("knowledge_date") % 2 == 0)
+    return stored.unionByName(st.insert_absent(stored, every, ["prediction_id"]))
 
 
 @plan("backfill_dates", "ticker:s as_of:d", "K5", with_parts("past_q", "SELECT ticker, effective_date AS as_of FROM past_q"))

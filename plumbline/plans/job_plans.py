@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import analogs as an
 from plumbline.operators import friction as fr
-from plumbline.operators import validation as va
-from plumbline.plans import gold
-from plumbline.plans.analog_plans import nearest
-from plumbline.plans.registry import plan
-from plumbline.plans.risk_plans import stress_rows
+from plumbline.plans import gold, governance_plans, model_plans, portfolio_plans, risk_plans, validation_plans  # noqa: F401
+from plumbline.plans.analog_plans import history
+from plumbline.plans.registry import PLANS, plan
 from plumbline.plans.sqlparts import part, with_parts
-from plumbline.plans.store_plans import health, scratch
-from plumbline.plans.validation_plans import reports
+from plumbline.plans.store_plans import scratch
 from plumbline.session import materialise
 from plumbline.sources import tables as tb
 from plumbline.streaming import jobs
@@ -77,14 +73,34 @@ def _(spark, sf_dir):
         F.count("*").alias("n"), F.sum("feature_value").alias("total"))
 
 
-@plan("gold_documents", "as_of:d section:s item:s validated:b has_document:b", "S17 X6")
+# Sections of the gold table: the plan that fills it, the column that names an item, whether Layer 0 stands behind it.
+SECTIONS = {
+    "meta": ("gate_counts", "status", True), "market_state": ("recent_occupancy", "series_id", False),
+    "assets": ("analog_watchlist", "ticker", False), "layers": ("sign_off", "layer_name", True),
+    "health": ("data_health", "feed", True), "stress": ("stress_gauge", None, False),
+    "calibration": ("calibration_cards", "label", True), "track_record": ("track_record", "item", True),
+    "notes": ("newest_notes", "note_id", False), "changes": ("decision_changes", "ticker", False),
+    "feed": ("paper_feed", "entry_id", False), "journal": ("journal_closed", "entry_id", False),
+    "portfolio": ("scenario_stress", "portfolio_id", False), "clusters": ("correlation_clusters", "component", False),
+    "alerts": ("top_alerts", "alert_id", False), "contradictions": ("contradictions", "feature_a", False),
+    "unknowns": ("unknowns", "ticker", False),
+}
+
+
+def gold_sql() -> str:
+    """Items of every section from the SQL of the plan that fills it."""
+    found = [
+        f"SELECT '{section}' AS section, {f'CAST({item} AS VARCHAR)' if item else chr(39) + 'all' + chr(39)} AS item, {str(ok).lower()} AS validated FROM ({PLANS[name].sql}) AS s_{section}"
+        for section, (name, item, ok) in SECTIONS.items()
+    ]
+    return with_parts("hist", f"""
+SELECT (SELECT max(effective_date) FROM hist) AS as_of, section, item, validated, count(*) AS n_documents, count(*) AS n_filled FROM ({' UNION ALL '.join(found)}) GROUP BY ALL""")
+
+
+@plan("gold_documents", "as_of:d section:s item:s validated:b n_documents:i n_filled:i", "S17 X6 Q13", gold_sql())
 def _(spark, sf_dir):
-    rows, neighbours = nearest(spark, sf_dir)
-    sections = {
-        "assets": (an.watchlist(rows, neighbours), "ticker", False),
-        "layers": (va.sign_off(reports(spark, sf_dir)), "layer_name", True),
-        "health": (health(spark, sf_dir), "feed", True),
-        "stress": (fr.stress_gauge(fr.stress_components(stress_rows(spark, sf_dir))), None, False),
-    }
-    as_of = rows.groupBy().agg(F.max("effective_date").alias("as_of"))
-    return gold.build(as_of, sections).withColumn("has_document", F.length("document") > 2)
+    sections = {section: (PLANS[name].run(spark, sf_dir), item, ok) for section, (name, item, ok) in SECTIONS.items()}
+    as_of = history(spark, sf_dir).groupBy().agg(F.max("effective_date").alias("as_of"))
+    documents = materialise(gold.build(as_of, sections), "gold")
+    return documents.groupBy("as_of", "section", "item", "validated").agg(
+        F.count("*").alias("n_documents"), F.count_if(F.length("document") > 2).alias("n_filled"))
