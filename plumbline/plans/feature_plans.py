@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import features as ft
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
+from plumbline.session import stored_once
 from plumbline.sources import tables as tb
 
 W = "PARTITION BY ticker ORDER BY effective_date"
@@ -40,7 +41,9 @@ for _e in ("supplier", "nation", "region"):
 
 
 def wide(spark, sf_dir, entity="supplier"):
-    return ft.ohlcv_features(tb.bars(spark, sf_dir, entity))
+    """Bar features, stored by the first plan that needs them."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")]
+    return stored_once(spark, f"features-{entity}", inputs, lambda: ft.ohlcv_features(tb.bars(spark, sf_dir, entity)))
 
 
 def long(spark, sf_dir, entity="supplier"):

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings the jobs rely on. Shuffle partition counts are left to the caller:
 # AQE coalesces them on small inputs and splits skewed ones on large inputs.
@@ -53,6 +56,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: dict[tuple, tuple[str, StructType]] = {}
+
+
+def stored_once(spark: SparkSession, name: str, inputs: Iterable[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that many jobs read, written to the shared folder by the first of them.
+
+    It is built anew when a file of ``inputs`` has another time or length, and in
+    every new application.
+    """
+    files = spark.read.format("binaryFile").load(list(inputs)).select("path", "modificationTime", "length")
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(map(tuple, files.collect()))))
+    if key in _STORED:
+        path, schema = _STORED[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+    df = build()
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED[key] = (path, df.schema)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into the configured number of partitions.
 
