@@ -32,7 +32,8 @@ from plumbline.llm.html_blocks import Block, leaf_blocks
 
 # Bounds of what is learned from.
 LEARNED_PAGES, LEARNED_CHARS = 300, 200_000
-LAYOUTS_PER_PAGE = 3
+# Made pages: three for each learned page, and no fewer in all than this.
+MADE_PAGES = 900
 STEPS = 200
 
 # ---- features ---------------------------------------------------------------------------------
@@ -317,6 +318,7 @@ def made_page(main: list[tuple[str, str]], seed: int) -> tuple[list[Block], np.n
 def train(pages: list[str], seed: int = 3) -> Field:
     """``pages``: a bounded list of pages to learn from; without any, a built-in one is used."""
     made: list[tuple[list[Block], np.ndarray]] = []
+    each = max(3, -(-MADE_PAGES // max(1, len(pages))))
     for number, page in enumerate(pages or [""]):
         blocks = leaf_blocks(page)
         own = own_labels(blocks) if blocks else None
@@ -325,7 +327,7 @@ def train(pages: list[str], seed: int = 3) -> Field:
         main = [(b.tag if b.tag in ("h1", "h2", "h3", "p", "li", "blockquote", "pre") else "p", b.text)
                 for b, y in zip(blocks, own if own is not None else np.ones(len(blocks))) if y]
         main = main or [("h1", "A title"), ("p", "Some text, that says what there is to say."), ("p", "And more of it.")]
-        for k in range(LAYOUTS_PER_PAGE):
+        for k in range(each):
             draw = random.Random(seed + 1000 * number + k)
             made.append(made_page(main[: draw.randint(1, len(main))], seed + 1000 * number + k))
     counts: dict[str, int] = {}
@@ -347,10 +349,12 @@ def main_text(pages: list[str | None], field: Field) -> list[str]:
 
 
 def learned_pages(pages: DataFrame, bound: int = LEARNED_PAGES) -> list[str]:
-    """A sample fixed by a hash of page_id."""
-    some = pages.filter(F.col("html").isNotNull() & (F.length("html") <= LEARNED_CHARS)).select("page_id", "html")
-    picked = some.orderBy(F.xxhash64(F.col("page_id").cast("string"), F.lit("learn")), "page_id", "html").limit(bound)
-    return [r[1] for r in picked.collect()]
+    """A sample fixed by a hash of page_id. Ids are picked first, so few pages travel."""
+    some = pages.filter(F.col("html").isNotNull() & F.col("page_id").isNotNull() & (F.length("html") <= LEARNED_CHARS))
+    order = F.xxhash64(F.col("page_id").cast("string"), F.lit("learn"))
+    ids = [r[0] for r in some.select("page_id").orderBy(order, "page_id").limit(bound).collect()]
+    picked = some.filter(F.col("page_id").isin(ids)).select("page_id", "html").limit(bound).collect()
+    return [r[1] for r in sorted(picked)]
 
 
 def extracted(pages: DataFrame) -> DataFrame:
