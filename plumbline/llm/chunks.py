@@ -13,10 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Text sent to Python at a time: the larger, the fewer distinct chunks per byte.
-TOKEN_BATCH_BYTES = 8 << 20
 # Chunks remembered per Python worker, about 200 bytes each. Results do not depend on it.
-REMEMBERED = 900_000
+REMEMBERED = 300_000
 
 
 def forget(known: dict, most: int) -> None:

@@ -27,14 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from plumbline.llm.chunks import TOKEN_BATCH_BYTES, ChunkEncoder, forget
+from plumbline.llm.chunks import ChunkEncoder, forget
 from plumbline.llm.common import bounded_batches
 
 END = "</w>"
 # Longer words are merged one by one.
 LONG_WORD = 64
 # Words remembered per worker, beside the chunks.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 
 def word_pattern(splitter) -> regex.Pattern:
     """Contractions, runs of letters, single digits, runs of other marks.
@@ -256,7 +256,7 @@ def encode_column(batches, path: str, emit):
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of its text."""
-    bounded_batches(docs.sparkSession, TOKEN_BATCH_BYTES)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         def emit(bpe, batch, encoded):
@@ -283,7 +283,7 @@ def decoded_text(tokens: DataFrame, path: str) -> DataFrame:
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """op4: encode every text, decode the ids, and digest both, in one pass over the texts."""
-    bounded_batches(docs.sparkSession, TOKEN_BATCH_BYTES)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         def emit(bpe, batch, encoded):
