@@ -137,29 +137,35 @@ def fit_precision(queries: DataFrame, features=DISTANCE_FEATURES, method: str =
     )
 
 
-def fit_robust_precision(rows: DataFrame, features=DISTANCE_FEATURES, gap: int = SEPARATION_ROWS) -> DataFrame:
-    """Latest query per ticker with the robust covariance of its candidates.
+def fit_robust_precision(
+    rows: DataFrame, queries: DataFrame | None = None, features=DISTANCE_FEATURES, gap: int = SEPARATION_ROWS,
+) -> DataFrame:
+    """Queries of any as-of date with the published covariance of their candidates.
 
-    One group is one ticker's daily rows, so its size is that of the calendar.
+    The robust estimate where a query has 20 candidates per feature, else Ledoit-Wolf;
+    ``covariance_method`` names it. Without ``queries``, the latest of each ticker.
+    One group is one ticker's daily rows and queries, so its size is that of the calendar.
     """
     features = list(features)
     d = len(features)
-    schema = "ticker string, whitening array<double>, covariance_method string"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no")
-        x = pdf[features].to_numpy()[: max(len(pdf) - 1 - gap, 0)]
-        if len(x) < d + 2:
-            return pd.DataFrame(columns=["ticker", "whitening", "covariance_method"])
-        cov, method = robust_covariance(x)
-        white = whitening(cov[None], pdf[features].to_numpy()[-1:])[0]
-        return pd.DataFrame(
-            {"ticker": [pdf["ticker"].iloc[0]], "whitening": [white], "covariance_method": [method]}
-        )
-
-    groups = spread(rows.select("ticker", "row_no", *features), "ticker").groupBy("ticker")
-    models = groups.applyInPandas(solve, schema)
-    return latest_queries(rows).join(models, "ticker")
+    queries = latest_queries(rows) if queries is None else queries
+    schema = "ticker string, row_no long, whitening array<double>, covariance_method string"
+
+    def solve(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        history = history.sort_values("row_no")
+        x, at = history[features].to_numpy(float), history["row_no"].to_numpy()
+        found = []
+        for row_no, *point in asked[["row_no", *features]].itertuples(index=False):
+            past = x[at < row_no - gap]
+            if len(past) >= d + 2:
+                cov, method = robust_covariance(past)
+                found.append((asked["ticker"].iloc[0], row_no, whitening(cov[None], np.array([point], dtype=float))[0], method))
+        return pd.DataFrame(found, columns=["ticker", "row_no", "whitening", "covariance_method"])
+
+    history = spread(rows.select("ticker", "row_no", *features), "ticker")
+    asked = queries.select("ticker", "row_no", *features)
+    models = history.groupBy("ticker").cogroup(asked.groupBy("ticker")).applyInPandas(solve, schema)
+    return queries.drop("moments").join(models, ["ticker", "row_no"])
 
 
 def mahalanobis(values: list[Column], white: list[Column]) -> Column:

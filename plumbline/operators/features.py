@@ -433,10 +433,19 @@ def finite_mean(*columns: Column) -> Column:
     return F.when(F.size(present) > 0, total / F.size(present))
 
 
+# fixed values: inputs of the options dimension, any of which may be absent
+OPTIONS_INPUTS = ("vix_9d", "vix_1m", "vix_3m", "skew_index", "put_call_ratio")
+
+
 def feature_vector(
-    bars: DataFrame, sectors: DataFrame, etf_bars: DataFrame, macro: DataFrame,
+    bars: DataFrame, sectors: DataFrame, etf_bars: DataFrame, macro: DataFrame, options: DataFrame | None = None,
 ) -> DataFrame:
-    """Nine averaged dimensions per (ticker, date), macro read as of the date."""
+    """Nine averaged dimensions per (ticker, date); macro and options are read as of the date.
+
+    ``options`` has effective_date and some of ``OPTIONS_INPUTS``; with both the three
+    and the one month volatility, their difference counts as one more input. Without
+    it the volatility index of ``macro`` stands for the one month.
+    """
     df = add_returns(bars, (1, 5, 21))
     df = add_trend_spread(df)
     df = add_atr_pct(df)
@@ -451,16 +460,26 @@ def feature_vector(
     macro_wide = macro.groupBy("effective_date").pivot(
         "series_id", ["BAMLH0A0HYM2", "BAMLC0A0CM", "DGS10", "DGS2", "VIXCLS"]
     ).agg(F.first("value"))
+    change = rate_of_change(macro.where(F.col("series_id") == "DGS10"), out="_roc10", keys=("series_id",)).select("effective_date", "_roc10")
+    if options is None:
+        options = macro_wide.select("effective_date", F.col("VIXCLS").alias("vix_1m"))
+    given = [c for c in OPTIONS_INPUTS if c in options.columns]
     # The spine holds one row per calendar date, whatever the size of the bars.
-    spine = dates.join(macro_wide, "effective_date", "full").withColumn("_all", F.lit("market"))
+    spine = (
+        dates.join(macro_wide, "effective_date", "full").join(change, "effective_date", "full")
+        .join(options.select("effective_date", *given), "effective_date", "full").withColumn("_all", F.lit("market"))
+    )
     as_of = Window.partitionBy("_all").orderBy("effective_date").rowsBetween(Window.unboundedPreceding, 0)
     latest = lambda c: F.last(c, ignorenulls=True).over(as_of)
+    inputs = [latest(c) for c in given]
+    if {"vix_3m", "vix_1m"} <= set(given):
+        inputs.append(latest("vix_3m") - latest("vix_1m"))
     by_date = spine.select(
         "effective_date",
         finite_mean(
-            latest("BAMLH0A0HYM2"), latest("BAMLC0A0CM"), latest("DGS10") - latest("DGS2")
+            latest("BAMLH0A0HYM2"), latest("BAMLC0A0CM"), latest("DGS10") - latest("DGS2"), latest("_roc10")
         ).alias("macro"),
-        latest("VIXCLS").alias("options_proxy"),
+        (finite_mean(*inputs) if inputs else F.lit(None).cast("double")).alias("options_proxy"),
     )
     return (
         df.join(relative, ["ticker", "effective_date"], "left")

