@@ -40,7 +40,12 @@ from plumbline.llm.chunks import ChunkEncoder
 from plumbline.llm.common import bounded_batches
 from plumbline.session import materialise, shared_dir
 
-SHARD_BYTES = 16 << 20
+# A shard is read as one row: small enough for executors of any size.
+SHARD_BYTES = 4 << 20
+# Chunks that a worker remembers, and text sent to it at a time: the larger, the fewer
+# chunks are encoded again.
+REMEMBERED = 700_000
+TEXT_BATCH_BYTES = 8 << 20
 HEADER = struct.Struct("<qBQQ")
 
 
@@ -96,12 +101,12 @@ class LibraryEncoder:
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> tuple[ChunkEncoder, np.dtype]:
     library = LibraryEncoder(path)
-    return ChunkEncoder(library, library.kind), library.kind
+    return ChunkEncoder(library, library.kind, remembered=REMEMBERED), library.kind
 
 
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens and ids (little endian, the end id last)."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TEXT_BATCH_BYTES)
 
     def run(batches):
         encoder, kind = _encoder(path)
