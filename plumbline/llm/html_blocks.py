@@ -10,11 +10,14 @@ from dataclasses import dataclass
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span "
-    "strike strong sub sup time tt u var wbr br".split()
+    "strike strong sub sup time tt u var wbr br "
+    # MathML: a formula is part of the sentence that it stands in.
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split()
 )
 # Elements whose content is never text of the page.
 UNSEEN = frozenset(
-    "script style noscript template iframe svg math object audio video canvas select button textarea head title datalist map".split()
+    "script style noscript template iframe svg object audio video canvas select button textarea head title datalist map".split()
 )
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 # A start tag of the key ends an open element of the value.
@@ -31,7 +34,8 @@ _TAG = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"\b(class|id|role|href)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])(?:hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -44,6 +48,23 @@ class Block:
     linked: float  # share of characters in links
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an element with these attributes is not shown: hidden, aria-hidden=true, or a style whose display is none."""
+    seen = set()
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), html.unescape("".join(values)).strip()
+        if name in seen:
+            continue  # the first of a name counts
+        seen.add(name)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True
+        if name == "style":
+            display = _DISPLAY.findall(re.sub(r"/\*.*?\*/", "", value, flags=re.S))
+            if display and display[-1].lower() == "none":
+                return True
+    return False
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks of a page in page order; broken nesting is mended as far as blocks need it."""
     blocks: list[Block] = []
@@ -92,7 +113,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in INLINE:
             if name == "a":
                 in_link = not closing and "href" in rest.lower()
-            elif name == "br":
+            elif name in ("br", "mtd"):
                 said(" ")
             continue
         flush()
@@ -126,7 +147,7 @@ def leaf_blocks(page: str) -> list[Block]:
         stack.append((name, frozenset(words)))
         if name in UNSEEN:
             unseen += 1
-        elif rest and _HIDDEN.search(rest):
+        elif rest and hidden(rest):
             stack.append(("~hidden", frozenset()))
             unseen += 1
     flush()
