@@ -14,6 +14,7 @@ from plumbline.llm import (
     simhash,
     speculative_bpe,
     token_shards,
+    vector_codes,
     warc,
 )
 from plumbline.llm.common import table
@@ -66,6 +67,10 @@ def op10_piecewise_hashes(spark, sf_dir):
     return piecewise.near_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_cotrained_quality": op2_cotrained_quality,
@@ -77,9 +82,11 @@ QUERIES = {
     "op8_simhash_near_copies": op8_simhash_near_copies,
     "op9_html_main_text": op9_html_main_text,
     "op10_piecewise_hashes": op10_piecewise_hashes,
+    "op11_vector_codes": op11_vector_codes,
 }
 SQL = {
     "op1_mix_sources": mixing.mix_sql(),
     "op3_warc_segments": warc.round_trip_sql(),
     "op6_pivot_near_vectors": pivot_index.vectors_sql(),
+    "op11_vector_codes": vector_codes.codes_sql(),
 }
