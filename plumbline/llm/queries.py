@@ -13,14 +13,16 @@ from plumbline.llm import (
     pivot_index,
     simhash,
     speculative_bpe,
+    token_alignment,
     token_shards,
     vector_codes,
     warc,
 )
 from plumbline.llm.common import table
 
-# The vocabulary file; callers may name another.
+# The vocabulary files; callers may name others.
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def vocabulary() -> str:
@@ -71,6 +73,13 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark, sf_dir, byte_path=None, piece_path=None):
+    return token_alignment.alignment(
+        table(spark, sf_dir, "documents"),
+        byte_path or public_tokenizers.path(BYTE_VOCABULARY), piece_path or public_tokenizers.path(PIECE_VOCABULARY),
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_cotrained_quality": op2_cotrained_quality,
@@ -83,6 +92,7 @@ QUERIES = {
     "op9_html_main_text": op9_html_main_text,
     "op10_piecewise_hashes": op10_piecewise_hashes,
     "op11_vector_codes": op11_vector_codes,
+    "op13_token_alignment": op13_token_alignment,
 }
 SQL = {
     "op1_mix_sources": mixing.mix_sql(),
