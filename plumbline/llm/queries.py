@@ -10,6 +10,7 @@ from plumbline.llm import (
     html_crf,
     mixing,
     piecewise,
+    pii_crf,
     pivot_index,
     simhash,
     speculative_bpe,
@@ -73,6 +74,10 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_personal_data(spark, sf_dir):
+    return pii_crf.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark, sf_dir, byte_path=None, piece_path=None):
     return token_alignment.alignment(
         table(spark, sf_dir, "documents"),
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_html_main_text": op9_html_main_text,
     "op10_piecewise_hashes": op10_piecewise_hashes,
     "op11_vector_codes": op11_vector_codes,
+    "op12_personal_data": op12_personal_data,
     "op13_token_alignment": op13_token_alignment,
 }
 SQL = {
