@@ -36,6 +36,30 @@ def cell_groups(rows: DataFrame, cell: list[str], row: str, most: int = MOST) ->
     return met.repartition(*keys).sortWithinPartitions(*keys)
 
 
+# Bytes per block where rows have a size of their own.
+MOST_BYTES = 4 << 20
+
+
+def rest_groups(rows: DataFrame, cell: list[str], row: str, rest: str, size: str, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """As ``cell_groups``, where only rows with ``rest`` have to meet all rows of their cell.
+
+    Both kinds have blocks of their own, numbered from the rest's on; a block of the
+    others meets the blocks of the rest only. Blocks are bounded by rows and by the sum of
+    ``size``. Rows are not dealt or sorted here.
+    """
+    def blocks(mine):
+        n, total = F.count(F.when(mine, 1)), F.sum(F.when(mine, F.col(size)).otherwise(0))
+        return F.greatest(F.ceil(n / most), F.ceil(total / most_bytes)).cast("int")
+
+    counts = rows.groupBy(*cell).agg(blocks(F.col(rest)).alias("_rest"), blocks(~F.col(rest)).alias("_core"))
+    held = F.when(F.col(rest), F.col("_rest")).otherwise(F.col("_core"))
+    own = F.pmod(F.xxhash64(row), held).cast("int") + F.when(F.col(rest), 0).otherwise(F.col("_rest"))
+    last = F.when(F.col(rest), F.col("_rest") + F.col("_core")).otherwise(F.col("_rest")) - 1
+    met = rows.join(counts, cell).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+    met = met.withColumn("_low", F.least("_own", "_other")).withColumn("_high", F.greatest("_own", "_other"))
+    return met.withColumn("_side", (F.col("_own") > F.col("_low")).cast("int")).drop("_rest", "_core", "_own", "_other")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups with each row's group number. A group that goes on is kept for the next batch."""
     keys, held = [*cell, "_low", "_high"], None

@@ -13,11 +13,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import byte_cnn, cotraining, html_crf, mixing, pivot_index, simhash, speculative_bpe
+from plumbline.llm import byte_cnn, cotraining, html_crf, mixing, pivot_index, speculative_bpe
 from plumbline.llm.common import table
 from plumbline.llm.html_blocks import leaf_blocks
 from plumbline.llm.queries import QUERIES, SQL
 from tests.llm.fixtures import DOCS, no_documents, odd_documents, sentence
+from tests.llm.test_near_copy_stage import plain_roots
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -404,16 +405,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
             other = np.array([cotraining.metadata_view(r.lang, r.source, r.n_chars) for r in rows])
             want = [r.doc_id for r, s in zip(rows, model.score(text, other)[0]) if s >= 0.5]
         elif name == "near_copies":
-            bits = np.array([simhash.fingerprint((r.text or "").encode()) for r in rows], dtype=np.uint64)
-            root = np.arange(len(rows))
-            order = np.argsort([r.doc_id for r in rows])
-            near = np.bitwise_count(bits[order][:, None] ^ bits[order][None]) <= 3
-            while True:
-                new = np.where(near, root[None], len(rows)).min(axis=1)
-                if (new == root).all():
-                    break
-                root = new
-            want = [rows[order[k]].doc_id for k in range(len(rows)) if root[k] == k]
+            rows = sorted(rows, key=lambda r: r.doc_id)
+            want = [rows[k].doc_id for k in sorted(set(plain_roots([r.text for r in rows])))]
         elif name == "mix":
             planned = mixing.plan_mix(before).collect()
             want = [r.doc_id for r in planned for _ in range(r.passes + (r.cut > 0))]
