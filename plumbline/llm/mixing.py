@@ -161,19 +161,23 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_p
 
 
 def mixed_readings(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_passes: int = MAX_PASSES) -> DataFrame:
-    """Rows of ``docs``, one per reading, in training order.
+    """Rows of ``docs``, one per reading, in training order; columns of any name are returned as they are.
 
-    Rows of one doc_id are told apart by a number given in order of source and size.
+    Rows of one doc_id, source and size are alike to the plan; a number tells them apart.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    number = F.row_number().over(Window.partitionBy("_key").orderBy("source", "_size"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    rows = docs.withColumn("_key", key).withColumn("_size", size).withColumn("_row", number)
-    planned = plan_mix(docs, weights, max_passes).withColumnRenamed("size", "_size").withColumn("_key", key)
-    planned = planned.withColumn("_row", number).withColumnRenamed("_size", "size")
-    order = training_order(planned, schedules).select("_key", "_row", F.col("position").alias("_position"))
-    taken = rows.join(order, ["_key", "_row"])
-    return taken.orderBy("_position", "_key", "_row").select(*docs.columns)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    alike = ["_id", "_source", "_size"]
+    number = F.row_number().over(Window.partitionBy(*alike).orderBy("_size"))
+
+    def numbered(rows, kept, size):
+        named = [F.to_json(F.struct(F.col(c).cast("string"))).alias(n) for c, n in (("doc_id", "_id"), ("source", "_source"))]
+        return rows.select(kept, *named, size.alias("_size")).withColumn("_row", number)
+
+    whole = numbered(docs, F.struct(*docs.columns).alias("_doc"), size)
+    planned = plan_mix(docs, weights, max_passes)
+    order = training_order(numbered(planned, F.struct(*planned.columns).alias("_plan"), F.col("size")).select("_plan.*", *alike, "_row"), schedules)
+    taken = whole.join(order.select(*alike, "_row", F.col("position").alias("_position")), [*alike, "_row"])
+    return taken.orderBy("_position", *alike, "_row").select("_doc.*")
 
 
 def mix_sql() -> str:
