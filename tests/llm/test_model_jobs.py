@@ -430,5 +430,20 @@ def test_pipeline_takes_odd_and_no_documents(spark, tmp_path):
     assert set(DOCS.split(", ")) and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_keep_columns_with_the_names_of_helpers(spark):
+    """Every stage but the last returns the rows it keeps unchanged, whatever their columns are called."""
+    names = ["_text", "_row", "_key", "_size", "_read", "_label", "_language", "quality_score", "text_score", "doc", "_doc", "position",
+             "_position", "_id", "_source", "lang_pred", "passes", "taken", "kind", "label"]
+    docs = odd_documents(spark)
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    rows = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF_DIR)
+        assert after.columns == docs.columns, name
+        assert all(tuple(r) in rows for r in after.collect()), name
+    assert corpus_pipeline.encode_tokens(spark, docs, SF_DIR).count() == docs.count()
+
+
 def test_pipeline_query(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 50
