@@ -1,13 +1,13 @@
-"""Factor orthogonalisation and per-ticker factor regressions."""
+"""Factor orthogonalisation, per-ticker factor regressions and clusters in what they leave."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import spread
+from plumbline.session import materialise, spread
 
 # fixed values: the order in which factors are orthogonalised
 FACTOR_ORDER = (
@@ -209,64 +209,135 @@ def residuals(aligned: DataFrame, exposures: DataFrame, names=FACTOR_ORDER, meth
     return aligned.join(betas, "ticker").select("ticker", "effective_date", (F.col("asset_ret") - explained).alias("residual"))
 
 
-def component_clusters(x: np.ndarray, n_components: int) -> list[list[int]]:
-    """Positions whose loading on a leading component is large, per component."""
-    if x.shape[0] < 2 or x.shape[1] < MIN_CLUSTER:
-        return []
-    x = x - x.mean(axis=0)
-    values, vectors = np.linalg.eigh(x.T @ x)
-    order = np.argsort(values)[::-1][: min(n_components, *x.shape)]
-    out = [np.flatnonzero(np.abs(vectors[:, k]) >= LOADING_CUTOFF).tolist() for k in order]
-    return [c for c in out if len(c) >= MIN_CLUSTER]
+def residual_panel(rows: DataFrame, groups: DataFrame, value: str = "residual") -> tuple[DataFrame, DataFrame]:
+    """(group_id, effective_date, x) and (group_id, names): a group's values of one day in the order of its names, 0 where missing.
+
+    ``groups`` (group_id, ticker) says who stands together. Names of a group are a bounded
+    universe; a name without any value is not among them.
+    """
+    held = rows.where(F.col(value).isNotNull()).join(groups, "ticker")
+    names = materialise(held.groupBy("group_id").agg(F.array_sort(F.collect_set("ticker")).alias("names")), "residual-names")
+    day = held.groupBy("group_id", "effective_date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", F.col(value).cast("double")))).alias("_m"))
+    x = F.transform("names", lambda n: F.coalesce(F.try_element_at("_m", n), F.lit(0.0)))
+    return materialise(day.join(names, "group_id").select("group_id", "effective_date", x.alias("x")), "residual-panel"), names
+
+
+def bootstrap_draws(days: DataFrame, bootstraps: int = BOOTSTRAPS) -> DataFrame:
+    """(group_id, effective_date, replicates): which resamples drew a day, named once per draw.
+
+    Each resample of a group of n days makes n draws with replacement; draw s of
+    replicate b takes the day whose number is the first 32 bits of md5(group|b|s)
+    modulo n, so reruns draw alike. Only (group, number, replicate) meet, not the panel.
+    """
+    by_date = Window.partitionBy("group_id").orderBy("effective_date")
+    numbered = days.select("group_id", "effective_date", (F.row_number().over(by_date) - 1).alias("_k"))
+    slots = numbered.withColumn("_n", F.count("*").over(Window.partitionBy("group_id"))).withColumn(
+        "_b", F.explode(F.sequence(F.lit(0), F.lit(bootstraps - 1)))
+    )
+    # A day's number stands for one slot of every replicate: n slots each.
+    digest = F.md5(F.concat_ws("|", "group_id", F.col("_b").cast("string"), F.col("_k").cast("string")))
+    drawn = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_n")).cast("int")
+    picks = slots.select("group_id", drawn.alias("_k"), "_b").groupBy("group_id", "_k").agg(F.collect_list("_b").alias("replicates"))
+    return numbered.join(picks, ["group_id", "_k"], "left").select("group_id", "effective_date", "replicates")
+
+
+# Days of a group whose weighted moments are summed in one task.
+MOMENT_DAYS = 512
+
+
+def weighted_moments(panel: DataFrame, draws: DataFrame, bootstraps: int = BOOTSTRAPS) -> DataFrame:
+    """(group_id, replicate, d, sums): per replicate the day count, the sums and the products of a group's values, each day as often as drawn.
+
+    Replicate -1 takes every day once. The panel travels once; what a task sends is one
+    matrix per (group, replicate), whatever the number of its days.
+    """
+    schema = "group_id string, replicate int, d int, sums binary"
+
+    def reduce(batches):
+        for pdf in batches:
+            for g, part in pdf.groupby("group_id"):
+                x = np.stack(part["x"].to_list()).astype(float)
+                n, d = x.shape
+                w = np.zeros((bootstraps + 1, n))
+                w[bootstraps] = 1
+                for k, picks in enumerate(part["replicates"]):
+                    if picks is not None and len(picks):
+                        np.add.at(w[:, k], np.asarray(picks, dtype=int), 1)
+                for b, weight in enumerate(w):
+                    at = np.flatnonzero(weight)
+                    wx = x[at] * weight[at, None]
+                    sums = np.concatenate([[weight.sum()], wx.sum(axis=0), (wx.T @ x[at]).ravel()])
+                    yield pd.DataFrame({"group_id": [g], "replicate": [b if b < bootstraps else -1], "d": [d], "sums": [sums.tobytes()]})
+
+    rows = panel.join(draws, ["group_id", "effective_date"], "left")
+    place = F.pmod(F.datediff("effective_date", F.lit("1970-01-01")), F.lit(1 << 30)) / MOMENT_DAYS
+    dealt = spread(rows.withColumn("_span", F.floor(place)), "group_id", "_span").sortWithinPartitions("group_id", "_span")
+    return dealt.select("group_id", "x", "replicates").mapInPandas(reduce, schema)
+
+
+def residual_components(moments: DataFrame, n_components: int = 3) -> DataFrame:
+    """(group_id, replicate, component, share, n_days, members): positions with a large loading on each leading component.
+
+    Partial matrices of one (group, replicate) are added up as they stream by; one matrix
+    is held at a time.
+    """
+    schema = "group_id string, replicate int, component int, share double, n_days long, members array<int>"
+
+    def solved(key, d, total):
+        n, sums, products = total[0], total[1 : 1 + d], total[1 + d :].reshape(d, d)
+        if n < 2 or d < MIN_CLUSTER:
+            return pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
+        values, vectors = np.linalg.eigh(products - np.outer(sums, sums) / n)
+        order = np.argsort(values)[::-1][: min(n_components, int(n), d)]
+        whole = max(float(np.trace(products) - sums @ sums / n), 1e-300)
+        return pd.DataFrame({
+            "group_id": key[0], "replicate": key[1], "component": range(len(order)), "share": values[order] / whole, "n_days": int(n),
+            "members": [np.flatnonzero(np.abs(vectors[:, k]) >= LOADING_CUTOFF).tolist() for k in order],
+        })
+
+    def add(batches):
+        key, d, total = None, 0, None
+        for pdf in batches:
+            for g, b, width, sums in zip(pdf["group_id"], pdf["replicate"], pdf["d"], pdf["sums"]):
+                if (g, b) != key:
+                    if key is not None:
+                        yield solved(key, d, total)
+                    key, d, total = (g, b), width, 0.0
+                total = total + np.frombuffer(sums)
+        if key is not None:
+            yield solved(key, d, total)
+
+    keys = ["group_id", "replicate"]
+    return materialise(spread(moments, *keys).sortWithinPartitions(*keys).mapInPandas(add, schema), "residual-components")
 
 
 def hidden_concentration(
-    panel: DataFrame, names: list[str], group: str = "group_id", n_components: int = 3, bootstraps: int = BOOTSTRAPS, seed: int = 42,
+    rows: DataFrame, groups: DataFrame, value: str = "residual", n_components: int = 3, bootstraps: int = BOOTSTRAPS,
 ) -> DataFrame:
-    """Clusters of names that share a residual component in most resamples.
+    """Clusters of a group's names that share a residual component, and in how many resamples they show again.
 
-    ``panel`` is (group, effective_date, x) over a bounded universe. Every resample of
-    every group is a task of its own, drawn from a seed of its own; replicate -1 is the
-    data as it is.
+    ``rows`` are (ticker, effective_date, ``value``), as ``residuals`` gives them;
+    ``groups`` (group_id, ticker) says who is looked at together.
     """
-    schema = f"{group} string, replicate int, members string"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        replicate = int(pdf["replicate"].iloc[0])
-        pdf = pdf.sort_values("effective_date")
-        x = np.nan_to_num(np.array([np.asarray(v, dtype=float) for v in pdf["x"]]))
-        if replicate >= 0:
-            x = x[np.random.default_rng([seed, replicate]).integers(0, len(x), len(x))]
-        found = component_clusters(x, n_components)
-        return pd.DataFrame(
-            {
-                group: [pdf[group].iloc[0]] * len(found), "replicate": [replicate] * len(found),
-                "members": ["|".join(sorted(names[i] for i in c)) for c in found],
-            },
-            dtype=object,
-        )
-
-    runs = panel.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(bootstraps - 1))))
-    found = spread(runs, group, "replicate").groupBy(group, "replicate").applyInPandas(fit, schema).select(
-        group, "replicate", F.split("members", r"\|").alias("cluster")
+    panel, names = residual_panel(rows, groups, value)
+    moments = weighted_moments(panel, bootstrap_draws(panel, bootstraps), bootstraps)
+    found = residual_components(moments, n_components).where(F.size("members") >= MIN_CLUSTER)
+    base = found.where("replicate = -1").select("group_id", "component", "n_days", "members")
+    again = found.where("replicate >= 0").select("group_id", "replicate", F.col("members").alias("cluster"))
+    overlap = F.size(F.array_intersect("members", "cluster")) / F.size(F.array_union("members", "cluster"))
+    hits = base.join(again, "group_id").where(overlap >= JACCARD_MATCH).groupBy("group_id", "component").agg(
+        (F.countDistinct("replicate") / bootstraps).alias("stability")
     )
-    base = found.where("replicate = -1").select(group, F.col("cluster").alias("members"))
-    union = F.size(F.array_union("members", "cluster"))
-    overlap = F.size(F.array_intersect("members", "cluster")) / union
-    hits = (
-        base.join(found.where("replicate >= 0"), group)
-        .where(overlap >= JACCARD_MATCH)
-        .groupBy(group, "members")
-        .agg((F.countDistinct("replicate") / bootstraps).alias("stability"))
+    told = base.join(hits, ["group_id", "component"], "left").join(names, "group_id").select(
+        "group_id", "component", F.transform("members", lambda k: F.col("names")[k]).alias("members"),
+        F.coalesce("stability", F.lit(0.0)).alias("stability"), (F.col("n_days") < 5 * F.size("names")).alias("poorly_conditioned"),
     )
-    return base.join(hits, [group, "members"], "left").select(
-        group, "members", F.size("members").alias("n_members"),
-        F.coalesce("stability", F.lit(0.0)).alias("stability"),
-        (F.coalesce("stability", F.lit(0.0)) >= STABILITY).alias("stable"),
+    return told.select(
+        "group_id", "component", "members", F.size("members").alias("n_members"), "stability",
+        (F.col("stability") >= STABILITY).alias("stable"), "poorly_conditioned",
         F.concat(
             F.lit("Hidden residual factor links "), F.size("members").cast("string"), F.lit(" tickers ("),
-            F.concat_ws(", ", "members"), F.lit("). Stability "),
-            F.format_string("%.2f", F.coalesce("stability", F.lit(0.0))),
+            F.concat_ws(", ", "members"), F.lit("). Stability "), F.format_string("%.2f", "stability"),
             F.lit(f" across {bootstraps} bootstraps."),
         ).alias("message"),
     )

@@ -95,20 +95,76 @@ def _(spark, sf_dir):
     return rk.factor_regressions(aligned(spark, sf_dir), methods=("ew_ols", "ridge"))
 
 
-CHANGES = ["amount", "ret", "trades", "volume"]
-
-
-@plan("hidden_concentration", "group_id:s n_members:i stability:f stable:b message:s", "M19 U4")
+# ---- clusters in the residuals of a nation's tickers
+part("resid", "aligned ols_beta", f"""
+SELECT ticker, effective_date, asset_ret - ({' + '.join(f'{f} * b{i}' for i, f in enumerate(FACTORS))}) AS r FROM aligned JOIN ols_beta USING (ticker)""")
+part("res_rows", "resid", f"""
+SELECT n_name AS g, ticker, effective_date, r FROM resid JOIN supplier ON s_name = ticker JOIN nation ON s_nationkey = n_nationkey
+QUALIFY count(DISTINCT ticker) OVER (PARTITION BY n_name) >= {rk.MIN_CLUSTER}""")
+part("res_days", "res_rows", """
+SELECT g, effective_date, row_number() OVER (PARTITION BY g ORDER BY effective_date) - 1 AS k, count(*) OVER (PARTITION BY g) AS n
+FROM (SELECT DISTINCT g, effective_date FROM res_rows)""")
+part("res_draws", "res_days", f"""
+SELECT g, b, d.effective_date, w FROM (
+ SELECT g, b, CAST('0x' || substr(md5(g || '|' || b || '|' || k), 1, 8) AS BIGINT) % n AS k, count(*) AS w FROM res_days, range({rk.BOOTSTRAPS}) AS t(b) GROUP BY 1, 2, 3)
+JOIN res_days d USING (g, k) UNION ALL SELECT g, -1, effective_date, 1 FROM res_days""")
+part("res_sums", "res_rows res_draws", "SELECT g, b, ticker, sum(w * r) AS s FROM res_rows JOIN res_draws USING (g, effective_date) GROUP BY 1, 2, 3")
+part("res_products", "res_rows res_draws", """
+SELECT g, b, i, j, sum(w * v) AS v FROM (
+ SELECT x.g, x.effective_date, x.ticker AS i, y.ticker AS j, x.r * y.r AS v FROM res_rows x JOIN res_rows y USING (g, effective_date)) JOIN res_draws USING (g, effective_date) GROUP BY 1, 2, 3, 4""")
+# All pairs of names, met on a day or not; a name that is not drawn has moments of zero.
+part("res_m0", "res_products res_sums res_days res_rows", f"""
+SELECT c.g, c.b, c.i, c.j, coalesce(v, 0) - coalesce(x.s, 0) * coalesce(y.s, 0) / n AS v FROM (
+ SELECT a.g, b, a.ticker AS i, z.ticker AS j, n FROM (SELECT DISTINCT g, ticker FROM res_rows) a JOIN (SELECT DISTINCT g, ticker FROM res_rows) z USING (g)
+ JOIN (SELECT DISTINCT g, n FROM res_days) USING (g), range(-1, {rk.BOOTSTRAPS}) AS t(b)) c
+LEFT JOIN res_products USING (g, b, i, j) LEFT JOIN res_sums x ON x.g = c.g AND x.b = c.b AND x.ticker = c.i LEFT JOIN res_sums y ON y.g = c.g AND y.b = c.b AND y.ticker = c.j""")
+# Leading directions: the matrix squared over and over turns into its first direction, which is then taken out.
+_SQUARINGS = 24
+for _c in range(3):
+    part(f"res_p{_c}_0", f"res_m{_c}", f"SELECT g, b, i, j, v / sum(v) FILTER (WHERE i = j) OVER (PARTITION BY g, b) AS v FROM res_m{_c}")
+    for _s in range(_SQUARINGS):
+        part(f"res_p{_c}_{_s + 1}", f"res_p{_c}_{_s}", f"""
+SELECT g, b, i, j, v / sum(v) FILTER (WHERE i = j) OVER (PARTITION BY g, b) AS v FROM (
+ SELECT x.g, x.b, x.i, y.j, sum(x.v * y.v) AS v FROM res_p{_c}_{_s} x JOIN res_p{_c}_{_s} y ON x.g = y.g AND x.b = y.b AND x.j = y.i GROUP BY 1, 2, 3, 4)""")
+    part(f"res_v{_c}", f"res_p{_c}_{_SQUARINGS}", f"""
+SELECT g, b, i, v / sqrt(sum(v * v) OVER (PARTITION BY g, b)) AS u FROM res_p{_c}_{_SQUARINGS}
+JOIN (SELECT g, b, arg_max(i, v) AS j FROM res_p{_c}_{_SQUARINGS} WHERE i = j GROUP BY 1, 2) USING (g, b, j)""")
+    part(f"res_l{_c}", f"res_m{_c} res_v{_c}", f"""
+SELECT g, b, sum(x.u * m.v * y.u) AS l FROM res_m{_c} m JOIN res_v{_c} x USING (g, b, i) JOIN (SELECT g, b, i AS j, u FROM res_v{_c}) y USING (g, b, j) GROUP BY 1, 2""")
+    part(f"res_m{_c + 1}", f"res_m{_c} res_v{_c} res_l{_c}", f"""
+SELECT g, b, i, j, m.v - l * x.u * y.u AS v FROM res_m{_c} m JOIN res_v{_c} x USING (g, b, i) JOIN (SELECT g, b, i AS j, u FROM res_v{_c}) y USING (g, b, j) JOIN res_l{_c} USING (g, b)""")
+part("res_found", "res_m0 " + " ".join(f"res_v{c} res_l{c}" for c in range(3)), " UNION ALL ".join(f"""
+SELECT g, b, {c} AS component, any_value(l) / any_value(t) AS share, coalesce(list(i ORDER BY i) FILTER (WHERE abs(u) >= {rk.LOADING_CUTOFF}), []) AS members
+FROM res_v{c} JOIN res_l{c} USING (g, b) JOIN (SELECT g, b, sum(v) AS t FROM res_m0 WHERE i = j GROUP BY 1, 2) USING (g, b) GROUP BY 1, 2""" for c in range(3)))
+_BASE = f"SELECT g, component, members FROM res_found WHERE b = -1 AND len(members) >= {rk.MIN_CLUSTER}"
+
+
+def nation_residuals(spark, sf_dir):
+    """What the factors leave of each ticker's returns, and which nation it belongs to."""
+    rows = materialise(aligned(spark, sf_dir), "aligned")
+    left = rk.residuals(rows, rk.factor_regressions(rows, methods=("ew_ols",)))
+    nations = tb.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("group_id"))
+    return left, tb.read(spark, sf_dir, "supplier").join(nations, "s_nationkey").select("group_id", F.col("s_name").alias("ticker"))
+
+
+@plan("residual_components", "group_id:s replicate:i component:i share:f members:s", "M19",
+      with_parts("res_found", "SELECT g AS group_id, b AS replicate, component, share, array_to_string(members, '|') AS members FROM res_found"))
 def _(spark, sf_dir):
-    """Per region: its return next to the changes of volume, trade count and amount."""
-    w = ft.series()
-    step = lambda c: F.log(c / F.lag(c, 1).over(w))
-    amount = F.col("volume") * (F.col("high") + F.col("low"))
-    df = tb.bars(spark, sf_dir, "region").select(
-        F.col("ticker").alias("group_id"), "effective_date", step(F.col("close")).alias("ret"), step(F.col("volume")).alias("volume"),
-        step(F.col("n_trades")).alias("trades"), step(amount).alias("amount"))
-    long = df.unpivot(["group_id", "effective_date"], CHANGES, "ticker", "ret").dropna()
-    return rk.hidden_concentration(mx.panel(long, CHANGES, ("group_id", "effective_date")), CHANGES)
+    panel, names = rk.residual_panel(*nation_residuals(spark, sf_dir))
+    found = rk.residual_components(rk.weighted_moments(panel, rk.bootstrap_draws(panel)))
+    return found.join(names, "group_id").withColumn("members", F.array_join(F.transform("members", lambda k: F.col("names")[k]), "|"))
+
+
+@plan("hidden_concentration", "group_id:s component:i members:s n_members:i stability:f stable:b poorly_conditioned:b message:s", "M19 U4",
+      with_parts("res_found res_days res_rows", f"""
+, base AS ({_BASE}),
+hits AS (SELECT g, component, count(DISTINCT b) / {rk.BOOTSTRAPS}.0 AS stability FROM base JOIN (SELECT g, b, members AS cluster FROM res_found WHERE b >= 0 AND len(members) >= {rk.MIN_CLUSTER}) USING (g)
+ WHERE len(list_intersect(members, cluster)) / (len(members) + len(cluster) - len(list_intersect(members, cluster))) >= {rk.JACCARD_MATCH} GROUP BY 1, 2)
+SELECT g AS group_id, component, array_to_string(members, '|') AS members, len(members) AS n_members, coalesce(stability, 0) AS stability, coalesce(stability, 0) >= {rk.STABILITY} AS stable, n < 5 * d AS poorly_conditioned,
+ 'Hidden residual factor links ' || len(members) || ' tickers (' || array_to_string(members, ', ') || '). Stability ' || printf('%.2f', coalesce(stability, 0)) || ' across {rk.BOOTSTRAPS} bootstraps.' AS message
+FROM base LEFT JOIN hits USING (g, component) JOIN (SELECT DISTINCT g, n FROM res_days) USING (g) JOIN (SELECT g, count(DISTINCT ticker) AS d FROM res_rows GROUP BY 1) USING (g)"""))
+def _(spark, sf_dir):
+    return rk.hidden_concentration(*nation_residuals(spark, sf_dir)).withColumn("members", F.array_join("members", "|"))
 
 
 # ---- covariance of region returns

@@ -201,14 +201,47 @@ def test_factor_regressions_recover_betas(spark, factor_data):
     assert set(few["status"]) == {"INSUFFICIENT_DATA"}
 
 
-def test_hidden_factor_is_found_and_noise_is_not(spark):
-    rng = np.random.default_rng(11)
+def residual_fixture(spark, seed=11):
+    rng = np.random.default_rng(seed)
     common = rng.normal(0, 1, 300)
     x = np.column_stack([common + rng.normal(0, 0.2, 300) for _ in range(4)] + [rng.normal(0, 1, 300)])
     days = business_days(dt.date(2024, 6, 28), 300)
-    panel = spark.createDataFrame([("g", d, list(map(float, r))) for d, r in zip(days, x)], "group_id string, effective_date date, x array<double>")
-    got = rk.hidden_concentration(panel, list("ABCDE"), bootstraps=30).where("stable").collect()
-    assert any(set("ABCD") <= set(r.members) for r in got)
+    rows = [(t, d, float(v)) for d, r in zip(days, x) for t, v in zip("ABCDE", r)]
+    rows += [("F", days[0], None), ("G", days[5], 0.5), ("H", days[1], 1.0), ("H", days[2], -1.0)]
+    groups = spark.createDataFrame([("g", t) for t in "ABCDEFG"] + [("h", t) for t in "ABH"], "group_id string, ticker string")
+    return days, x, spark.createDataFrame(rows, "ticker string, effective_date date, residual double"), groups
+
+
+def test_hidden_factor_is_found_and_noise_is_not(spark):
+    _, _, rows, groups = residual_fixture(spark)
+    got = {(r.group_id, r.component): r for r in rk.hidden_concentration(rows, groups, bootstraps=30).collect()}
+    first = got["g", 0]
+    assert first.members == list("ABCD") and first.stable and first.stability == 1.0
+    assert first.message == "Hidden residual factor links 4 tickers (A, B, C, D). Stability 1.00 across 30 bootstraps."
+    assert all(len(r.members) >= rk.MIN_CLUSTER for r in got.values()) and not any(r.stable for k, r in got.items() if k[1])
+    assert rk.hidden_concentration(rows.limit(0), groups).count() == 0
+
+
+def test_resamples_are_those_of_drawn_rows(spark):
+    """Leading directions of every resample against numpy on the rows that were drawn, whatever the partitioning."""
+    _, _, rows, groups = residual_fixture(spark)
+    panel, names = rk.residual_panel(rows, groups)
+    draws = rk.bootstrap_draws(panel, 8)
+    found = {(r.group_id, r.replicate, r.component): r for r in rk.residual_components(rk.weighted_moments(panel.repartition(7), draws, 8)).collect()}
+    names = {r.group_id: r.names for r in names.collect()}
+    assert names == {"g": list("ABCDEG"), "h": list("ABH")}
+    for g in names:
+        held = sorted((r.effective_date, r.x, r.replicates) for r in panel.join(draws, ["group_id", "effective_date"], "left").where(F.col("group_id") == g).collect())
+        for b in range(-1, 8):
+            times = [1 if b < 0 else (picks or []).count(b) for _, _, picks in held]
+            assert sum(times) == len(held) == 300
+            x = np.repeat(np.array([x for _, x, _ in held]), times, axis=0)
+            x = x - x.mean(axis=0)
+            _, size, directions = np.linalg.svd(x, full_matrices=False)
+            for c in range(min(3, x.shape[1])):
+                r = found[g, b, c]
+                assert r.members == np.flatnonzero(np.abs(directions[c]) >= rk.LOADING_CUTOFF).tolist()
+                assert np.isclose(r.share, size[c] ** 2 / (size**2).sum()) and r.n_days == 300
 
 
 def test_two_regimes_and_fallback(spark):
