@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -46,6 +47,7 @@ def _gamma_p(a: float, x: float) -> float:
     return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
+@lru_cache
 def chi2_quantile(p: float, dof: int) -> float:
     lo, hi = 0.0, dof + 20.0 * math.sqrt(2.0 * dof) + 20.0
     for _ in range(200):
@@ -54,54 +56,80 @@ def chi2_quantile(p: float, dof: int) -> float:
     return (lo + hi) / 2
 
 
+# A concentration step that lowers the log-determinant by less has come to its end.
+STEPS, STILL = 60, 1e-9
+MIN_ROWS_PER_FEATURE = 20
+
+
+def support_size(n: int, d: int) -> int:
+    """Rows that the robust estimate concentrates on."""
+    return min(n, int(math.ceil(0.5 * (n + d + 1))))
+
+
 def _squared_distance(x, loc, cov):
     diff = x - loc
-    return np.einsum("ij,jk,ik->i", diff, np.linalg.pinv(cov), diff)
-
-
-def _concentrate(x, subset, h, steps):
-    loc, cov, det = None, None, np.inf
-    for _ in range(steps):
-        part = x[subset]
-        loc, cov = part.mean(axis=0), np.cov(part, rowvar=False, bias=True)
-        sign, logdet = np.linalg.slogdet(np.atleast_2d(cov))
-        new = logdet if sign > 0 else -np.inf
-        dist = _squared_distance(x, loc, np.atleast_2d(cov))
-        subset = np.argpartition(dist, h - 1)[:h]
-        if new == -np.inf or det - new < 1e-12:
-            det = new
-            break
-        det = new
-    return det, loc, np.atleast_2d(cov), subset
-
-
-def min_cov_det(x: np.ndarray, seed: int = 42, starts: int = 30, keep: int = 5) -> np.ndarray:
-    """Reweighted minimum covariance determinant of one group's rows."""
-    n, d = x.shape
-    h = min(n, int(math.ceil(0.5 * (n + d + 1))))
-    rng = np.random.default_rng(seed)
-    trials = []
-    for _ in range(starts):
-        first = rng.permutation(n)[: d + 1]
-        part = x[first]
-        dist = _squared_distance(x, part.mean(axis=0), np.cov(part, rowvar=False, bias=True))
-        trials.append(_concentrate(x, np.argpartition(dist, h - 1)[:h], h, 2))
-    trials.sort(key=lambda t: t[0])
-    best = min((_concentrate(x, t[3], h, 100) for t in trials[:keep]), key=lambda t: t[0])
-    dist = _squared_distance(x, best[1], best[2])
+    return np.einsum("ij,ij->i", diff @ np.linalg.pinv(cov, hermitian=True), diff)
+
+
+def _nearest(dist: np.ndarray, h: int) -> np.ndarray:
+    """Positions of the h smallest; the earlier of equals."""
+    return np.sort(np.argsort(dist, kind="stable")[:h])
+
+
+def _scatter(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    loc = part.mean(axis=0)
+    diff = part - loc
+    cov = diff.T @ diff / len(part)
+    sign, logdet = np.linalg.slogdet(cov)
+    return loc, cov, logdet if sign > 0 else -np.inf
+
+
+def robust_starts(x: np.ndarray) -> list[np.ndarray]:
+    """Squared distances that the concentration starts from: by medians and absolute deviations, and by mean and covariance."""
+    mid = np.median(x, axis=0)
+    mad = np.median(np.abs(x - mid), axis=0)
+    loc, cov, _ = _scatter(x)
+    return [np.sum(((x - mid) / np.where(mad > 0, mad, 1.0)) ** 2, axis=1), _squared_distance(x, loc, cov)]
+
+
+def concentrate(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Location, covariance and log-determinant of the half of the rows with the least determinant, over both starts."""
+    h, best = support_size(*x.shape), None
+    for dist in robust_starts(x):
+        before = np.inf
+        for _ in range(STEPS):
+            loc, cov, logdet = _scatter(x[_nearest(dist, h)])
+            dist = _squared_distance(x, loc, cov)
+            if logdet == -np.inf or before - logdet < STILL:
+                break
+            before = logdet
+        if best is None or logdet < best[2]:
+            best = loc, cov, logdet
+    return best
+
+
+def min_cov_det(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Reweighted minimum covariance determinant of one group's rows, the same in every run, and how many rows it keeps."""
+    d = x.shape[1]
+    loc, cov, _ = concentrate(x)
+    dist = _squared_distance(x, loc, cov)
     dist = dist / (np.median(dist) / chi2_quantile(0.5, d))
     kept = x[dist < chi2_quantile(0.975, d)]
-    return np.cov(kept, rowvar=False, bias=True)
+    return _scatter(kept)[1], len(kept)
 
 
-def robust_covariance(x: np.ndarray, min_rows_per_feature: int = 20) -> tuple[np.ndarray, str]:
-    """Minimum covariance determinant where the rows allow it, else Ledoit-Wolf."""
+def robust_fit(x: np.ndarray, min_rows_per_feature: int = MIN_ROWS_PER_FEATURE) -> tuple[np.ndarray, str, int]:
+    """Minimum covariance determinant where the rows allow it, else Ledoit-Wolf; its name, and the rows it rests on."""
     n, d = x.shape
-    if n >= min_rows_per_feature * d:
-        cov = min_cov_det(x)
+    if n >= min_rows_per_feature * d and n > d + 1:
+        cov, kept = min_cov_det(x)
         if np.all(np.isfinite(cov)):
-            return cov, "mcd"
-    return ledoit_wolf(x), "ledoit_wolf"
+            return cov, "mcd", kept
+    return ledoit_wolf(x), "ledoit_wolf", n
+
+
+def robust_covariance(x: np.ndarray, min_rows_per_feature: int = MIN_ROWS_PER_FEATURE) -> tuple[np.ndarray, str]:
+    return robust_fit(x, min_rows_per_feature)[:2]
 
 
 def whitening(cov: np.ndarray, q: np.ndarray) -> np.ndarray:

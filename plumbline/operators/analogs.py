@@ -1,10 +1,10 @@
 """Nearest historical analogs for every ticker and as-of date in one plan.
 
 A query is a row of the history itself: the state of a ticker on a date. Its
-candidates are the ticker's earlier rows, the most recent ``gap`` left out. The
-covariance of each candidate set comes from running sums over the ticker's rows,
-so any number of as-of dates costs one pass, and distances are plain column
-arithmetic. Python only sees one d x d matrix per query.
+candidates are the ticker's earlier rows, the most recent ``gap`` left out. Their
+covariance is robust where there are enough of them (``fit_robust_precision``, the
+published rule); plain and shrunk ones of any number of as-of dates come from running
+sums in one pass (``fit_precision``). Distances are plain column arithmetic.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.functions.linalg import robust_covariance, shrink, whitening
+from plumbline.functions.linalg import robust_fit, shrink, whitening
 from plumbline.operators.features import DISTANCE_FEATURES
-from plumbline.session import spread
+from plumbline.session import materialise, spread
 
 # fixed values
 NEIGHBOURS = 30
@@ -137,6 +137,10 @@ def fit_precision(queries: DataFrame, features=DISTANCE_FEATURES, method: str =
     )
 
 
+# Queries of one ticker that are fitted in one task.
+QUERIES_PER_TASK = 64
+
+
 def fit_robust_precision(
     rows: DataFrame, queries: DataFrame | None = None, features=DISTANCE_FEATURES, gap: int = SEPARATION_ROWS,
 ) -> DataFrame:
@@ -144,12 +148,16 @@ def fit_robust_precision(
 
     The robust estimate where a query has 20 candidates per feature, else Ledoit-Wolf;
     ``covariance_method`` names it. Without ``queries``, the latest of each ticker.
-    One group is one ticker's daily rows and queries, so its size is that of the calendar.
+    A group is at most ``QUERIES_PER_TASK`` queries of a ticker next to its daily rows,
+    however many as-of dates are asked for.
     """
     features = list(features)
     d = len(features)
     queries = latest_queries(rows) if queries is None else queries
-    schema = "ticker string, row_no long, whitening array<double>, covariance_method string"
+    schema = (
+        "ticker string, row_no long, whitening array<double>, covariance_method string, "
+        "n_fitted long, n_kept long, covariance array<double>"
+    )
 
     def solve(history: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         history = history.sort_values("row_no")
@@ -157,14 +165,20 @@ def fit_robust_precision(
         found = []
         for row_no, *point in asked[["row_no", *features]].itertuples(index=False):
             past = x[at < row_no - gap]
-            if len(past) >= d + 2:
-                cov, method = robust_covariance(past)
-                found.append((asked["ticker"].iloc[0], row_no, whitening(cov[None], np.array([point], dtype=float))[0], method))
-        return pd.DataFrame(found, columns=["ticker", "row_no", "whitening", "covariance_method"])
-
-    history = spread(rows.select("ticker", "row_no", *features), "ticker")
-    asked = queries.select("ticker", "row_no", *features)
-    models = history.groupBy("ticker").cogroup(asked.groupBy("ticker")).applyInPandas(solve, schema)
+            if len(past) > 1:
+                cov, method, kept = robust_fit(past)
+                white = whitening(cov[None], np.array([point], dtype=float))[0]
+                found.append((asked["ticker"].iloc[0], row_no, white, method, len(past), kept, cov.ravel()))
+        return pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")])
+
+    number = F.row_number().over(Window.partitionBy("ticker").orderBy("row_no"))
+    asked = queries.select("ticker", "row_no", *features).withColumn("_task", F.floor((number - 1) / QUERIES_PER_TASK))
+    asked = materialise(asked, "analog-asked")  # numbered once, and apart from the rows it comes from
+    # A task needs no rows after its last query.
+    tasks = asked.groupBy("ticker", F.col("_task").alias("_part")).agg(F.max("row_no").alias("_last"))
+    history = rows.select("ticker", "row_no", *features).join(tasks, "ticker").where(F.col("row_no") < F.col("_last")).drop("_last")
+    history = spread(history, "ticker", "_part").groupBy("ticker", "_part")
+    models = history.cogroup(spread(asked, "ticker", "_task").groupBy("ticker", "_task")).applyInPandas(solve, schema)
     return queries.drop("moments").join(models, ["ticker", "row_no"])
 
 

@@ -4,39 +4,116 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.linalg import MIN_ROWS_PER_FEATURE, STEPS, STILL, chi2_quantile
 from plumbline.operators import analogs as an
 from plumbline.operators import features as ft
 from plumbline.operators import regime_labels as rl
 from plumbline.plans.feature_plans import wide
 from plumbline.plans.registry import plan
-from plumbline.plans.sqlparts import part, with_parts
-from plumbline.session import materialise
+from plumbline.plans.sqlparts import STORED, part, with_parts
+from plumbline.session import materialise, stored_once
 from plumbline.sources import tables as tb
 
 FEATS = ft.DISTANCE_FEATURES
 D = len(FEATS)
 
 
+def sweep_cells(name: str, d: int, k: int) -> list[str]:
+    """Columns {name}{i}_{j} after the sweep of pivot k; a pivot without variance is left out and its row stays zero."""
+    def a(i, j):
+        return f"{name}{min(i, j)}_{max(i, j)}"
+    out = []
+    for i in range(d):
+        for j in range(i, d):
+            if i == k and j == k:
+                new = f"-1 / {a(k, k)}"
+            elif k in (i, j):
+                new = f"{a(i, j)} / {a(k, k)}"
+            else:
+                new = f"{a(i, j)} - {a(i, k)} * {a(k, j)} / {a(k, k)}"
+            out.append(f"CASE WHEN {a(k, k)} > 0 THEN {new} ELSE {a(i, j)} END AS {a(i, j)}")
+    return out
+
+
 def sweep_parts(prefix: str, source: str, keys: str, d: int = D) -> str:
     """Parts that turn a{i}_{j} columns of ``source`` into those of the negative inverse."""
     previous = source
     for k in range(d):
-        cells = []
-        def a(i, j):
-            return f"a{min(i, j)}_{max(i, j)}"
-        for i in range(d):
-            for j in range(i, d):
-                if i == k and j == k:
-                    cells.append(f"-1 / {a(k, k)} AS {a(k, k)}")
-                elif i == k or j == k:
-                    cells.append(f"{a(i, j)} / {a(k, k)} AS {a(i, j)}")
-                else:
-                    cells.append(f"{a(i, j)} - {a(i, k)} * {a(k, j)} / {a(k, k)} AS {a(i, j)}")
-        part(f"{prefix}{k}", previous, f"SELECT {keys}, {', '.join(cells)} FROM {previous}")
+        part(f"{prefix}{k}", previous, f"SELECT {keys}, {', '.join(sweep_cells('a', d, k))} FROM {previous}")
         previous = f"{prefix}{k}"
     return previous
 
 
+def _dist(precision: str, row: str, centre: str, names=FEATS) -> str:
+    """Squared distance of a row's features to a centre m0.. under the negative precision p{i}_{j}."""
+    return " + ".join(
+        f"{'' if i == j else '2 * '}-{precision}{i}_{j} * ({row}{names[i]} - {centre}{i}) * ({row}{names[j]} - {centre}{j})"
+        for i in range(len(names)) for j in range(i, len(names)))
+
+
+def _swept(source: str, d: int) -> str:
+    """Nested queries from covariances c{i}_{j} to negative precisions p{i}_{j} and the log-determinant, -inf if singular."""
+    text = f"SELECT *, CAST(0 AS DOUBLE) AS logdet FROM {source}"
+    for k in range(d):
+        step = f"CASE WHEN c{k}_{k} > 0 THEN logdet + ln(c{k}_{k}) ELSE CAST('-inf' AS DOUBLE) END AS logdet"
+        text = f"SELECT * REPLACE ({', '.join(sweep_cells('c', d, k))}, {step}) FROM ({text})"
+    return f"SELECT * RENAME ({', '.join(f'c{i}_{j} AS p{i}_{j}' for i in range(d) for j in range(i, d))}) FROM ({text})"
+
+
+def robust_parts(tag: str, rows: str, keys: tuple[str, ...], names, least: int, row_id: str) -> str:
+    """The part ``{tag}_rob`` with the robust covariance c{i}_{j} of every group of ``rows`` with ``least`` rows or more.
+
+    Concentration from medians and from means, each until the log-determinant stays;
+    the better one is scaled by its median distance and fitted again on what lies near.
+    """
+    d, by = len(names), ", ".join(keys)
+    cells = [(i, j) for i in range(d) for j in range(i, d)]
+    h = f"CAST(ceil(0.5 * (n + {d + 1})) AS BIGINT)"
+    means = ", ".join(f"avg({f}) AS m{i}" for i, f in enumerate(names))
+
+    def scatter(source, centre):
+        return ", ".join(f"avg(({source}{names[i]} - {centre}{i}) * ({source}{names[j]} - {centre}{j})) AS c{i}_{j}" for i, j in cells)
+
+    held = ", ".join([f"any_value(m{i}) AS m{i}" for i in range(d)] + [f"any_value(p{i}_{j}) AS p{i}_{j}" for i, j in cells])
+    part(f"{tag}_rr", rows, f"SELECT {by}, {row_id}, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in names)}, count(*) OVER (PARTITION BY {by}) AS n FROM {rows} QUALIFY count(*) OVER (PARTITION BY {by}) >= {least}")
+    STORED.add(f"{tag}_rr")
+    part(f"{tag}_mid", f"{tag}_rr", f"SELECT {by}, {', '.join(f'quantile_cont({f}, 0.5) AS m{i}' for i, f in enumerate(names))} FROM {tag}_rr GROUP BY ALL")
+    part(f"{tag}_mad", f"{tag}_rr {tag}_mid", f"SELECT {by}, {', '.join(f'quantile_cont(abs({f} - m{i}), 0.5) AS s{i}' for i, f in enumerate(names))} FROM {tag}_rr JOIN {tag}_mid USING ({by}) GROUP BY ALL")
+    diagonal = ", ".join(
+        (f"-1 / CASE WHEN s{i} > 0 THEN s{i} * s{i} ELSE 1 END" if i == j else "CAST(0 AS DOUBLE)") + f" AS p{i}_{j}" for i, j in cells)
+    part(f"{tag}_mean", f"{tag}_rr", f"SELECT {by}, {means} FROM {tag}_rr GROUP BY ALL")
+    part(f"{tag}_cov", f"{tag}_rr {tag}_mean", f"SELECT {by}, {', '.join(f'any_value(m{i}) AS m{i}' for i in range(d))}, {scatter('', 'm')} FROM {tag}_rr JOIN {tag}_mean USING ({by}) GROUP BY {by}")
+    columns = f"{by}, {', '.join(f'm{i}' for i in range(d))}, {', '.join(f'p{i}_{j}' for i, j in cells)}"
+    part(f"{tag}_starts", f"{tag}_mid {tag}_mad {tag}_cov", f"""
+SELECT 0 AS start, {columns} FROM (SELECT {by}, {', '.join(f'm{i}' for i in range(d))}, {diagonal} FROM {tag}_mid JOIN {tag}_mad USING ({by}))
+UNION ALL SELECT 1, {columns} FROM ({_swept(f'{tag}_cov', d)})""")
+
+    def limits(state, more=""):
+        """The state with the h-th smallest distance of its group."""
+        return f"SELECT start, {by}, {held}{more}, list_sort(list({_dist('p', 'r.', 'm', names)}))[any_value({h})] AS reach FROM {state} JOIN {tag}_rr r USING ({by}) GROUP BY start, {by}"
+
+    sums = f"{', '.join(f'any_value(m{i}) AS m{i}' for i in range(d))}, {scatter('', 'm')}"
+    part(f"{tag}_it", f"{tag}_rr {tag}_starts", f"""
+SELECT {columns}, start, reach, 0 AS step, CAST('inf' AS DOUBLE) AS logdet, false AS done FROM ({limits(f'{tag}_starts')})
+UNION ALL /*r*/
+SELECT {columns.replace('m0', 'w.m0', 1)}, start, w.reach, o.step + 1, w.logdet, w.logdet = CAST('-inf' AS DOUBLE) OR o.logdet - w.logdet < {STILL} FROM (
+ WITH half AS (SELECT s.start, r.* FROM {tag}_it s JOIN {tag}_rr r USING ({by}) WHERE NOT done AND step < {STEPS} AND {_dist('p', 'r.', 'm', names)} <= reach),
+ centre AS (SELECT start, {by}, {means} FROM half GROUP BY start, {by}),
+ around AS (SELECT start, {by}, {sums} FROM half JOIN centre USING (start, {by}) GROUP BY start, {by}),
+ swept AS ({_swept('around', d)})
+ {limits('swept', ', any_value(logdet) AS logdet')}) w JOIN (SELECT {by}, start, step, logdet FROM {tag}_it) o USING (start, {by})""")
+    part(f"{tag}_best", f"{tag}_it", f"""
+SELECT {columns} FROM (SELECT * FROM {tag}_it QUALIFY step = max(step) OVER (PARTITION BY start, {by}))
+QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY logdet, start) = 1""")
+    part(f"{tag}_far", f"{tag}_best {tag}_rr", f"SELECT r.*, {_dist('p', 'r.', 'm', names)} AS far FROM {tag}_rr r JOIN {tag}_best USING ({by})")
+    part(f"{tag}_kept", f"{tag}_far", f"""
+SELECT f.* FROM {tag}_far f JOIN (SELECT {by}, quantile_cont(far, 0.5) AS mid FROM {tag}_far GROUP BY {by}) USING ({by})
+WHERE far / (mid / {chi2_quantile(0.5, d)!r}) < {chi2_quantile(0.975, d)!r}""")
+    part(f"{tag}_rob", f"{tag}_kept", f"""
+SELECT {by}, any_value(n) AS n, count(*) AS n_kept, {scatter('', 'm')} FROM {tag}_kept JOIN (SELECT {by}, {means} FROM {tag}_kept GROUP BY {by}) USING ({by}) GROUP BY {by}""")
+    return f"{tag}_rob"
+
+
 def search_parts(tag: str, queries_sql: str, deps: str = "") -> None:
     """Parts for: candidate rows, shrunk covariance, inverse, distance, rank."""
     part(f"{tag}_q", f"hist {deps}", queries_sql)
@@ -55,9 +132,13 @@ SELECT ticker, as_of, any_value(n) AS n, {cells}, sum(pow({norm}, 2)) AS norm4 F
     part(f"{tag}_s", f"{tag}_e", f"SELECT *, ({trace}) / {D} AS mu, {square} AS sq FROM {tag}_e")
     shrunk = ", ".join(
         f"(1 - w) * e{i}_{j}" + (" + w * mu" if i == j else "") + f" AS a{i}_{j}" for i in range(D) for j in range(i, D))
-    part(f"{tag}_w", f"{tag}_s", f"""
+    part(f"{tag}_lw", f"{tag}_s", f"""
 SELECT ticker, as_of, {shrunk} FROM (SELECT *, CASE WHEN delta > 0 THEN least((norm4 / n - sq) / ({D} * n), delta) / delta ELSE 0 END AS w
  FROM (SELECT *, (sq - {D} * mu * mu) / {D} AS delta FROM {tag}_s)) WHERE n > 1""")
+    robust = robust_parts(tag, f"{tag}_c", ("ticker", "as_of"), FEATS, MIN_ROWS_PER_FEATURE * D, "effective_date")
+    chosen = ", ".join(f"coalesce(c{i}_{j}, a{i}_{j}) AS a{i}_{j}" for i in range(D) for j in range(i, D))
+    part(f"{tag}_w", f"{tag}_lw {robust}", f"""
+SELECT ticker, as_of, {chosen}, CASE WHEN c0_0 IS NULL THEN 'ledoit_wolf' ELSE 'mcd' END AS method FROM {tag}_lw LEFT JOIN {robust} USING (ticker, as_of)""")
     inverse = sweep_parts(f"{tag}_i", f"{tag}_w", "ticker, as_of")
     quad = " + ".join(
         f"{'' if i == j else '2 * '}-a{i}_{j} * ({FEATS[i]} - q{i}) * ({FEATS[j]} - q{j})" for i in range(D) for j in range(i, D))
@@ -109,21 +190,29 @@ SELECT k.ticker, avg(CASE WHEN abs(fwd) > realized_vol_21d * sqrt(10 / 252.0) TH
 FROM near_k k JOIN hist h ON h.ticker = k.ticker AND h.row_no = h.n_rows WHERE fwd IS NOT NULL AND realized_vol_21d > 0 GROUP BY 1""")
 
 
+def _inputs(sf_dir):
+    return [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region", "orders")]
+
+
 def history(spark, sf_dir):
-    """The feature rows an analog search reads several times, stored once."""
-    return materialise(an.numbered(wide(spark, sf_dir)), "analog-history")
+    """The feature rows an analog search reads several times, stored by the first plan that needs them."""
+    return stored_once(spark, "analog-history", _inputs(sf_dir), lambda: an.numbered(wide(spark, sf_dir)))
+
+
+def _searched(spark, sf_dir, name, rows, queries, **how):
+    """Neighbours under the published covariance of each query, stored by the first plan that needs them."""
+    return stored_once(
+        spark, name, _inputs(sf_dir), lambda: an.find_analogs(rows, materialise(an.fit_robust_precision(rows, queries), "analog-queries"), **how))
 
 
 def nearest(spark, sf_dir):
     rows = history(spark, sf_dir)
-    queries = an.fit_precision(an.latest_queries(an.prefix_moments(rows)))
-    return rows, an.find_analogs(rows, queries)
+    return rows, _searched(spark, sf_dir, "analogs-latest", rows, an.latest_queries(rows))
 
 
 def past(spark, sf_dir):
     rows = history(spark, sf_dir)
-    queries = an.fit_precision(an.sampled_queries(an.prefix_moments(rows), trailing=126, every=5))
-    return rows, an.find_analogs(rows, queries)
+    return rows, _searched(spark, sf_dir, "analogs-past", rows, an.sampled_queries(rows, trailing=126, every=5))
 
 
 @plan("analog_neighbours", "ticker:s as_of:d rank:i effective_date:d distance:f fwd:f", "M8 M9 M10 J10 K1",
@@ -221,6 +310,7 @@ def _clone(tag: str, new: str) -> None:
     """The parts of one search, re-based on the rows that carry a regime."""
     from plumbline.plans.sqlparts import PARTS
     import re
+    STORED.update(f"{new}_{name.removeprefix(f'{tag}_')}" for name in list(STORED) if name.startswith(f"{tag}_"))
     for name in [n for n in PARTS if n.startswith(tag + "_")]:
         deps, sql = PARTS[name]
         fix = lambda s: re.sub(rf"\bhist\b", "shist", re.sub(rf"\b{tag}_", f"{new}_", s))
@@ -245,14 +335,13 @@ UNION ALL SELECT ticker, as_of, 'within', rank, effective_date, distance, fwd FR
 
 
 def regime_history(spark, sf_dir):
-    rows = rl.attach_states(wide(spark, sf_dir), states(spark, sf_dir))
-    return materialise(an.numbered(rows), "analog-regime-history")
+    build = lambda: an.numbered(rl.attach_states(wide(spark, sf_dir), states(spark, sf_dir)))
+    return stored_once(spark, "analog-regime-history", _inputs(sf_dir), build)
 
 
 def by_state(spark, sf_dir):
     rows = regime_history(spark, sf_dir)
-    queries = an.fit_precision(an.latest_queries(an.prefix_moments(rows)))
-    return rows, an.find_analogs(rows, queries, by_state=True)
+    return rows, _searched(spark, sf_dir, "analogs-by-state", rows, an.latest_queries(rows), by_state=True)
 
 
 @plan("analog_sets_by_regime", "ticker:s as_of:d analog_set:s rank:i effective_date:d distance:f fwd:f", "M11 J5",
@@ -292,8 +381,30 @@ def _(spark, sf_dir):
 
 @plan("analog_watchlist_robust",
       "ticker:s as_of:d status:s n:i hit_rate:f conf:s p5:f p50:f p95:f covariance_method:s overlap_pct:f disagreement:b kelly_displayed:f",
-      "M8 M12")
+      "M8 M12", with_parts("regime_kelly regime_w both_sets", """
+, o AS (SELECT ticker, sum(g * w) / count(*) AS overlap FROM (SELECT ticker, effective_date, max(CASE WHEN analog_set = 'global' THEN 1 ELSE 0 END) AS g, max(CASE WHEN analog_set = 'within' THEN 1 ELSE 0 END) AS w
+ FROM both_sets GROUP BY 1, 2) GROUP BY 1),
+w AS (SELECT h.ticker, h.effective_date AS last, h.n_rows >= 60 AND coalesce(n_returns, 0) >= 5 AS ok, k.* EXCLUDE (ticker, as_of), method, overlap FROM (SELECT * FROM shist WHERE row_no = n_rows) h
+ LEFT JOIN regime_kelly k ON k.ticker = h.ticker LEFT JOIN regime_w m ON m.ticker = h.ticker LEFT JOIN o ON o.ticker = h.ticker)
+SELECT ticker, last AS as_of, CASE WHEN ok THEN 'ready' ELSE 'pending' END AS status, CASE WHEN ok THEN round_even(effective_n, 0) END AS n, CASE WHEN ok THEN hit_rate END AS hit_rate,
+ CASE WHEN ok THEN CASE WHEN effective_n >= 20 THEN 'moderate' WHEN effective_n >= 12 THEN 'weak' ELSE 'insufficient' END END AS conf, CASE WHEN ok THEN p5 END AS p5, CASE WHEN ok THEN p50 END AS p50, CASE WHEN ok THEN p95 END AS p95,
+ CASE WHEN ok THEN method END AS covariance_method, CASE WHEN ok THEN overlap END AS overlap_pct, CASE WHEN ok THEN overlap < 0.5 END AS disagreement, CASE WHEN ok THEN kelly_displayed END AS kelly_displayed FROM w"""))
 def _(spark, sf_dir):
-    rows = regime_history(spark, sf_dir)
-    queries = an.fit_robust_precision(rows)
-    return an.watchlist(rows, an.find_analogs(rows, queries, by_state=True))
+    return an.watchlist(*by_state(spark, sf_dir))
+
+
+_CELL_LIST = [(i, j) for i in range(D) for j in range(i, D)]
+
+
+@plan("analog_covariances", "ticker:s as_of:d n:i n_kept:i covariance_method:s i:i j:i cov:f9", "M8 G1",
+      with_parts("past_w past_rob past_e", f"""
+, cells AS (SELECT w.ticker, w.as_of, e.n, coalesce(n_kept, e.n) AS n_kept, method, {', '.join(f'w.a{i}_{j}' for i, j in _CELL_LIST)} FROM past_w w JOIN past_e e USING (ticker, as_of) LEFT JOIN past_rob r USING (ticker, as_of))
+""" + " UNION ALL ".join(f"SELECT ticker, as_of, n, n_kept, method AS covariance_method, {i} AS i, {j} AS j, a{i}_{j} AS cov FROM cells" for i, j in _CELL_LIST)))
+def _(spark, sf_dir):
+    """The covariance of every emitted query: the rows it was fitted on, those it kept, and its upper triangle."""
+    rows = history(spark, sf_dir)
+    fitted = materialise(an.fit_robust_precision(rows, an.sampled_queries(rows, trailing=126, every=5)), "analog-covariances")
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * D + j).alias("at")) for i, j in _CELL_LIST])
+    return fitted.select(
+        "ticker", F.col("effective_date").alias("as_of"), F.col("n_fitted").alias("n"), "n_kept", "covariance_method", "covariance", F.explode(places).alias("p")
+    ).select("ticker", "as_of", "n", "n_kept", "covariance_method", "p.i", "p.j", F.col("covariance")[F.col("p.at")].alias("cov"))

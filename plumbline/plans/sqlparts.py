@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
+# Parts that a recursive one reads in every round.
+STORED: set[str] = set()
 
 
 def part(name: str, deps: str, sql: str) -> None:
@@ -23,7 +25,7 @@ def with_parts(names: str, body: str, recursive: bool = False) -> str:
 
     for name in names.split():
         visit(name)
-    ctes = ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in ordered)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in STORED else ''}({PARTS[n][1]})" for n in ordered)
     word = "WITH RECURSIVE" if recursive or any("UNION ALL /*r*/" in PARTS[n][1] for n in ordered) else "WITH"
     if body.lstrip().startswith(","):
         return f"{word} {ctes}{body}"
