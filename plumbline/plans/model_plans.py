@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import attribution as at
@@ -174,18 +176,70 @@ def classifier_rows(spark, sf_dir):
     return history(spark, sf_dir).where("ret_fwd_10d IS NOT NULL").withColumn("y", (F.col("ret_fwd_10d") > 0).cast("double"))
 
 
-@plan("feature_attribution", "ticker:s as_of:d vintage:d score:f base:f top_features:s tight_top_margin:b", "M13 E2 P11")
-def _(spark, sf_dir):
+def explained_rows(spark, sf_dir):
+    """Each ticker's last row with its vintage, and the market days of each vintage's background."""
     rows = history(spark, sf_dir)
     feats = list(ft.DISTANCE_FEATURES)
-    model = at.train_classifier(classifier_rows(spark, sf_dir), feats)
     latest = rows.where("row_no = n_rows").withColumnRenamed("effective_date", "as_of").withColumn(
         "vintage", at.background_vintage(F.col("as_of")))
     by_date = rows.groupBy("effective_date").agg(*[F.avg(f).alias(f) for f in feats])
-    explained = at.explain(model, latest, at.background(by_date, latest, feats), feats)
+    return latest, at.background(by_date, latest, feats), feats
+
+
+@plan("feature_attribution", "ticker:s as_of:d vintage:d score:f base:f top_features:s tight_top_margin:b", "M13 E2 P11")
+def _(spark, sf_dir):
+    """Contributions to the margin of a fitted classifier, along the paths of its trees."""
+    latest, days, feats = explained_rows(spark, sf_dir)
+    model = at.train_classifier(classifier_rows(spark, sf_dir), feats)
+    explained = at.explain_trees(at.tree_nodes(spark, model.stages[-1]), latest, days, feats)
     return at.top_contributions(explained, feats).withColumn("top_features", F.concat_ws(",", "top_features"))
 
 
+# ---- two stored trees, so that SQL can go through all coalitions; the first asks for rsi_14 twice on a path
+_F = {f: i for i, f in enumerate(ft.DISTANCE_FEATURES)}
+STORED_TREES = [
+    (0, 0, 1, 2, _F["rsi_14"], 50.0, 0.0, 1.0), (0, 1, 3, 4, _F["ret_21d"], 0.0, 0.0, 1.0), (0, 2, 5, 6, _F["realized_vol_21d"], 20.0, 0.0, 1.0),
+    (0, 3, -1, -1, None, None, -0.4, 1.0), (0, 4, 7, 8, _F["rsi_14"], 45.0, 0.0, 1.0), (0, 5, -1, -1, None, None, 0.5, 1.0),
+    (0, 6, -1, -1, None, None, -0.2, 1.0), (0, 7, -1, -1, None, None, 0.1, 1.0), (0, 8, -1, -1, None, None, 0.3, 1.0),
+    (1, 0, 1, 2, _F["ret_5d"], 1.0, 0.0, 0.5), (1, 1, 3, 4, _F["pct_above_ma50"], 0.2, 0.0, 0.5), (1, 2, 5, 6, _F["ret_21d"], 2.0, 0.0, 0.5),
+    (1, 3, -1, -1, None, None, -0.1, 0.5), (1, 4, -1, -1, None, None, 0.2, 0.5), (1, 5, -1, -1, None, None, 0.15, 0.5), (1, 6, -1, -1, None, None, -0.3, 0.5),
+]
+_USED = ("rsi_14", "ret_21d", "realized_vol_21d", "ret_5d", "pct_above_ma50")
+
+
+def _tree_sql(tree: int, node: int = 0) -> str:
+    _, _, left, right, f, threshold, value, weight = next(r for r in STORED_TREES if r[:2] == (tree, node))
+    if left < 0:
+        return repr(value * weight)
+    return f"CASE WHEN {ft.DISTANCE_FEATURES[f]} <= {threshold} THEN {_tree_sql(tree, left)} ELSE {_tree_sql(tree, right)} END"
+
+
+def _shapley_sql() -> str:
+    d = len(_USED)
+    own = ", ".join(f"CASE WHEN s // {1 << i} % 2 = 1 THEN l.{f} ELSE b.{f} END AS {f}" for i, f in enumerate(_USED))
+    weight = {n: factorial(n) * factorial(d - n - 1) / factorial(d) for n in range(d)}
+    rows = " UNION ALL ".join(
+        f"""SELECT ticker, as_of, vintage, '{f}' AS feature, sum(v * CASE WHEN s // {1 << i} % 2 = 1 THEN list_extract({[weight[n] for n in range(d)]}, bit_count(s))
+ ELSE -list_extract({[weight[n] for n in range(d)]}, bit_count(s) + 1) END) AS phi, max(v) FILTER (WHERE s = 0) AS base, max(v) FILTER (WHERE s = {(1 << d) - 1}) AS score, any_value(n) AS n_background
+ FROM values_of GROUP BY ALL""" for i, f in enumerate(_USED))
+    return with_parts("hist", f"""
+, latest AS (SELECT ticker, effective_date AS as_of, DATE '1970-01-05' + CAST(floor((effective_date - DATE '1970-01-05') / 5) * 5 AS INTEGER) AS vintage, {', '.join(_USED)} FROM hist WHERE row_no = n_rows),
+days AS (SELECT effective_date, {', '.join(f'avg({f}) AS {f}' for f in _USED)}, row_number() OVER (ORDER BY effective_date) AS k FROM hist GROUP BY effective_date),
+ends AS (SELECT vintage, (SELECT max(k) FROM days WHERE effective_date <= vintage) AS last FROM (SELECT DISTINCT vintage FROM latest)),
+back AS (SELECT vintage, days.* FROM ends JOIN days ON k > last - {at.LOOKBACK_DAYS} AND k <= last),
+mixed AS (SELECT l.ticker, l.as_of, vintage, s, {own} FROM latest l JOIN back b USING (vintage), range({1 << d}) AS t(s)),
+values_of AS (SELECT ticker, as_of, vintage, s, avg({_tree_sql(0)} + {_tree_sql(1)}) AS v, count(*) AS n FROM mixed GROUP BY ALL)
+{rows}""")
+
+
+@plan("tree_attribution", "ticker:s as_of:d vintage:d feature:s phi:f base:f score:f n_background:i", "M13 E2", _shapley_sql())
+def _(spark, sf_dir):
+    latest, days, feats = explained_rows(spark, sf_dir)
+    explained = at.explain_trees(spark.createDataFrame(STORED_TREES, at.NODES), latest, days, feats)
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"phi_{f}").alias("phi")) for f in _USED])
+    return explained.withColumn("_e", F.explode(each)).select("*", "_e.feature", "_e.phi")
+
+
 @plan("isotonic_calibration", "n:i ece:f n_bins:i", "M14 A11")
 def _(spark, sf_dir):
     """Trained on the first half of the days, calibrated on the next quarter, scored on the last."""

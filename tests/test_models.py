@@ -354,6 +354,90 @@ def test_attribution_adds_up(spark):
     assert len(vintages) in (2, 3)
 
 
+def walked(nodes, x):
+    """Sum of the trees at one row, node by node."""
+    total = 0.0
+    for tree in {n[0] for n in nodes}:
+        at_ = {n[1]: n for n in nodes if n[0] == tree}
+        n = at_[0]
+        while n[2] >= 0:
+            n = at_[n[2] if x[n[4]] <= n[5] else n[3]]
+        total += n[6] * n[7]
+    return total
+
+
+def random_tree(rng, tree, depth, d):
+    nodes, open_ = [], [(0, 0)]
+    while open_:
+        at_, level = open_.pop()
+        if level == depth or (level and rng.random() < 0.2):
+            nodes.append((tree, at_, -1, -1, None, None, float(rng.normal()), 0.5 + tree))
+        else:
+            nodes.append((tree, at_, 2 * at_ + 1, 2 * at_ + 2, int(rng.integers(0, d)), float(rng.normal(0, 0.5)), 0.0, 0.5 + tree))
+            open_ += [(2 * at_ + 1, level + 1), (2 * at_ + 2, level + 1)]
+    return nodes
+
+
+@pytest.mark.parametrize("d", [1, 4, 9])
+def test_contributions_along_paths_are_those_of_all_coalitions(spark, d):
+    """Random trees whose paths ask for a feature more than once; two vintages, one without rows, one of a single day."""
+    rng = np.random.default_rng(d)
+    nodes = [n for t in range(3) for n in random_tree(rng, t, 4, d)]
+    feats = [f"f{i}" for i in range(d)]
+    x, back = rng.normal(size=(6, d)).round(1), rng.normal(size=(12, d)).round(1)
+    v1, v2 = dt.date(2024, 1, 8), dt.date(2024, 1, 13)
+    rows = spark.createDataFrame([(f"t{i}", v1, v1, *map(float, r)) for i, r in enumerate(x)] + [("u", v2, v2, *map(float, x[0]))],
+                                 "ticker string, as_of date, vintage date, " + ", ".join(f"{f} double" for f in feats))
+    backs = spark.createDataFrame([(v1, *map(float, r)) for r in back] + [(v2, *map(float, back[0])), (dt.date(2024, 2, 1), *map(float, back[1]))],
+                                  "vintage date, " + ", ".join(f"b_{f} double" for f in feats))
+    got = {r.ticker: r for r in at.explain_trees(spark.createDataFrame(nodes, at.NODES), rows, backs, feats).collect()}
+    assert len(got) == 7
+    for ticker, row, held in [*((f"t{i}", r, back) for i, r in enumerate(x)), ("u", x[0], back[:1])]:
+        value = {
+            s: np.mean([walked(nodes, [row[i] if s >> i & 1 else z[i] for i in range(d)]) for z in held]) for s in range(1 << d)
+        }
+        for i, f in enumerate(feats):
+            want = sum(
+                math.factorial(s.bit_count()) * math.factorial(d - s.bit_count() - 1) / math.factorial(d) * (value[s | 1 << i] - value[s])
+                for s in range(1 << d) if not s >> i & 1
+            )
+            assert math.isclose(got[ticker][f"phi_{f}"], want, abs_tol=1e-9)
+        assert math.isclose(got[ticker].base, value[0], abs_tol=1e-9) and math.isclose(got[ticker].score, value[(1 << d) - 1], abs_tol=1e-9)
+
+
+def test_a_fitted_ensemble_with_many_features(spark):
+    """Thirty features: contributions add up to the model's own margin less that of the background."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 30))
+    feats = [f"f{i}" for i in range(30)]
+    day = dt.date(2024, 1, 8)
+    rows = [(f"t{i}", day, day, *map(float, r), float(r[0] + r[7] > 0)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "ticker string, as_of date, vintage date, " + ", ".join(f"{f} double" for f in feats) + ", y double")
+    model = at.train_classifier(df, feats, rounds=6)
+    back = df.limit(50).select("vintage", *[F.col(f).alias(f"b_{f}") for f in feats])
+    nodes = at.tree_nodes(spark, model.stages[-1])
+    out = at.explain_trees(nodes, df.limit(20), back, feats).toPandas().set_index("ticker")
+    margin = {r.ticker: float(r.rawPrediction[1]) for r in model.transform(df).collect()}
+    assert np.allclose(out["score"], [margin[t] for t in out.index])
+    assert np.allclose(out[[f"phi_{f}" for f in feats]].sum(axis=1), out["score"] - out["base"])
+    tops = at.top_contributions(at.explain_trees(nodes, df.limit(20), back, feats), feats).toPandas()["top_features"]
+    assert (tops.map(lambda t: t[0]).isin(["f0", "f7"])).mean() > 0.8
+
+
+def test_background_is_the_last_trading_days(spark):
+    days = business_days(dt.date(2024, 6, 28), 300)
+    history = spark.createDataFrame([(d, float(k)) for k, d in enumerate(days)], "effective_date date, f double")
+    asked = [days[-1], days[100] + dt.timedelta(days=0), dt.date(2024, 6, 23), dt.date(2000, 1, 1)]
+    vintages = spark.createDataFrame([(d,) for d in asked], "vintage date")
+    got = {}
+    for r in at.background(history, vintages, ["f"]).collect():
+        got.setdefault(r.vintage, []).append(r.b_f)
+    last = {d: max((k for k, e in enumerate(days) if e <= d), default=None) for d in asked}
+    assert {d: sorted(v) for d, v in got.items()} == {
+        d: [float(k) for k in range(max(0, n - 251), n + 1)] for d, n in last.items() if n is not None
+    }
+
+
 def test_forecast_is_reproducible_and_ordered(spark):
     rng = np.random.default_rng(8)
     days = business_days(dt.date(2024, 6, 28), 600)
