@@ -8,7 +8,7 @@ from plumbline.operators import features as ft
 from plumbline.operators import matrix as mx
 from plumbline.operators import portfolio as pf
 from plumbline.operators import risk as rk
-from plumbline.plans.analog_plans import sweep_parts
+from plumbline.plans.analog_plans import robust_parts, sweep_parts
 from plumbline.plans.feature_plans import W
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
@@ -203,7 +203,14 @@ def _(spark, sf_dir):
     return pf.two_regime_covariance(region_panel(spark, sf_dir), D, robust=False)
 
 
-@plan("two_regime_covariance_robust", "regime:s i:i j:i n:i cov:f method:s", "M23 M8")
+_NAMES = [f"x{i}" for i in range(D)]
+_ROBUST = robust_parts("reg", "complete_panel", ("regime",), _NAMES, pf.MIN_ROWS_PER_NAME * D, "effective_date")
+
+
+@plan("two_regime_covariance_robust", "regime:s i:i j:i n:i cov:f9 method:s", "M23 M8",
+      with_parts(f"{_ROBUST} regime_cells", " UNION ALL ".join(
+          f"SELECT regime, {i} AS i, {j} AS j, n, c{min(i, j)}_{max(i, j)} AS cov, 'mcd' AS method FROM {_ROBUST}" for i in range(D) for j in range(D)) + f"""
+UNION ALL SELECT regime, i, j, n, cov, 'sample' FROM regime_cells WHERE regime = 'crisis' AND n < {pf.MIN_ROWS_PER_NAME * D}"""))
 def _(spark, sf_dir):
     return pf.two_regime_covariance(region_panel(spark, sf_dir), D, WINDOWS)
 
