@@ -308,6 +308,38 @@ def _(spark, sf_dir):
     return st.read_features(spark, path, source="bars").groupBy("ticker", "feature_version").agg(F.count("*").alias("n"))
 
 
+@plan("source_reload", "version:i source:s feature_name:s n:i", "S10",
+      with_parts("long_region", """
+SELECT v AS version, s AS source, feature_name, count(*) AS n FROM long_region, (VALUES (2, 'bars'), (2, 'macro'), (3, 'macro'), (4, 'bars'), (4, 'macro')) AS t(v, s)
+WHERE CASE WHEN v = 4 AND s = 'bars' THEN feature_name = 'rsi_14' WHEN s = 'macro' THEN feature_name LIKE 'ret%' ELSE true END GROUP BY 1, 2, 3"""))
+def _(spark, sf_dir):
+    """Two sources are written; one is reloaded without any row, then with some. Every version stays readable."""
+    path = scratch(spark, "features")
+    batch = long(spark, sf_dir, "region").withColumn("knowledge_date", F.col("effective_date"))
+    st.write_features(batch, path, "bars")
+    st.write_features(batch.where("feature_name LIKE 'ret%'"), path, "macro")
+    st.replace_source(batch.limit(0), path, "bars")
+    st.replace_source(batch.where("feature_name = 'rsi_14'"), path, "bars")
+    read = [st.read_features(spark, path, version=v).withColumn("version", F.lit(v)) for v in (2, 3, 4)]
+    return read[0].unionByName(read[1]).unionByName(read[2]).groupBy("version", "source", "feature_name").agg(F.count("*").alias("n"))
+
+
+@plan("ticker_reload", "version:i ticker:s feature_version:s n:i", "S10",
+      with_parts("long_region", """
+SELECT v AS version, ticker, CASE WHEN v > 1 AND ticker = 'ASIA' THEN 'v2' ELSE 'v1' END AS feature_version, count(*) AS n FROM long_region, (VALUES (1), (2), (3)) AS t(v)
+WHERE CASE WHEN v = 1 THEN true WHEN ticker = 'ASIA' THEN feature_name = 'rsi_14' ELSE ticker <> 'EUROPE' END GROUP BY 1, 2, 3"""))
+def _(spark, sf_dir):
+    """Two tickers are reloaded, one of them with no rows at all; then the source is compacted."""
+    path = scratch(spark, "features")
+    batch = long(spark, sf_dir, "region").withColumn("knowledge_date", F.col("effective_date"))
+    st.write_features(batch, path, "bars")
+    asked = batch.select("ticker").where("ticker IN ('ASIA', 'EUROPE')").distinct()
+    st.replace_ticker_source(batch.where("ticker = 'ASIA' AND feature_name = 'rsi_14'"), path, "bars", "v2", asked)
+    st.feature_table(spark, path).compact("bars")
+    read = [st.read_features(spark, path, version=v).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    return read[0].unionByName(read[1]).unionByName(read[2]).groupBy("version", "ticker", "feature_version").agg(F.count("*").alias("n"))
+
+
 @plan("snapshot_round_trip", "ticker:s effective_date:d close:f8", "S11", with_parts("bars_region", "SELECT * FROM bars_region"))
 def _(spark, sf_dir):
     path = scratch(spark, "snapshot")

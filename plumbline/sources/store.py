@@ -1,24 +1,24 @@
 """Feature store and keyed tables on plain parquet.
 
-Rows are only ever appended or whole partitions replaced; the current state of a
+The feature store is a table with versions (``versioned``): a source or some of its
+tickers are reloaded in one step that readers see as a whole. The current state of a
 keyed table is its latest version per key.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.session import materialise
 from plumbline.schemas import (
     FEATURE_BATCH,
     FEATURES_PIT,
     TERMINATION_REASONS,
     require_columns,
-    with_defaults,
 )
+from plumbline.sources.versioned import VersionedTable
 
 PX_COLUMNS = ("open", "high", "low", "close", "volume")
 
@@ -34,48 +34,35 @@ def stamp_features(batch: DataFrame, source: str, version: str = "v1") -> DataFr
     ).select(*FEATURES_PIT.fieldNames())
 
 
-def write_features(batch: DataFrame, path: str, source: str, version: str = "v1", mode: str = "append") -> int:
-    """Append (or replace) a batch; returns the rows written, counted on the way."""
-    seen = Observation("features")
-    stamped = stamp_features(batch, source, version).observe(seen, F.count(F.lit(1)).alias("n"))
-    # A source is the unit of reload. Inside it rows are sorted, so that a read of some
-    # features or tickers skips row groups.
-    (
-        stamped.repartition("feature_name", "ticker")
-        .sortWithinPartitions("feature_name", "ticker", "effective_date")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source")
-        .parquet(path)
-    )
-    return seen.get["n"]
+def feature_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, FEATURES_PIT)
+
+
+def write_features(batch: DataFrame, path: str, source: str, version: str = "v1") -> int:
+    """Append a batch; returns the rows written, counted on the way."""
+    return feature_table(batch.sparkSession, path).append(stamp_features(batch, source, version), source)
 
 
-def read_features(spark: SparkSession, path: str, names=None, source: str | None = None) -> DataFrame:
-    df = with_defaults(spark.read.parquet(path), FEATURES_PIT)
-    if source is not None:
-        df = df.where(F.col("source") == source)
+def read_features(spark: SparkSession, path: str, names=None, source: str | None = None, version: int | None = None) -> DataFrame:
+    """The store as of its newest version, or of an earlier one."""
+    df = feature_table(spark, path).read(None if source is None else [source], version)
     if names is not None:
         df = df.where(F.col("feature_name").isin(list(names)))
     return df
 
 
 def replace_source(batch: DataFrame, path: str, source: str, version: str = "v1") -> int:
-    """Idempotent reload of a source: all it held before goes, other sources stay."""
-    return write_features(batch, path, source, version, mode="overwrite")
-
-
-def replace_ticker_source(batch: DataFrame, path: str, source: str, version: str = "v1") -> int:
-    """Reload of a source for the tickers of ``batch`` only; returns the rows the source then holds."""
-    spark = batch.sparkSession
-    stored = read_features(spark, path, source=source)
-    kept = stored.join(batch.select("ticker").distinct(), "ticker", "left_anti")
-    # Stored first: the partition is overwritten while it is read otherwise.
-    both = materialise(kept.unionByName(stamp_features(batch, source, version)), "reload")
-    both.repartition("feature_name", "ticker").sortWithinPartitions("feature_name", "ticker", "effective_date").write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
-    return both.count()
+    """Idempotent reload of a source: all it held before goes, also if the batch is empty; other sources stay."""
+    return feature_table(batch.sparkSession, path).replace(stamp_features(batch, source, version), source)
+
+
+def replace_ticker_source(batch: DataFrame, path: str, source: str, version: str = "v1", tickers: DataFrame | None = None) -> int:
+    """Reload of a source for ``tickers`` (those of the batch if not given); returns the rows written.
+
+    A ticker that is reloaded without any row ends up empty. Only the batch is written.
+    """
+    asked = batch.select("ticker") if tickers is None else tickers
+    return feature_table(batch.sparkSession, path).replace_tickers(stamp_features(batch, source, version), source, asked)
 
 
 def without_ticker_source(stored: DataFrame, replaced: DataFrame) -> DataFrame:
