@@ -245,7 +245,9 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
     rows = materialise(
         files.mapInArrow(run, "path string, doc_id long, inside long, n_tokens long, ids_crc32 long"), "token-rows"
     )
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    # By the number of the part, which has more than five digits in a large corpus, not by the text of its name.
+    number = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")
+    before = Window.orderBy(number, "path").rowsBetween(Window.unboundedPreceding, -1)
     per_file = rows.groupBy("path").agg(F.sum("n_tokens").alias("n")).select(
         "path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import os
 import random
 import zlib
 
@@ -362,3 +363,15 @@ def test_blocks_do_not_change_the_hash(monkeypatch):
     parts = piecewise.cuts(data, 6)
     assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
     assert piecewise.fingerprint(b"") == "3::"
+
+
+def test_shards_past_part_99999_keep_their_order(spark, tmp_path):
+    """Part numbers of six digits come after those of five, whatever their names' order as text."""
+    os.makedirs(tmp_path / "shards")
+    spark.createDataFrame([(k, k) for k in range(8)], "rank int, id int").write.parquet(f"{tmp_path}/ranks")
+    parts = [("part-99998-a.txt", 3, [1, 2]), ("part-99999-a.txt", 5, [3]), ("part-100000-a.txt", 8, [4, 5, 6]), ("part-1000000-a.txt", 9, [7])]
+    for name, doc_id, ranks in parts:
+        with open(tmp_path / "shards" / name, "wb") as f:
+            f.write(token_shards.as_record(doc_id, np.array(ranks, dtype=np.uint32)) + b"\n")
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in token_shards.read_shards(spark, str(tmp_path)).collect())
+    assert got == [(3, 0, 2), (5, 2, 1), (8, 3, 3), (9, 6, 1)]
