@@ -354,22 +354,18 @@ def training_windows(
             "_rows": F.count("*").over(Window.partitionBy("ticker")),
         }
     )
-    # Only the rows that start a window keep their array: the stride filter sits
-    # directly on the window, and a window start needs size-1 rows after it.
-    frame = w.rowsBetween(0, size - 1)
-    moments = {}
+    # Each row goes to the windows it stands in, at most size / stride of them, and every
+    # window is collected once; the ticker's exchange serves both steps.
+    last = F.floor((F.col("_rows") - size) / stride) * stride
+    first = F.greatest(F.lit(0), F.ceil((F.col("_n") - (size - 1)) / stride) * stride)
+    until = F.least(F.floor(F.col("_n") / stride) * stride, last)
+    held = df.where((F.col("_rows") >= F.greatest(F.lit(min_rows), F.lit(size))) & (first <= until))
+    spread_out = held.withColumn("_start", F.explode(F.sequence(first.cast("long"), until.cast("long"), F.lit(stride).cast("long"))))
+    moments = []
     for c in channels:
-        moments[f"_mu_{c}"] = F.avg(c).over(frame)
-        moments[f"_sd_{c}"] = F.stddev_pop(c).over(frame)
-    df = df.withColumns(moments).withColumn(
-        "_window",
-        F.when(
-            F.col("_n") % stride == 0,
-            F.collect_list(F.struct("effective_date", *channels)).over(frame),
-        ),
-    )
-    df = df.where(
-        (F.col("_rows") >= min_rows) & (F.col("_n") % stride == 0) & (F.size("_window") == size)
+        moments += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}")]
+    df = spread_out.groupBy("ticker", "_start").agg(
+        F.array_sort(F.collect_list(F.struct("effective_date", *channels))).alias("_window"), *moments
     )
 
     def scaled(c: str):
@@ -380,8 +376,8 @@ def training_windows(
 
     return df.select(
         "ticker",
-        F.col("_n").alias("start_row"),
-        F.col("effective_date").alias("start_date"),
+        F.col("_start").alias("start_row"),
+        F.col("_window")[0]["effective_date"].alias("start_date"),
         *[F.transform("_window", scaled(c)).alias(c) for c in channels],
         F.transform(
             "_window",

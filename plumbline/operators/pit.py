@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.dates import business_days, trading_days_before
+from plumbline.functions.stats import null_safe_join
+from plumbline.session import materialise
 
 # fixed values: trading days before a feature is available; others take 1
 LAGS = {
@@ -82,20 +84,31 @@ def as_of_lookup(requests: DataFrame, features: DataFrame) -> DataFrame:
     return requests.join(found, [*keys, "as_of"], "left")
 
 
-def as_of_lookup_capped(requests: DataFrame, features: DataFrame) -> DataFrame:
+# Distinct requests of a key that are answered in one task.
+REQUESTS_PER_TASK = 65_536
+
+
+def as_of_lookup_capped(requests: DataFrame, features: DataFrame, most: int = REQUESTS_PER_TASK) -> DataFrame:
     """As above with ``effective_cap`` bounding the effective date of the answer.
 
-    Facts and distinct requests of a key meet once. In order of knowledge date, a
-    request wants the last fact before its own place that is effective by its cap;
+    Distinct requests of a key are dealt to as many tasks as they need, each next to the
+    key's facts, whose number is that of the calendar's days. In order of knowledge date,
+    a request wants the last fact before its own place that is effective by its cap;
     it is found by halving over least effective dates of stretches of 1, 2, 4, ...
-    facts, so a request costs a logarithm of its key's facts. A key holds a bounded
-    number of days.
+    facts, so a request costs a logarithm of its key's facts.
     """
     by, keys = ["ticker", "feature_name"], ["ticker", "feature_name", "as_of", "effective_cap"]
     asked = requests.select(*keys).distinct()
-    facts = features.select(*by, "knowledge_date", "effective_date", "feature_value")
+    parts = asked.groupBy(*by).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    part = F.pmod(F.xxhash64("as_of", "effective_cap"), F.col("_parts")).cast("int")
+    dealt = materialise(null_safe_join(asked, parts, by).withColumn("_part", part).drop("_parts"), "capped-requests")
+    facts = null_safe_join(features.select(*by, "knowledge_date", "effective_date", "feature_value"), parts, by)
+    facts = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     out = "ticker string, feature_name string, as_of date, effective_cap date, feature_value double"
-    found = asked.groupBy(*by).cogroup(facts.groupBy(*by)).applyInPandas(_last_before_within, out)
+    by = [*by, "_part"]
+    found = dealt.groupBy(*by).cogroup(facts.groupBy(*by)).applyInPandas(
+        lambda a, f: _last_before_within(a.drop(columns="_part"), f), out
+    )
     return requests.join(found, keys, "left")
 
 

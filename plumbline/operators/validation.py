@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.config import DEFAULTS, Settings
-from plumbline.functions.stats import annualised_sharpe, expected_max_normal, normal_cdf_udf
+from plumbline.functions.stats import annualised_sharpe, expected_max_normal, normal_cdf
 
 # fixed values
 EMBARGO_FLOOR = 504
@@ -67,7 +67,7 @@ def combinatorial_paths(
 ) -> DataFrame:
     """Every choice of test groups as one path; rows near a test group sit out."""
     if not 1 <= n_test_groups < n_groups:
-        raise ValueError("n_test_groups must satisfy 1 <= n_test_groups < n_groups")
+        raise ValueError(f"cannot test on {n_test_groups} of {n_groups} groups")
     margin = max(embargo, horizon)
     paths = F.array(
         *[
@@ -262,9 +262,8 @@ def deflated_sharpe(
     var = (1 - F.col("skew") * sr + (kurt - 1) / 4 * sr * sr) / (F.col("n_obs") - 1)
     z = F.when(F.col("n_obs") > 1, (sr - F.lit(best)) / F.sqrt(F.greatest(var, F.lit(1e-12)))).otherwise(0.0)
     df = df.withColumn("n_trials", F.lit(trials)).withColumn("z_statistic", z)
-    cdf = normal_cdf_udf()
     return df.withColumn(
-        "deflated_sharpe", F.when(F.col("n_obs") > 1, cdf("z_statistic")).otherwise(0.0)
+        "deflated_sharpe", F.when(F.col("n_obs") > 1, normal_cdf(F.col("z_statistic"))).otherwise(0.0)
     )
 
 

@@ -9,7 +9,7 @@ from plumbline.plans import gold, governance_plans, model_plans, portfolio_plans
 from plumbline.plans.analog_plans import history
 from plumbline.plans.registry import PLANS, plan
 from plumbline.plans.sqlparts import part, with_parts
-from plumbline.plans.store_plans import scratch
+from plumbline.session import scratch
 from plumbline.session import materialise
 from plumbline.sources import tables as tb
 from plumbline.streaming import jobs

@@ -16,9 +16,8 @@ from plumbline.plans.analog_plans import history
 from plumbline.plans.feature_plans import market, wide
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
-from plumbline.plans.store_plans import scratch
 from plumbline.plans.validation_plans import WINDOW, deflated, delisted, live_universe
-from plumbline.session import materialise
+from plumbline.session import materialise, scratch
 from plumbline.sources import store as st
 from plumbline.sources import tables as tb
 

@@ -12,17 +12,12 @@ from plumbline.plans.feature_plans import W, long
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
 from plumbline.plans.validation_plans import delisted, fetch_audit
-from plumbline.session import shared_dir
+from plumbline.session import scratch
 from plumbline.sources import landing as ld
 from plumbline.sources import store as st
 from plumbline.sources import tables as tb
 
 
-def scratch(spark, label: str) -> str:
-    import uuid
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 # ---- bitemporal rows: each value is known a day later, some are revised three days on
 part("pit", "long_supplier", """
 SELECT ticker, effective_date, effective_date + 1 AS knowledge_date, feature_name, feature_value FROM long_supplier

@@ -12,6 +12,8 @@ from plumbline.operators import validation as va
 from plumbline.plans.feature_plans import wide
 from plumbline.plans.registry import plan
 from plumbline.plans.sqlparts import part, with_parts
+from plumbline.session import scratch
+from plumbline.sources import store as st
 from plumbline.sources import tables as tb
 
 CV_COLUMNS = ("ret_1d", "ret_21d", "realized_vol_21d")
@@ -166,11 +168,14 @@ def _(spark, sf_dir):
 
 
 def deflated(spark, sf_dir):
+    """Every series and signal is logged before it is computed; the Sharpe is deflated by the length of the log."""
     rows = cv_rows(spark, sf_dir)
+    names = F.array(*[F.lit(s) for s in SIGNALS])
+    runs = rows.select("series_id").distinct().select(
+        F.explode(names).alias("layer_name"), F.lit("walk_forward").alias("function_name"), F.col("series_id").alias("hyperparameters"))
+    trials = st.log_executions(runs, scratch(spark, "executions"), run="deflated")
     wf = va.walk_forward(rows).withColumnRenamed("mean_sharpe", "sharpe")
     moments = va.pnl_moments(va.signal_pnl(va.whole_sample(rows)))
-    # One logged execution per series and signal; the log only matters above the floor.
-    trials = rows.select("series_id").distinct().count() * len(SIGNALS)
     return va.deflated_sharpe(wf.join(moments, ["series_id", "signal"]), trials)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Settings the jobs rely on. Shuffle partition counts are left to the caller:
@@ -45,13 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
     Lost executors only cost the re-read of a file, not of the plan behind it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,8 +71,11 @@ def stored_once(spark: SparkSession, name: str, inputs: Iterable[str], build: Ca
     It is built anew when a file of ``inputs`` has another time or length, and in
     every new application.
     """
-    files = spark.read.format("binaryFile").load(list(inputs)).select("path", "modificationTime", "length")
-    key = (spark.sparkContext.applicationId, name, tuple(sorted(map(tuple, files.collect()))))
+    inputs = list(inputs)
+    # One row, however many files there are.
+    state = F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
+    files = spark.read.format("binaryFile").load(inputs).select(state.alias("h"), "length")
+    key = (spark.sparkContext.applicationId, name, tuple(inputs), tuple(files.agg(F.count("h"), F.sum("h"), F.sum("length")).first()))
     if key in _STORED:
         path, schema = _STORED[key]
         try:
@@ -75,7 +84,7 @@ def stored_once(spark: SparkSession, name: str, inputs: Iterable[str], build: Ca
             if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
     df = build()
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     _STORED[key] = (path, df.schema)
     return spark.read.schema(df.schema).parquet(path)

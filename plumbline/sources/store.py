@@ -148,16 +148,22 @@ def drop_synthetic(rows: DataFrame, prefix: str = "DEL") -> DataFrame:
     return rows.where(~F.col("ticker").startswith(prefix))
 
 
-def log_executions(runs: DataFrame, path: str) -> int:
-    """Append execution records and return the log's new length."""
-    runs.withColumns(
-        {"execution_id": F.uuid(), "executed_at": F.current_timestamp()}
-    ).write.mode("append").parquet(path)
+def log_executions(runs: DataFrame, path: str, run: str | None = None) -> int:
+    """Append execution records and return how many the log then holds.
+
+    With ``run``, the name of an attempt, a record's id is a hash of it and of the
+    record, so an attempt that is logged again after a failure counts once.
+    """
+    if run is None:
+        execution = F.uuid()
+    else:
+        execution = F.sha1(F.to_json(F.struct(F.lit(run).alias("run"), F.struct(*runs.columns).alias("record")), {"ignoreNullFields": "false"}))
+    runs.withColumns({"execution_id": execution, "executed_at": F.current_timestamp()}).write.mode("append").parquet(path)
     return trial_count(runs.sparkSession, path)
 
 
 def trial_count(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(path).count()
+    return spark.read.parquet(path).select("execution_id").distinct().count()
 
 
 def store_window(features: DataFrame) -> DataFrame:

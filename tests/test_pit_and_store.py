@@ -166,3 +166,14 @@ def test_bad_bars_gaps_and_missing_tickers_in_the_audit(spark):
 def test_ticker_symbols(spark, symbol, ok):
     df = spark.createDataFrame([(symbol,)], "s string")
     assert df.select(ql.valid_ticker(F.col("s"))).first()[0] is ok
+
+
+def test_capped_requests_of_a_hot_key_are_dealt_to_tasks(spark):
+    """All (as_of, cap) pairs of one key, answered alike by one task and by many."""
+    facts = feature_rows(spark, [(None if k % 7 == 3 else "A", D(2024, 1, 1 + k % 20), D(2024, 1, 1 + (k * 5) % 25), "f", float(k)) for k in range(40)])
+    days = [D(2024, 1, d) for d in range(1, 30)]
+    requests = spark.createDataFrame([(t, "f", a, c) for t in ("A", None, "Z") for a in days for c in days], "ticker string, feature_name string, as_of date, effective_cap date")
+    one, many = (
+        sorted((tuple(r) for r in pit.as_of_lookup_capped(requests, facts, most=n).collect()), key=str) for n in (10**6, 50)
+    )
+    assert one == many and len(one) == 3 * 29 * 29 and sum(r[-1] is not None for r in one) > 500

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import validation as va
-from plumbline.functions.stats import expected_max_normal
+from plumbline.functions.stats import expected_max_normal, normal_cdf
 from plumbline.plans.registry import shape_sql
+from plumbline.sources import store as st
 from tests.conftest import business_days
 
 
@@ -169,3 +170,28 @@ def test_divergence_demotes_and_pauses(spark):
 
 def test_shape_sql_adds_positive_zero():
     assert "+ 0.0 AS x" in shape_sql("SELECT 1 AS x", "x:f")
+
+
+def test_normal_cdf_is_exact_to_double_precision(spark):
+    z = [0.0, -0.0, 1e-300, 0.3, 0.66, 0.6629, 0.663, 1.0, 5.656, 5.657, 8.0, 20.0, 37.0, 38.4, 40.0, 1e9, math.inf]
+    z += [-v for v in z] + [float(v) for v in np.random.default_rng(2).normal(0, 4, 2000)]
+    rows = spark.createDataFrame([(v,) for v in z] + [(None,), (math.nan,)], "z double").select("z", normal_cdf(F.col("z")).alias("p"))
+    got = [(r.z, r.p) for r in rows.collect()]
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    for v, p in got:
+        if v is None:
+            assert p is None
+        elif math.isnan(v):
+            assert math.isnan(p)
+        else:
+            want = 0.5 * math.erfc(-v / math.sqrt(2))
+            assert math.isclose(p, want, rel_tol=4e-14, abs_tol=1e-300), (v, p, want)
+
+
+def test_an_attempt_logged_again_counts_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    runs = spark.createDataFrame([("a", "walk_forward", "x"), ("a", "walk_forward", "y"), ("b", None, None)], "layer_name string, function_name string, hyperparameters string")
+    assert st.log_executions(runs, path, run="first") == 3
+    assert st.log_executions(runs, path, run="first") == 3
+    assert st.log_executions(runs.limit(1), path, run="second") == 4
+    assert st.log_executions(runs, path) == 7
