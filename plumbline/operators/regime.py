@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -199,8 +199,22 @@ def recent_occupancy(path: DataFrame, rows: int = OCCUPANCY_ROWS) -> DataFrame:
     )
 
 
-def market_state_report(path: DataFrame, labels: DataFrame, promoted: DataFrame | None = None) -> DataFrame:
-    """Per series: named occupancy, uncertainty, a sentence, and a disclosure if unpromoted."""
+def disclosure(validated: Column, sharpe: Column, floor: float = 0.5) -> Column:
+    """What a reader is told of a model that is not validated; NULL for one that is."""
+    end = "; shown for situational awareness, not as a validated signal."
+    known = F.concat(
+        F.lit("Research preview — regime model walk-forward Sharpe "), F.format_string("%.2f", sharpe), F.lit(f" < {floor:.2f} floor{end}"))
+    unknown = F.lit(f"Research preview — regime model has not passed Layer 0 predictive sign-off{end}")
+    return F.when(~validated, F.when(sharpe.isNotNull(), known).otherwise(unknown))
+
+
+def market_state_report(
+    path: DataFrame, labels: DataFrame, promoted: DataFrame | None = None, reports: DataFrame | None = None,
+) -> DataFrame:
+    """Per series: named occupancy, uncertainty, a sentence, and a disclosure if unpromoted.
+
+    ``promoted`` holds the validated series, ``reports`` their gate's (series_id, walk_forward_sharpe).
+    """
     newest = Window.partitionBy("series_id").orderBy(F.desc("effective_date"))
     recent = path.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= DECODE_ROWS).drop("_r")
     occ = recent_occupancy(recent)
@@ -223,16 +237,15 @@ def market_state_report(path: DataFrame, labels: DataFrame, promoted: DataFrame
         df = df.join(promoted.select("series_id", F.lit(True).alias("validated")), "series_id", "left").withColumn(
             "validated", F.coalesce("validated", F.lit(False))
         )
-    disclosure = F.when(
-        ~F.col("validated"),
-        "Research preview — regime model has not passed Layer 0 predictive sign-off; shown for"
-        " situational awareness, not as a validated signal.",
-    )
+    if reports is None:
+        df = df.withColumn("_sharpe", F.lit(None).cast("double"))
+    else:
+        df = df.join(reports.select("series_id", F.col("walk_forward_sharpe").alias("_sharpe")), "series_id", "left")
     return df.select(
         "series_id", dominant.alias("dominant"), current.alias("current"),
         F.transform("occupancy", lambda o: F.struct(F.col("_names")[o["state"]].alias("name"), o["share"].alias("prob"))).alias("states"),
         F.format_string("%.2f", "uncertainty").alias("uncertainty"), text.alias("transition"), "validated",
-        disclosure.alias("disclosure"),
+        disclosure(F.col("validated"), F.col("_sharpe")).alias("disclosure"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import attribution as at
 from plumbline.operators import calibration as cal
 from plumbline.operators import features as ft
+from plumbline.operators import gate as gt
 from plumbline.operators import regime as rg
 from plumbline.operators import regime_labels as rl
 from plumbline.operators import validation as va
@@ -119,12 +120,6 @@ def _(spark, sf_dir):
     return rg.current_state(*stored_model(spark, sf_dir), OBS)
 
 
-@plan("market_state_report", "series_id:s dominant:s current:s uncertainty:s transition:s validated:b disclosure:s", "M6 K6")
-def _(spark, sf_dir):
-    obs, models = selected_models(spark, sf_dir)
-    return rg.market_state_report(rg.decode(obs, models, OBS), rg.label_states(rg.state_means(models, OBS)))
-
-
 @plan("dimensionality_adequacy", "series_id:s n_obs:i oos_r2:f passed:b status:s", "M7 E3",
       with_parts("feat_region", """
 SELECT ticker AS series_id, count(*) AS n_obs, 1.0 AS oos_r2, true AS passed, 'OK' AS status FROM feat_region
@@ -329,3 +324,58 @@ def _(spark, sf_dir):
       with_parts("registry", "SELECT arg_max(model_id, trained_at) AS model_id, app_mode, 'lite_survivorship' AS validation_status FROM registry WHERE promoted GROUP BY 2"))
 def _(spark, sf_dir):
     return rg.active_models(registry(spark, sf_dir))
+
+
+# ---- fitted models through the gate into the registry, and what the market-state report makes of it
+def gated(spark, sf_dir, models):
+    """The registry after the gate, and its reports: a promoted baseline per series meets the candidate of ``models``."""
+    book = gt.ModelRegistry(spark, scratch(spark, "registry"))
+    baseline = models.withColumns({"k": F.lit(1), "log_likelihood": F.lit(0.0)})
+    old, new = gt.candidates(baseline, len(OBS), "2024-01-01"), gt.candidates(models, len(OBS), "2024-02-01")
+    book.register(old)
+    book.promote(old.withColumns({"passed": F.lit(True), "walk_forward_sharpe": F.lit(0.6), "deflated_sharpe": F.lit(0.1)}), "2024-01-02")
+    book.register(new)
+    reports = materialise(gt.gate_reports(new, deflated(spark, sf_dir).where("signal = 'momentum'"), "2024-02-02"), "gate-reports")
+    book.promote(reports, "2024-02-02")
+    return book, reports
+
+
+def told(spark, sf_dir, obs, models):
+    book, reports = gated(spark, sf_dir, models)
+    named = rg.label_states(rg.state_means(models, OBS))
+    return rg.market_state_report(
+        rg.decode(obs, models, OBS), named, book.validated(), reports.select(F.col("app_mode").alias("series_id"), "walk_forward_sharpe"))
+
+
+_GATED = """
+, g AS (SELECT series_id, sharpe, deflated_sharpe AS dsr, p30, n_trials, sharpe >= 0.5 AND deflated_sharpe >= 0 AS passed FROM deflated WHERE signal = 'momentum')"""
+_DISCLOSED = "CASE WHEN NOT passed THEN 'Research preview — regime model walk-forward Sharpe ' || printf('%.2f', sharpe) || ' < 0.50 floor; shown for situational awareness, not as a validated signal.' END"
+
+
+@plan("gate_reports", "layer_name:s as_of:d model_id:s walk_forward_sharpe:f cpcv_p30_sharpe:f deflated_sharpe:f n_trials:i survivorship_audit:s passed:b", "V9 V7",
+      with_parts("deflated", _GATED + """
+SELECT 'hmm_candidate::' || series_id AS layer_name, DATE '2024-02-02' AS as_of, series_id || '-k2' AS model_id, sharpe AS walk_forward_sharpe, p30 AS cpcv_p30_sharpe, dsr AS deflated_sharpe,
+ n_trials, 'BYPASSED_LITE_MODE' AS survivorship_audit, passed FROM g"""))
+def _(spark, sf_dir):
+    return gated(spark, sf_dir, stored_model(spark, sf_dir)[1])[1]
+
+
+@plan("gated_registry", "model_id:s app_mode:s k_selected:i n_dimensions:i validation_status:s walk_forward_sharpe:f deflated_sharpe:f retired_reason:s", "V9 V10",
+      with_parts("deflated", _GATED + """
+SELECT series_id || '-k1' AS model_id, series_id AS app_mode, 1 AS k_selected, 3 AS n_dimensions, 'lite_survivorship' AS validation_status, 0.6 AS walk_forward_sharpe, 0.1 AS deflated_sharpe, CASE WHEN passed THEN 'superseded' END AS retired_reason FROM g
+UNION ALL SELECT series_id || '-k2', series_id, 2, 3, CASE WHEN passed THEN 'lite_survivorship' ELSE 'candidate' END, CASE WHEN passed THEN sharpe END, CASE WHEN passed THEN dsr END, NULL FROM g"""))
+def _(spark, sf_dir):
+    return gated(spark, sf_dir, stored_model(spark, sf_dir)[1])[0].rows()
+
+
+@plan("gated_market_state", "series_id:s validated:b disclosure:s", "M6 V9 V10",
+      with_parts("deflated", _GATED + f"SELECT series_id, passed AS validated, {_DISCLOSED} AS disclosure FROM g"))
+def _(spark, sf_dir):
+    """The report's reading of the registry and of the gate's reports, over the stored model."""
+    return told(spark, sf_dir, *stored_model(spark, sf_dir))
+
+
+@plan("market_state_report", "series_id:s dominant:s current:s uncertainty:s transition:s validated:b disclosure:s", "M6 K6")
+def _(spark, sf_dir):
+    """Models fitted here, sent through the gate, and reported on."""
+    return told(spark, sf_dir, *selected_models(spark, sf_dir))
