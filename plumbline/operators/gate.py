@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from plumbline.config import DEFAULTS, Settings
 from plumbline.operators.regime import active_models, promote, register
+from plumbline.schemas import REGISTRY
 from plumbline.sources.versioned import VersionedTable
 
 # fixed values
 LAYER = "hmm_candidate"
 PROMOTED = ("lite_survivorship", "production")
-REGISTRY = StructType.fromDDL(
-    "model_id string, app_mode string, trained_at timestamp, n_dimensions int, k_selected int, oos_log_likelihood double,"
-    " validation_status string, walk_forward_sharpe double, deflated_sharpe double, retired_at timestamp, retired_reason string"
-)
 
 
 def candidates(models: DataFrame, n_dimensions: int, trained_at) -> DataFrame:

@@ -34,6 +34,10 @@ FEATURES_PIT = _schema(
     pit_verified=B,
 )
 FEATURE_BATCH = ("ticker", "effective_date", "knowledge_date", "feature_name", "feature_value")
+REGISTRY = _schema(
+    model_id=S, app_mode=S, trained_at=TS, n_dimensions=I32, k_selected=I32, oos_log_likelihood=F64, validation_status=S,
+    walk_forward_sharpe=F64, deflated_sharpe=F64, retired_at=TS, retired_reason=S,
+)
 FETCH_AUDIT = _schema(
     ticker=S, fetch_date=D, fetched_at=TS, status=S, n_rows=I64, n_bad_rows=I64,
     n_consec_gaps=I64, note=S, app_mode=S,
