@@ -45,7 +45,8 @@ NAMES = (
     "journal_closed watchlists contradictions fdr_corrected top_alerts tail_aware_kelly wipeout_kelly "
     "friction_scores friction_proxy stress_components fill_costs sliced_costs bootstrap_forecast orthogonal_factors "
     "two_regime_covariance scenario_stress position_impact correlation_clusters state_labels recent_occupancy "
-    "model_registry bar_ingest_stream"
+    "model_registry bar_ingest_stream residual_components analog_covariances analog_watchlist_robust "
+    "two_regime_covariance_robust tree_attribution source_reload ticker_reload gate_reports gated_registry gated_market_state"
 ).split()
 
 
