@@ -207,10 +207,31 @@ _NAMES = [f"x{i}" for i in range(D)]
 _ROBUST = robust_parts("reg", "complete_panel", ("regime",), _NAMES, pf.MIN_ROWS_PER_NAME * D, "effective_date")
 
 
+_UPPER = [(i, j) for i in range(D) for j in range(i, D)]
+_NORM = " + ".join(f"pow({x} - m{i}, 2)" for i, x in enumerate(_NAMES))
+part("reg_mean", "complete_panel", f"SELECT regime, count(*) AS n, {', '.join(f'avg({x}) AS m{i}' for i, x in enumerate(_NAMES))} FROM complete_panel GROUP BY 1")
+part("reg_plain", "complete_panel reg_mean", f"""
+SELECT regime, any_value(n) AS n, {', '.join(f'avg((x{i} - m{i}) * (x{j} - m{j})) AS e{i}_{j}' for i, j in _UPPER)}, sum(pow({_NORM}, 2)) AS norm4
+FROM complete_panel JOIN reg_mean USING (regime) GROUP BY 1""")
+part("reg_weight", "reg_plain", f"""
+SELECT *, CASE WHEN delta > 0 THEN least((norm4 / n - sq) / ({D} * n), delta) / delta ELSE 0 END AS w FROM (
+ SELECT *, (sq - {D} * mu * mu) / {D} AS delta FROM (
+  SELECT *, ({' + '.join(f'e{i}_{i}' for i in range(D))}) / {D} AS mu, {' + '.join(('' if i == j else '2 * ') + f'e{i}_{j} * e{i}_{j}' for i, j in _UPPER)} AS sq FROM reg_plain))""")
+_CELLS_OF = " UNION ALL ".join(
+    f"SELECT regime, {i} AS i, {j} AS j, n, {{cell}} AS cov, '{{method}}' AS method FROM {{source}}".replace("{cell}", f"{{cell{min(i, j)}{max(i, j)}}}")
+    for i in range(D) for j in range(D))
+part("reg_robust_cells", _ROBUST, _CELLS_OF.format(source=_ROBUST, method="mcd", **{f"cell{i}{j}": f"c{i}_{j}" for i, j in _UPPER}))
+part("reg_shrunk_cells", "reg_weight", _CELLS_OF.format(
+    source="reg_weight", method="ledoit_wolf", **{f"cell{i}{j}": f"(1 - w) * e{i}_{j}" + (" + w * mu" if i == j else "") for i, j in _UPPER}))
+
+
 @plan("two_regime_covariance_robust", "regime:s i:i j:i n:i cov:f9 method:s", "M23 M8",
-      with_parts(f"{_ROBUST} regime_cells", " UNION ALL ".join(
-          f"SELECT regime, {i} AS i, {j} AS j, n, c{min(i, j)}_{max(i, j)} AS cov, 'mcd' AS method FROM {_ROBUST}" for i in range(D) for j in range(D)) + f"""
-UNION ALL SELECT regime, i, j, n, cov, 'sample' FROM regime_cells WHERE regime = 'crisis' AND n < {pf.MIN_ROWS_PER_NAME * D}"""))
+      with_parts("reg_robust_cells reg_shrunk_cells regime_cells", f"""
+, calm AS (SELECT * FROM reg_robust_cells WHERE regime = 'normal' UNION ALL
+ SELECT * FROM reg_shrunk_cells WHERE regime = 'normal' AND NOT EXISTS (SELECT 1 FROM reg_robust_cells WHERE regime = 'normal'))
+SELECT * FROM calm UNION ALL SELECT * FROM reg_robust_cells WHERE regime = 'crisis'
+UNION ALL SELECT regime, i, j, n, cov, 'sample' FROM regime_cells WHERE regime = 'crisis' AND n < {pf.MIN_ROWS_PER_NAME * D}
+UNION ALL SELECT 'crisis', i, j, 0, 2 * cov, 'normal_x2' FROM calm WHERE NOT EXISTS (SELECT 1 FROM regime_cells WHERE regime = 'crisis')"""))
 def _(spark, sf_dir):
     return pf.two_regime_covariance(region_panel(spark, sf_dir), D, WINDOWS)
 
